@@ -178,7 +178,7 @@ def detect(docs: DataFrame, text: str = "text", key: str = "doc_id", support: in
 def query(spark, sf_dir: str) -> DataFrame:
     found = detect(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s.kind, s.lo, s.hi)), ",")
-    count = [F.size(F.filter("base", lambda s, k=k: s.kind == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    count = [F.expr(f"size(filter(base, s -> s.kind = '{k}'))").cast("long").alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", *count, F.sha2(text("base"), 256).alias("base_sha256"), text(F.concat("base", "learned")).alias("spans"), F.size("learned").cast("long").alias("n_context"))
 
 

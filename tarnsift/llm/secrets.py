@@ -158,7 +158,7 @@ def redact(docs: DataFrame, text: str = "text", labelled: list[tuple[str, int]]
 def query(spark, sf_dir: str) -> DataFrame:
     found = detect(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s.kind, s.lo, s.hi)), ",")
-    count = [F.size(F.filter("base", lambda s, k=k: s.kind == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    count = [F.expr(f"size(filter(base, s -> s.kind = '{k}'))").cast("long").alias(f"n_{k}") for k in KINDS]
     # Base kinds keep their order at one start; a learned span never shares a start with them.
     both = F.array_sort(F.concat("base", "learned"), lambda x, y: F.when(x.lo < y.lo, -1).when(x.lo > y.lo, 1).when(F.lit(True), F.array_position(F.array(*map(F.lit, KINDS)), x.kind).cast("int") - F.array_position(F.array(*map(F.lit, KINDS)), y.kind).cast("int")))
     return found.select("doc_id", *count, F.sha2(text("base"), 256).alias("base_sha256"), text(both).alias("spans"), F.size("learned").cast("long").alias("n_random"))
