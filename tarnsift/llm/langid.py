@@ -29,6 +29,7 @@ DICTIONARY_BYTES = 96 * 1024
 NARROW = 0.01
 #: Texts are compressed in blocks of so many bytes, all of them, so that the dictionary and not the text's own past decides.
 BLOCK = 2048
+FILL = b" " * 128
 
 
 def folded(text: str) -> bytes:
@@ -85,6 +86,8 @@ def classify(texts: list[str | None], model: list[tuple[str, bytes]], narrow: fl
             out.append((UNKNOWN, 0.0, 0.0, True))
             continue
         blocks = [b[i : i + BLOCK] for i in range(0, len(b), BLOCK)]
+        # zstandard keeps a short block raw when it gains too little; with the same run of spaces everywhere, it always codes.
+        blocks[-1] += FILL
         sizes = np.array([sum(len(c.compress(x)) for x in blocks) for c in made], float)
         best = int(sizes.argmin())
         rest = np.delete(sizes, best)

@@ -1,13 +1,19 @@
 """The operators' queries, and SQL for those that SQL can express."""
 
-from . import langid, media, neardup, pii, secrets
+from . import langid, licenses, media, mixing, neardup, pii, quality, secrets
 
 QUERIES = {
     "op1_language": langid.query,
     "op2_personal": pii.query,
     "op3_media": media.query,
     "op4_neardup": neardup.query,
+    "op5_mixing": mixing.query,
     "op6_secrets": secrets.query,
+    "op8_licenses": licenses.query,
+    "op10_quality": quality.query,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op5_mixing": mixing.SQL,
+    "op8_licenses": licenses.SQL,
+}
