@@ -1,6 +1,6 @@
 """The operators' queries, and SQL for those that SQL can express."""
 
-from . import langid, licenses, media, mixing, neardup, pii, quality, secrets
+from . import embeddings, langid, licenses, media, mixing, neardup, pii, quality, secrets
 
 QUERIES = {
     "op1_language": langid.query,
@@ -9,11 +9,13 @@ QUERIES = {
     "op4_neardup": neardup.query,
     "op5_mixing": mixing.query,
     "op6_secrets": secrets.query,
+    "op7_embeddings": embeddings.query,
     "op8_licenses": licenses.query,
     "op10_quality": quality.query,
 }
 
 SQL: dict[str, str] = {
     "op5_mixing": mixing.SQL,
+    "op7_embeddings": embeddings.query,
     "op8_licenses": licenses.SQL,
 }
