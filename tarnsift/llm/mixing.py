@@ -119,10 +119,10 @@ def schedule(docs: DataFrame, block: int = BLOCK, weights: tuple[int, ...] = WEI
 
 
 def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", block: int = BLOCK) -> DataFrame:
-    """The mixed documents: each row once for every pass that takes of it, its text cut where its source's quota ends. Columns as before."""
-    numbered = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
+    """The mixed documents: each row once for every pass that takes of it, its text cut where its source's quota ends. Columns as before. docs is read twice and must come in the same partitions each time, as files do."""
+    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
     plan, _ = schedule(cut(sized(numbered, text, key, source, "_row")), block)
-    takes = plan.groupBy(F.col("row").alias("_row"), "epoch").agg(F.sum("words").alias("_take"))
+    takes = plan.groupBy(F.col("row").alias("_row"), "epoch").agg(F.sum("words").alias("_take")).select("_row", "_take")
     # A whole text stays as it is; of a part, the words stand with single spaces.
     words = F.regexp_count(F.col(text), F.lit(WORD_CLASS))
     cut_text = F.when(F.col("_take") >= words, F.col(text)).otherwise(F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(WORD_CLASS), F.lit(0)), 1, F.col("_take").cast("int")), " "))

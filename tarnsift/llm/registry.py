@@ -1,6 +1,6 @@
 """The operators' queries, and SQL for those that SQL can express."""
 
-from . import embeddings, langid, licenses, media, mixing, neardup, pii, quality, secrets
+from . import embeddings, langid, licenses, media, mixing, neardup, packing, pii, quality, secrets
 
 QUERIES = {
     "op1_language": langid.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_secrets": secrets.query,
     "op7_embeddings": embeddings.query,
     "op8_licenses": licenses.query,
+    "op9_packing": packing.query,
     "op10_quality": quality.query,
 }
 
