@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import sys
 import tempfile
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,22 +49,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(function, schema)
-
-
 def process_cache() -> dict:
     """A dict that lives as long as the Python worker, across tasks."""
     return sys.__dict__.setdefault("_tarnsift_cache", {})
 
 
-def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
-
-
-def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
-    """The column's texts, null as empty."""
-    return [t or "" for t in batch.column(name).to_pylist()]
+def encoded(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
+    """The column's texts as UTF-8, null as empty, straight from Arrow's buffer."""
+    return [t or b"" for t in batch.column(name).cast(pa.binary()).to_pylist()]
 
 
 # Word hashing: a word's hash is a difference of prefix sums over its bytes, so a whole batch takes a few numpy passes.
@@ -144,7 +136,7 @@ def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
     return out
 
 
-def slices(texts: list[bytes], limit: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def slices(texts: list[bytes], limit: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Index ranges of about limit bytes, one text at least."""
     a = size = 0
     for i, t in enumerate(texts):

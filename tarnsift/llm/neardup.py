@@ -2,7 +2,7 @@
 
 Documents with equal shingle sets are one class from the start. The classes' signatures are cut into bands; classes that share a band are candidates. Within a bucket, signatures are compared batch by batch, and a pair leaves as soon as the posterior chance that its similarity reaches the threshold falls under the chosen miss probability. Survivors are verified on the full sets, and verified links are closed into components.
 
-No bucket emits all its pairs: a small one emits its survivors, a large one the best spanning forest of them, then, in two more rounds, what still joins different components (a few of the best for each two components, then all). Buckets beyond a block's size are dealt as pairs of blocks.
+No bucket emits all its pairs. In the first turn a small one emits its survivors and a large one the best spanning forest of them. In the second, the large buckets that still hold several components get the full sets of their members; every survivor between components is verified where it stands, and only a spanning forest of the links leaves. Buckets beyond a block's size are dealt as pairs of blocks.
 
 Edge cases: a null text, an empty one and one of separators only have no shingles and link with nothing; they stand alone. A text of fewer words than a shingle is one shingle. Rows that repeat a doc_id are one node. A row with null doc_id links with nothing: its component is null and it is kept. Ties do not arise, as the least doc_id names a component. Further columns are ignored.
 """
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, shingle_sets, slices
+from .common import cut, encoded, shingle_sets, slices
 from .graph import components
 
 HASHES = 128
@@ -26,9 +26,7 @@ BATCH = 32
 #: Chance to prune a pair that reaches the threshold, and to share no band at the threshold.
 MISS, BAND_MISS = 1e-5, 1e-6
 #: A bucket of at most SMALL classes emits all survivors; one over BLOCK is dealt as pairs of blocks.
-SMALL, BLOCK = 16, 4096
-#: Pairs that a large bucket emits for each two components in the second round.
-SECOND = 64
+SMALL, BLOCK = 16, 2048
 #: At most so many ids (a long and a digest each) are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -79,7 +77,7 @@ def signatures(docs: DataFrame, k: int, text: str = "text", key: str = "doc_id")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _coefficients(HASHES)
         for batch in batches:
-            texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
+            texts = encoded(batch)
             n, digest, sig = [], [], []
             for lo, hi in slices(texts):
                 for s in shingle_sets(texts[lo:hi], k):
@@ -128,13 +126,19 @@ def _forest(a: np.ndarray, b: np.ndarray, order: np.ndarray, size: int, labels:
     return np.array(picked, np.int64)
 
 
+def reaches(one: np.ndarray, two: np.ndarray, num: int, den: int) -> bool:
+    """Whether two sets, given sorted, have den * |A & B| >= num * |A | B|."""
+    common = len(np.intersect1d(one, two, assume_unique=True))
+    return den * common >= num * (len(one) + len(two) - common)
+
+
 class _Bucket:
     """Rows of whole buckets, compared with numpy."""
 
-    def __init__(self, threshold: tuple[int, int], bands: int, rows: int, turn: int):
+    def __init__(self, threshold: tuple[int, int], rows: int):
         self.num, self.den = threshold
         self.least = least_matches(self.num / self.den)
-        self.bands, self.rows, self.turn = bands, rows, turn
+        self.rows = rows
 
     def survivors(self, i: np.ndarray, j: np.ndarray, x: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Pairs in different components that sizes and signatures allow and that no earlier band holds, with their matches."""
@@ -177,32 +181,53 @@ class _Bucket:
         i = j = w = np.zeros(0, np.int64)
         side = x["side"][lo:hi]
         cross = side.min() != side.max()
-        for a in range(lo, hi, 256):
-            b = min(a + 256, hi)
+        joined: dict[int, int] = {}
+        for a in range(lo, hi, 128):
+            b = min(a + 128, hi)
             p, q = np.meshgrid(np.arange(a, b), np.arange(a, hi), indexing="ij")
             keep = (p < q) & (~cross | (x["side"][p] != x["side"][q]))
             got = self.survivors(p[keep], q[keep], x)
+            if not len(got[0]):
+                continue
+            if "set" in x:
+                got = self.exact(*got, x, joined)
+                i, j = np.concatenate([i, got[0]]), np.concatenate([j, got[1]])
+                continue
             i, j, w = (np.concatenate(y) for y in zip((i, j, w), got, strict=True))
-            if self.turn < 3 and len(i):
-                # By matches, then ids, so that the choice does not depend on the order of rows.
-                order = np.lexsort((x["id"][j] + x["id"][i], -w))
-                if self.turn == 1:
-                    kept = _forest(i - lo, j - lo, order, hi - lo, x["comp"][lo:hi])
-                else:
-                    ca, cb = np.minimum(x["comp"][i], x["comp"][j])[order], np.maximum(x["comp"][i], x["comp"][j])[order]
-                    group = np.lexsort((np.arange(len(order)), cb, ca))
-                    fresh = np.concatenate([[True], (np.diff(ca[group]) != 0) | (np.diff(cb[group]) != 0)])
-                    rank = np.arange(len(group)) - np.maximum.accumulate(np.where(fresh, np.arange(len(group)), 0))
-                    kept = order[group[rank < SECOND]]
-                i, j, w = i[kept], j[kept], w[kept]
+            # By matches, then ids, so that the choice does not depend on the order of rows.
+            kept = _forest(i - lo, j - lo, np.lexsort((x["id"][j], x["id"][i], -w)), hi - lo, x["comp"][lo:hi])
+            i, j, w = i[kept], j[kept], w[kept]
         return i, j
 
+    def exact(self, i: np.ndarray, j: np.ndarray, w: np.ndarray, x: dict, joined: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        """The links, verified on full sets, that join components not joined before."""
+
+        def find(c: int) -> int:
+            while joined.get(c, c) != c:
+                c = joined[c]
+            return c
 
-def candidate_pairs(members: DataFrame, threshold: tuple[int, int], bands: int, rows: int, turn: int) -> DataFrame:
-    """(a, b) to verify, from members (bucket, block, side, band, id, n, comp, sig). A bucket with its block pair is one group; a task streams its groups in order and holds one large group or some small ones."""
+        out: tuple[list[int], list[int]] = ([], [])
+        for e in np.argsort(-w, kind="stable").tolist():
+            a, b = int(i[e]), int(j[e])
+            p, q = find(int(x["comp"][a])), find(int(x["comp"][b]))
+            if p == q:
+                continue
+            one, two = (np.frombuffer(x["set"][r], np.uint64) for r in (a, b))
+            if reaches(one, two, self.num, self.den):
+                joined[max(p, q)] = min(p, q)
+                out[0].append(a)
+                out[1].append(b)
+        return np.array(out[0], np.int64), np.array(out[1], np.int64)
+
+
+def candidate_pairs(members: DataFrame, threshold: tuple[int, int], rows: int) -> DataFrame:
+    """(a, b) to verify, from members (bucket, block, side, band, id, n, comp, sig); verified links if they have a column set, too. A bucket with its block pair is one group; a task streams its groups in order and holds one large group or some small ones."""
+
+    has_set = "set" in members.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = _Bucket(threshold, bands, rows, turn)
+        work = _Bucket(threshold, rows)
 
         def emit(x: dict) -> Iterator[pa.RecordBatch]:
             change = np.flatnonzero((np.diff(x["bucket"]) != 0) | (np.diff(x["block"]) != 0)) + 1
@@ -222,6 +247,8 @@ def candidate_pairs(members: DataFrame, threshold: tuple[int, int], bands: int,
                 continue
             x = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "block", "side", "band", "id", "n", "comp")}
             x["sig"] = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(-1, HASHES)
+            if has_set:
+                x["set"] = np.array(batch.column("set").to_pylist() + [None], object)[:-1]
             held.append(x)
             last = (x["bucket"] == x["bucket"][-1]) & (x["block"] == x["block"][-1])
             if last[0] and (len(held) == 1 or (held[-2]["bucket"][-1] == x["bucket"][0] and held[-2]["block"][-1] == x["block"][0])) and last.all():
@@ -233,8 +260,9 @@ def candidate_pairs(members: DataFrame, threshold: tuple[int, int], bands: int,
         if held:
             yield from emit({c: np.concatenate([h[c] for h in held]) for c in held[0]})
 
-    dealt = members.repartition("bucket", "block").sortWithinPartitions("bucket", "block", "id")
-    return dealt.select("bucket", "block", "side", "band", "id", "n", "comp", "sig").mapInArrow(run, "a long, b long")
+    columns = ["bucket", "block", "side", "band", "id", "n", "comp", "sig", *(["set"] if has_set else [])]
+    dealt = members.select(*columns).repartition("bucket", "block").sortWithinPartitions("bucket", "block", "id")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: tuple[int, int]) -> DataFrame:
@@ -255,8 +283,7 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: tuple[int, i
             for a, b, text_a, text_b, digest_a, digest_b in zip(*(batch.column(c) for c in ("a", "b", "text_a", "text_b", "digest_a", "digest_b")), strict=True):
                 one, two = shingles("a", a.as_py(), text_a.as_py(), digest_a.as_py()), shingles("b", b.as_py(), text_b.as_py(), digest_b.as_py())
                 if one is not None and two is not None:
-                    common = len(np.intersect1d(one, two, assume_unique=True))
-                    if den * common >= num * (len(one) + len(two) - common):
+                    if reaches(one, two, num, den):
                         found[0].append(a.as_py())
                         found[1].append(b.as_py())
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["a", "b"])
@@ -266,6 +293,23 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: tuple[int, i
     return both.sortWithinPartitions("b", "a").select("a", "b", "text_a", "text_b", "digest_a", "digest_b").mapInArrow(run, "a long, b long").distinct()
 
 
+def hashed(texts: DataFrame, k: int) -> DataFrame:
+    """(id, set), the shingle hashes as bytes, from (id, digest, text); rows whose set has another digest go."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, digests = encoded(batch), batch.column("digest").to_pylist()
+            ids, sets = [], []
+            for lo, hi in slices(data):
+                for r, s in zip(range(lo, hi), shingle_sets(data[lo:hi], k), strict=True):
+                    if _digest(s) == digests[r]:
+                        ids.append(batch.column("id")[r].as_py())
+                        sets.append(s.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["id", "set"])
+
+    return texts.select("id", "digest", "text").mapInArrow(run, "id long, set binary").dropDuplicates(["id"])
+
+
 def _small_or_whole(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Marked for broadcast if it has at most so many rows, else left to a shuffled join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
@@ -292,25 +336,29 @@ def cluster(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100),
     some_large = bool(buckets.where(F.col("size") > SMALL).limit(1).count())
 
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    tested = comps = None
-    for turn in (1, 2, 3):
-        here = (buckets if turn == 1 else buckets.where(F.col("size") > SMALL)).join(reps.select("id", "n", "sig"), "id")
-        here = here.withColumn("comp", F.col("id")) if comps is None else here.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
-        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-        here = here.withColumn("side", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-        here = here.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        here = here.withColumn("block", F.least("side", "other").cast("long") * (1 << 20) + F.greatest("side", "other"))
-        pairs = candidate_pairs(here, threshold, bands, rows, turn).distinct()
-        pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+
+    def texts_of(ids: DataFrame) -> DataFrame:
         wanted = cut(reps.join(ids, "id", "left_semi").select("id", "doc_id", "digest"))
-        texts = source.join(_small_or_whole(wanted), "doc_id").select("id", "digest", "text")
-        new = cut(verified(pairs, texts, k, threshold))
-        links = new if links is None else links.union(new)
-        tested = pairs if tested is None else tested.union(pairs)
-        comps = components(links)
-        if not some_large:
-            break
+        return source.join(_small_or_whole(wanted), "doc_id").select("id", "digest", "text")
+
+    def in_blocks(members: DataFrame) -> DataFrame:
+        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+        members = members.withColumn("side", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+        members = members.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        return members.withColumn("block", F.least("side", "other").cast("long") * (1 << 20) + F.greatest("side", "other"))
+
+    facts = reps.select("id", "n", "sig")
+    pairs = cut(candidate_pairs(in_blocks(buckets.join(facts, "id").withColumn("comp", F.col("id"))), threshold, rows).distinct())
+    new = cut(verified(pairs, texts_of(pairs.select("a").union(pairs.select("b")).toDF("id").distinct()), k, threshold))
+    links = new if links is None else links.union(new)
+    comps = components(links)
+    if some_large:
+        large = buckets.where(F.col("size") > SMALL).join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+        open_ = large.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("bucket")
+        large = cut(large.join(open_, "bucket", "left_semi"))
+        sets = cut(hashed(texts_of(large.select("id").distinct()), k))
+        more = candidate_pairs(in_blocks(large.join(facts, "id").join(sets, "id")), threshold, rows)
+        comps = components(links.union(cut(more)))
     named = comps.join(classes.select("id", "least"), comps.node == classes.id)
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     reach = named.join(least, "component").select("id", "component_id")

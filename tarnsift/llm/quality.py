@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, held_out, mix, slices, word_hashes
+from .common import encoded, fold, held_out, mix, slices, word_hashes
 
 #: Training takes at most so many labelled rows, by a hash of the id.
 SAMPLE_ROWS = 20_000
@@ -138,10 +138,6 @@ def grow(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, b
     return Forest(start, np.array(features), np.array(thresholds), np.array(values))
 
 
-def _encoded(batch: pa.RecordBatch) -> list[bytes]:
-    return [(t or "").encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
-
-
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", key: str = "doc_id", rows: int = SAMPLE_ROWS) -> Forest:
     """A forest from at most about `rows` labelled documents outside the held-out fold, whose statistics alone come to the driver."""
     named = labels.where(F.col(label).isNotNull() & (fold(F.col(key)) != 0)).select(F.col(key).alias("doc_id"), F.col(label).cast("double").alias("y"))
@@ -153,7 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = statistics(_encoded(b))
+            x = statistics(encoded(b))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
 
     kind = docs.schema[key].dataType.simpleString()
@@ -172,7 +168,7 @@ def score(docs: DataFrame, model: Forest, text: str = "text", key: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(model.score(statistics(_encoded(b))), pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(model.score(statistics(encoded(b))), pa.float64())], names=["doc_id", "score"])
 
     return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
 
@@ -182,8 +178,7 @@ def keep(docs: DataFrame, model: Forest, text: str = "text", cutoff: float = CUT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [(t or "").encode("utf-8", "surrogatepass") for t in b.column(b.schema.get_field_index(text)).to_pylist()]
-            yield b.filter(pa.array(model.score(statistics(texts)) >= cutoff))
+            yield b.filter(pa.array(model.score(statistics(encoded(b, text))) >= cutoff))
 
     return docs.mapInArrow(run, docs.schema)
 

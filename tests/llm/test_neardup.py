@@ -68,14 +68,13 @@ def test_matches_brute_force(spark):
 def test_large_bucket_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 40)
     monkeypatch.setattr(neardup, "SMALL", 4)
-    monkeypatch.setattr(neardup, "SECOND", 2)
     r = random.Random(4)
     base = [f"w{r.randrange(900)}" for _ in range(90)]
     rows = []
     for i in range(130):
         w = list(base)
         for _ in range(r.randint(0, 4)):
-            w[r.randrange(len(w))] = f"z{i}"
+            w[r.randrange(len(w))] = f"z{i}{r.random()}"
         rows.append((1000 - i, " ".join(w)))
     check(spark, rows, 3, 85, 100)
 
