@@ -17,6 +17,6 @@ QUERIES = {
 
 SQL: dict[str, str] = {
     "op5_mixing": mixing.SQL,
-    "op7_embeddings": embeddings.query,
+    "op7_embeddings": embeddings.SQL,
     "op8_licenses": licenses.SQL,
 }
