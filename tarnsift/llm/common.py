@@ -15,10 +15,29 @@ WORD_CLASS = r"[^\x20\x09-\x0D]+"
 FOLDS = 5
 
 
+#: Rows and bytes of an Arrow batch, unless the session names its own: whole texts are long, and two or more Python workers share an executor's memory.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "512", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
+
+def mapped(df: DataFrame, run, schema: str) -> DataFrame:
+    """mapInArrow in small batches."""
+    conf = df.sparkSession.conf
+    given = conf.getAll
+    for k, v in BATCHES.items():
+        if k not in given:
+            conf.set(k, v)
+    return df.mapInArrow(run, schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def local(spark: SparkSession, rows: list[tuple], schema: pa.Schema) -> DataFrame:
+    """A small table of the driver's own. Through Arrow the JVM reads it by itself; from a list it would start further Python workers."""
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema))
+
+
 def fold(doc_id: Column) -> Column:
     """crc32 of the id as text, mod 5; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS
@@ -79,11 +98,11 @@ def mix(h: np.ndarray) -> np.ndarray:
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     cache = process_cache()
     if n > cache.get("powers_n", 0):
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 19)
         up, down = np.full(size, _MULT, np.uint64), np.full(size, _inverse(_MULT), np.uint64)
         up[0] = down[0] = 1
         up, down = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-        if size > 1 << 22:
+        if size > 1 << 20:
             return up[:n], down[:n]
         cache["powers"], cache["powers_n"] = (up, down), size
     up, down = cache["powers"]

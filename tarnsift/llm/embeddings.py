@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, mapped, table
 from .graph import components
 
 COSINE = 0.9
@@ -81,7 +81,7 @@ def blocks(rows: DataFrame, epsilon: float, block: int = BLOCK, dimensions: int
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("row", "id", "d", "v")), *(pa.array(cells[:, i]) for i in range(dimensions))], names=["row", "id", "d", "v", *(f"c{i}" for i in range(dimensions))])
 
     cells = [f"c{i}" for i in range(dimensions)]
-    sized = rows.where("d > 0").mapInArrow(order, f"row long, id long, d int, v {kind}, " + ", ".join(f"{c} long" for c in cells))
+    sized = rows.where("d > 0").transform(mapped, order, f"row long, id long, d int, v {kind}, " + ", ".join(f"{c} long" for c in cells))
     total = sum(lengths.values())
     parts = max(1, -(-total // block))
 
@@ -119,7 +119,7 @@ def blocks(rows: DataFrame, epsilon: float, block: int = BLOCK, dimensions: int
             yield from out(pa.Table.from_batches(held))
 
     ranged = sized.repartitionByRange(parts, "d", *cells, "row").sortWithinPartitions("d", *cells, "row")
-    packed = ranged.mapInArrow(pack, "d int, rows array<long>, ids array<long>, data binary, lo array<double>, hi array<double>")
+    packed = ranged.transform(mapped, pack, "d int, rows array<long>, ids array<long>, data binary, lo array<double>, hi array<double>")
     return cut(packed.withColumn("block", F.monotonically_increasing_id()))
 
 
@@ -252,7 +252,7 @@ def compare(pairs: DataFrame, packed: DataFrame, cosine: float = COSINE, narrow:
 
     side = lambda c: packed.select(F.col("block").alias(c), *(F.col(k).alias(f"{k}_{c}") for k in ("d", "rows", "ids", "data")))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.mapInArrow(run, "row long, id long, n long, other long")
+    return both.transform(mapped, run, "row long, id long, n long, other long")
 
 
 def link(vectors: DataFrame, cosine: float = COSINE, vector: str = "embedding", key: str = "vec_id", block: int = BLOCK) -> DataFrame:
@@ -269,7 +269,7 @@ def link(vectors: DataFrame, cosine: float = COSINE, vector: str = "embedding",
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return link(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+    return link(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
 SQL = """

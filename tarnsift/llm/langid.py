@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, held_out, process_cache
+from .common import fold, held_out, local, mapped, process_cache, table
 
 UNKNOWN = "und"
 ASCII_LETTER = re.compile(rb"[a-z]")
@@ -47,7 +47,7 @@ def train(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "
     # The share of hashes that holds `rows` rows with a little over; then an exact cut on the driver.
     span = {k: min(1.0, (rows + 4 * rows**0.5) / n) for k, n in counts.items()}
     u = F.pmod("h", F.lit(1 << 30)) / float(1 << 30)
-    shares = docs.sparkSession.createDataFrame(sorted(span.items()), "lang string, share double")
+    shares = local(docs.sparkSession, sorted(span.items()), pa.schema([("lang", pa.string()), ("share", pa.float64())]))
     picked = named.join(F.broadcast(shares), "lang").where(u < F.col("share")).select("lang", "text", "h").collect()
     out = []
     for name in sorted(counts, key=lambda k: (-counts[k], k)):
@@ -109,11 +109,11 @@ def identify(docs: DataFrame, model: list[tuple[str, bytes]], text: str = "text"
             schema = pa.schema([("doc_id", b.schema.field("doc_id").type), ("lang_pred", pa.string()), ("score", pa.float64()), ("margin", pa.float64()), ("rejected", pa.bool_())])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(x, t) for x, t in zip((lang, score, margin, rejected), schema.types[1:], strict=True))], schema=schema)
 
-    return df.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, margin double, rejected boolean")
+    return df.transform(mapped, run, f"doc_id {kind}, lang_pred string, score double, margin double, rejected boolean")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = train(docs.where(fold(F.col("doc_id")) != 0))
     found = identify(docs, model)
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "margin", "rejected")

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import table
+
 #: Equivalent spellings, put in place in this order on lower-case words between single spaces.
 SPELLINGS = (
     ("licence", "license"),
@@ -129,7 +131,7 @@ def digest(text: Column) -> Column:
 
 def known(spark: SparkSession, texts: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
     """(license, digest), one row per digest; a few hundred at most, whatever the input."""
-    df = spark.createDataFrame(list(texts), "license string, text string")
+    df = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(n).alias("license"), F.lit(t).alias("text")) for n, t in texts])))
     return df.select(digest(F.col("text")).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
 
 
@@ -141,16 +143,16 @@ def find(docs: DataFrame, licenses: DataFrame | None = None, text: str = "text",
     spark = docs.sparkSession
     licenses = known(spark) if licenses is None else licenses
     pairs = licenses.collect()
-    table = F.map_from_arrays(F.array(*[F.lit(r.digest) for r in pairs]), F.array(*[F.lit(r.license) for r in pairs])) if pairs else F.lit(None).cast("map<string,string>")
+    by_digest = F.map_from_arrays(F.array(*[F.lit(r.digest) for r in pairs]), F.array(*[F.lit(r.license) for r in pairs])) if pairs else F.lit(None).cast("map<string,string>")
     t = F.col(text)
     lines = F.split(_plain(t), "\n")
-    named = F.filter(F.transform(lines, lambda x: F.try_element_at(table, F.md5(_spelled(x).cast("binary")))), lambda x: x.isNotNull())
+    named = F.filter(F.transform(lines, lambda x: F.try_element_at(by_digest, F.md5(_spelled(x).cast("binary")))), lambda x: x.isNotNull())
     df = docs.select(F.col(key).alias("doc_id"), digest(t).alias("digest"), F.coalesce(named, F.array().cast("array<string>")).alias("named"))
     return df.join(F.broadcast(licenses), "digest", "left").select("doc_id", "digest", "license", F.array_join(F.array_sort(F.array_distinct("named")), ",").alias("notices"), F.size("named").cast("long").alias("n_notices"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return find(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return find(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def _sql() -> str:

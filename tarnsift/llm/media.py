@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import mapped, table
+
 WIDTH = 576
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 PAD = 255
@@ -142,7 +144,7 @@ def store(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
             png = [encode(np.frombuffer(payload_of(t), np.uint8).reshape(-1, WIDTH)) for t in raw]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(t) for t in raw], pa.int64()), pa.array(png, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, n_bytes long, media binary")
+    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).transform(mapped, run, f"doc_id {kind}, n_bytes long, media binary")
 
 
 def features(stored: DataFrame, media: str = "media", key: str = "doc_id") -> DataFrame:
@@ -160,8 +162,8 @@ def features(stored: DataFrame, media: str = "media", key: str = "doc_id") -> Da
             types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), *map(pa.array, columns, types)], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    return stored.select(F.col(key).alias("doc_id"), "n_bytes", F.col(media).alias("media")).mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return stored.select(F.col(key).alias("doc_id"), "n_bytes", F.col(media).alias("media")).transform(mapped, run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return features(store(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
+    return features(store(table(spark, sf_dir, "documents").select("doc_id", "text")))

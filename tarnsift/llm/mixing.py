@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_CLASS, cut
+from .common import WORD_CLASS, cut, local, mapped, table
 
 REPEATS = 3
 WEIGHTS = (1, 2, 3)
@@ -73,11 +73,11 @@ def slots(spark, quotas: list[int], block: int = BLOCK) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(t), chunk)), pa.array(s.astype(np.int64)), pa.array(local), pa.array(t)], names=["chunk", "number", "local", "slot"])
 
     chunks = -(-n // CHUNK)
-    dealt = spark.range(chunks).mapInArrow(run, "chunk long, number long, local long, slot long")
+    dealt = spark.range(chunks).transform(mapped, run, "chunk long, number long, local long, slot long")
     counts = dealt.groupBy("chunk", "number").agg(F.count("*").alias("here"))
     before = Window.partitionBy("number").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("before", F.coalesce(F.sum("here").over(before), F.lit(0)))
-    need = spark.createDataFrame([(i, -(-q // block)) for i, q in enumerate(quotas)], "number long, need long")
+    need = local(spark, [(i, -(-q // block)) for i, q in enumerate(quotas)], pa.schema([("number", pa.int64()), ("need", pa.int64())]))
     ranked = dealt.join(counts.select("chunk", "number", "before"), ["chunk", "number"]).select("number", (F.col("before") + F.col("local")).alias("rank"), "slot")
     kept = ranked.join(need, "number").where("rank < need").select("number", "rank", "slot")
     have = counts.groupBy("number").agg(F.sum("here").alias("have"))
@@ -130,7 +130,7 @@ def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str =
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    docs = cut(sized(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")))
+    docs = cut(sized(table(spark, sf_dir, "documents").select("doc_id", "text", "source")))
     plan, sources = schedule(docs)
     taken = plan.groupBy("row").agg(F.sum("words").alias("taken"))
     out = docs.join(taken, "row", "left").join(sources.select(F.col("source").alias("of"), "source_size", "target"), F.col("source").eqNullSafe(F.col("of")))

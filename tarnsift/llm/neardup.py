@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, encoded, shingle_sets, slices
+from .common import cut, encoded, mapped, shingle_sets, slices, table
 from .graph import components
 
 HASHES = 128
@@ -86,7 +86,7 @@ def signatures(docs: DataFrame, k: int, text: str = "text", key: str = "doc_id")
                     sig.append(signature(s, a, b).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())], names=["doc_id", "n", "digest", "sig"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n long, digest binary, sig binary")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).transform(mapped, run, "doc_id long, n long, digest binary, sig binary")
 
 
 def _forest(a: np.ndarray, b: np.ndarray, order: np.ndarray, size: int, labels: np.ndarray) -> np.ndarray:
@@ -262,7 +262,7 @@ def candidate_pairs(members: DataFrame, threshold: tuple[int, int], rows: int) -
 
     columns = ["bucket", "block", "side", "band", "id", "n", "comp", "sig", *(["set"] if has_set else [])]
     dealt = members.select(*columns).repartition("bucket", "block").sortWithinPartitions("bucket", "block", "id")
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.transform(mapped, run, "a long, b long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: tuple[int, int]) -> DataFrame:
@@ -290,7 +290,7 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: tuple[int, i
 
     side = lambda c: texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}"), F.col("digest").alias(f"digest_{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.sortWithinPartitions("b", "a").select("a", "b", "text_a", "text_b", "digest_a", "digest_b").mapInArrow(run, "a long, b long").distinct()
+    return both.sortWithinPartitions("b", "a").select("a", "b", "text_a", "text_b", "digest_a", "digest_b").transform(mapped, run, "a long, b long").distinct()
 
 
 def hashed(texts: DataFrame, k: int) -> DataFrame:
@@ -307,7 +307,7 @@ def hashed(texts: DataFrame, k: int) -> DataFrame:
                         sets.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["id", "set"])
 
-    return texts.select("id", "digest", "text").mapInArrow(run, "id long, set binary").dropDuplicates(["id"])
+    return texts.select("id", "digest", "text").transform(mapped, run, "id long, set binary").dropDuplicates(["id"])
 
 
 def _small_or_whole(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -369,4 +369,4 @@ def cluster(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100),
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return cluster(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), 3, (85, 100))
+    return cluster(table(spark, sf_dir, "documents").select("doc_id", "text"), 3, (85, 100))

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import process_cache
+from .common import mapped, process_cache, table
 
 WINDOW, END = 1024, 0
 #: Documents and remainder tokens of a shard; cached words of a worker.
@@ -203,7 +203,7 @@ def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int =
         shard(True)
         yield from out()
 
-    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).transform(mapped, run, f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
 def digested(pieces: DataFrame) -> DataFrame:
@@ -211,4 +211,4 @@ def digested(pieces: DataFrame) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return digested(pack(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
+    return digested(pack(table(spark, sf_dir, "documents").select("doc_id", "text")))

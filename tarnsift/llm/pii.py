@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, mapped, table
 
 KINDS = ("email", "ip", "card", "phone")
 LEARNED = "context"
@@ -142,7 +142,7 @@ def extract(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
                 places.append([dict(zip(("left", "right", "value", "lo", "hi", "seed"), p, strict=True)) for p in contexts(t or "", found)])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(base, spans_t), pa.array(places, places_t)], names=["doc_id", "base", "places"])
 
-    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, base array<struct<kind string, lo int, hi int>>, places array<struct<left string, right string, value string, lo int, hi int, seed boolean>>")
+    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).transform(mapped, run, f"doc_id {kind}, base array<struct<kind string, lo int, hi int>>, places array<struct<left string, right string, value string, lo int, hi int, seed boolean>>")
 
 
 def learned_contexts(places: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, turns: int = TURNS) -> DataFrame:
@@ -176,7 +176,7 @@ def detect(docs: DataFrame, text: str = "text", key: str = "doc_id", support: in
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    found = detect(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    found = detect(table(spark, sf_dir, "documents").select("doc_id", "text"))
     text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s.kind, s.lo, s.hi)), ",")
     count = [F.expr(f"size(filter(base, s -> s.kind = '{k}'))").cast("long").alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", *count, F.sha2(text("base"), 256).alias("base_sha256"), text(F.concat("base", "learned")).alias("spans"), F.size("learned").cast("long").alias("n_context"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import encoded, fold, held_out, mix, slices, word_hashes
+from .common import encoded, fold, held_out, mapped, mix, slices, table, word_hashes
 
 #: Training takes at most so many labelled rows, by a hash of the id.
 SAMPLE_ROWS = 20_000
@@ -153,7 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
 
     kind = docs.schema[key].dataType.simpleString()
-    got = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(sample), "doc_id").select("doc_id", "y", "text").mapInArrow(run, f"doc_id {kind}, y double, x array<double>").toPandas()
+    got = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(sample), "doc_id").select("doc_id", "y", "text").transform(mapped, run, f"doc_id {kind}, y double, x array<double>").toPandas()
     if not len(got):
         return grow(np.zeros((0, len(NAMES))), np.zeros(0))
     x = np.stack(got["x"].to_list())
@@ -170,7 +170,7 @@ def score(docs: DataFrame, model: Forest, text: str = "text", key: str = "doc_id
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(model.score(statistics(encoded(b))), pa.float64())], names=["doc_id", "score"])
 
-    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
+    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).transform(mapped, run, f"doc_id {kind}, score double")
 
 
 def keep(docs: DataFrame, model: Forest, text: str = "text", cutoff: float = CUTOFF) -> DataFrame:
@@ -180,10 +180,10 @@ def keep(docs: DataFrame, model: Forest, text: str = "text", cutoff: float = CUT
         for b in batches:
             yield b.filter(pa.array(model.score(statistics(encoded(b, text))) >= cutoff))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(mapped, run, docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
     return score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= CUTOFF).cast("int").alias("predicted"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import process_cache
+from .common import mapped, process_cache, table
 
 KINDS = ("assign", "access", "hex")
 LEARNED = "random"
@@ -126,7 +126,7 @@ def detect(docs: DataFrame, text: str = "text", key: str = "doc_id", labelled: l
                 learned.append(as_rows(learned_spans(t or "", found, model, threshold)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(base, spans_t), pa.array(learned, spans_t)], names=["doc_id", "base", "learned"])
 
-    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, base array<struct<kind string, lo int, hi int>>, learned array<struct<kind string, lo int, hi int>>")
+    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).transform(mapped, run, f"doc_id {kind}, base array<struct<kind string, lo int, hi int>>, learned array<struct<kind string, lo int, hi int>>")
 
 
 def cut_out(text: str, spans: list[tuple[int, int]], mark: str = "[SECRET]") -> str:
@@ -152,11 +152,11 @@ def redact(docs: DataFrame, text: str = "text", labelled: list[tuple[str, int]]
                 out.append(cut_out(t, [(x, y) for x, y, _ in found], mark) if found else t)
             yield b.set_column(i, b.schema.field(i), pa.array(out, b.schema.field(i).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(mapped, run, docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    found = detect(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    found = detect(table(spark, sf_dir, "documents").select("doc_id", "text"))
     text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s.kind, s.lo, s.hi)), ",")
     count = [F.expr(f"size(filter(base, s -> s.kind = '{k}'))").cast("long").alias(f"n_{k}") for k in KINDS]
     # Base kinds keep their order at one start; a learned span never shares a start with them.
