@@ -2,9 +2,9 @@
 
 Vectors with cosine of at least c have unit vectors within epsilon = sqrt(2 - 2c). Unit vectors are sorted by their grid cells on leading principal dimensions, cut into blocks, and each block gets a bounding box on those dimensions. Pairs of sequence intervals are halved again and again, from the whole table down to pairs of blocks, and a pair whose boxes lie further apart than epsilon is dropped with all below it: an orthonormal projection never lengthens a distance, so no link is lost, however the dimensions were fitted. The pairs of blocks left are compared in full, in double precision.
 
-A pair of blocks returns link counts per vector and a spanning forest of its links, never all links.
+Equal vectors are one class from the start; only its first row is sorted and compared, and it counts for as many links as it has rows. A pair of blocks returns link counts per vector and a spanning forest of its links, never all links.
 
-Edge cases: a vector that is null, empty, zero or holds a null or non-finite component links with nothing and is kept, as does a row with null id, whose component is null. Vectors of different length never link. Rows that repeat an id are one node of the graph; each of their vectors counts as a link of the others. An empty table gives no rows. Labels and further columns are never read.
+Edge cases: a vector that is null, empty, zero or holds a null or non-finite component links with nothing and is kept, as does a row with null id, whose component is null. Vectors of different length never link. Rows that repeat an id are one node of the graph, but for those whose vector can't link; each of their vectors counts as a link of the others it reaches. An empty table gives no rows. Labels and further columns are never read.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ COSINE = 0.9
 #: Leading dimensions, vectors they are fitted on at most, and vectors of a block.
 DIMENSIONS, SAMPLE, BLOCK = 6, 4096, 2048
 #: Children of an interval at each level of the recursion.
-FAN = 4
+FAN = 16
 
 
 def unit(raw: np.ndarray) -> np.ndarray:
@@ -48,17 +48,24 @@ def _matrix(column: pa.ListArray, d: int) -> np.ndarray:
 
 
 def prepared(vectors: DataFrame, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
-    """Per row: row (a number), id, v (array<float> if given so, else array<double>; null where it can't link), d (its length)."""
+    """Per row: row (a number), id, v (array<float> if given so, else array<double>; null where it can't link), d (its length), digest (128 bits of v)."""
     narrow = vectors.schema[vector].dataType.simpleString() == "array<float>"
     x = F.col(vector) if narrow else F.col(vector).cast("array<double>")
     # A null component makes the first test null, a NaN or infinite one fails it.
     sound = F.forall(x, lambda c: F.abs(c) < float("inf")) & F.exists(x, lambda c: c != 0)
     df = vectors.select(F.col(key).cast("long").alias("id"), F.when(F.coalesce(sound, F.lit(False)) & F.col(key).isNotNull(), x).alias("v"))
-    return cut(df.withColumn("row", F.monotonically_increasing_id()).withColumn("d", F.size("v")))
+    digest = F.when(F.col("v").isNotNull(), F.md5(F.array_join(F.col("v").cast("array<string>"), ",").cast("binary")))
+    return cut(df.withColumn("row", F.monotonically_increasing_id()).withColumn("d", F.size("v")).withColumn("digest", digest))
+
+
+def classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows to compare: row, v, d, copies; classes: digest, row, least, copies). Digests are counted before anything is joined, so a hot vector costs one row per task."""
+    made = cut(rows.where("v is not null").groupBy("digest").agg(F.min("row").alias("row"), F.min("id").alias("least"), F.count("*").alias("copies")))
+    return rows.join(made.select("row", "copies"), "row").select("row", "v", "d", "copies"), made
 
 
 def blocks(rows: DataFrame, epsilon: float, block: int = BLOCK, dimensions: int = DIMENSIONS) -> DataFrame:
-    """Packed blocks in grid order: (block, d, rows array<long>, ids array<long>, data binary of floats or doubles, as given, lo and hi of the box). A block holds vectors of one length."""
+    """Packed blocks in grid order: (block, d, rows array<long>, copies array<long>, data binary of floats or doubles, as given, lo and hi of the box). A block holds vectors of one length."""
     lengths = {r.d: r.n for r in rows.groupBy("d").agg(F.count("*").alias("n")).where("d > 0").collect()}
     kind = rows.schema["v"].dataType.simpleString()
     bases = {}
@@ -78,10 +85,10 @@ def blocks(rows: DataFrame, epsilon: float, block: int = BLOCK, dimensions: int
                 base = bases[n]
                 p = (unit(_matrix(b.column("v").take(pa.array(pick)), n)) - base[0]) @ base[1:].T
                 cells[pick, : p.shape[1]] = np.floor(p / epsilon * 2).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("row", "id", "d", "v")), *(pa.array(cells[:, i]) for i in range(dimensions))], names=["row", "id", "d", "v", *(f"c{i}" for i in range(dimensions))])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("row", "copies", "d", "v")), *(pa.array(cells[:, i]) for i in range(dimensions))], names=["row", "copies", "d", "v", *(f"c{i}" for i in range(dimensions))])
 
     cells = [f"c{i}" for i in range(dimensions)]
-    sized = rows.where("d > 0").transform(mapped, order, f"row long, id long, d int, v {kind}, " + ", ".join(f"{c} long" for c in cells))
+    sized = rows.transform(mapped, order, f"row long, copies long, d int, v {kind}, " + ", ".join(f"{c} long" for c in cells))
     total = sum(lengths.values())
     parts = max(1, -(-total // block))
 
@@ -100,8 +107,8 @@ def blocks(rows: DataFrame, epsilon: float, block: int = BLOCK, dimensions: int
                     q = (unit(x) - base[0]) @ base[1:].T
                     p[:, : q.shape[1]] = q
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([n], pa.int32()), pa.array([part.column("row").to_pylist()], pa.list_(pa.int64())), pa.array([part.column("id").to_pylist()], pa.list_(pa.int64())), pa.array([x.tobytes()], pa.binary()), pa.array([p.min(axis=0).tolist()], pa.list_(pa.float64())), pa.array([p.max(axis=0).tolist()], pa.list_(pa.float64()))],
-                        names=["d", "rows", "ids", "data", "lo", "hi"],
+                        [pa.array([n], pa.int32()), pa.array([part.column("row").to_pylist()], pa.list_(pa.int64())), pa.array([part.column("copies").to_pylist()], pa.list_(pa.int64())), pa.array([x.tobytes()], pa.binary()), pa.array([p.min(axis=0).tolist()], pa.list_(pa.float64())), pa.array([p.max(axis=0).tolist()], pa.list_(pa.float64()))],
+                        names=["d", "rows", "copies", "data", "lo", "hi"],
                     )
 
         # Batches follow the grid order; a block is cut as soon as it is full, so a task holds one block and one batch.
@@ -119,7 +126,7 @@ def blocks(rows: DataFrame, epsilon: float, block: int = BLOCK, dimensions: int
             yield from out(pa.Table.from_batches(held))
 
     ranged = sized.repartitionByRange(parts, "d", *cells, "row").sortWithinPartitions("d", *cells, "row")
-    packed = ranged.transform(mapped, pack, "d int, rows array<long>, ids array<long>, data binary, lo array<double>, hi array<double>")
+    packed = ranged.transform(mapped, pack, "d int, rows array<long>, copies array<long>, data binary, lo array<double>, hi array<double>")
     return cut(packed.withColumn("block", F.monotonically_increasing_id()))
 
 
@@ -212,7 +219,7 @@ def _thin(i: np.ndarray, j: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarr
 
 
 def compare(pairs: DataFrame, packed: DataFrame, cosine: float = COSINE, narrow: bool = False) -> DataFrame:
-    """From pairs of blocks: rows (row, id, n, null) with numbers of links, and rows (null, id, null, other) with a spanning forest of them by id."""
+    """From pairs of blocks: rows (row, n, null) with numbers of links, and rows (row, null, other) with a spanning forest of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,7 +230,7 @@ def compare(pairs: DataFrame, packed: DataFrame, cosine: float = COSINE, narrow:
                     continue
                 x, y = (unit(np.frombuffer(batch.column(c)[r].as_buffer(), np.float32 if narrow else np.float64).reshape(-1, d)) for c in ("data_a", "data_b"))
                 rows = [np.array(batch.column(c)[r].as_py()) for c in ("rows_a", "rows_b")]
-                ids = [np.array(batch.column(c)[r].as_py()) for c in ("ids_a", "ids_b")]
+                copies = [np.array(batch.column(c)[r].as_py()) for c in ("copies_a", "copies_b")]
                 count_x, count_y = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)
                 li, lj = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
                 for at in range(0, len(x), 512):
@@ -232,39 +239,48 @@ def compare(pairs: DataFrame, packed: DataFrame, cosine: float = COSINE, narrow:
                         near[np.arange(near.shape[0]), at + np.arange(near.shape[0])] = False
                     if near.any():
                         i, j = np.nonzero(near)
-                        count_x += np.bincount(i + at, minlength=len(x))
-                        count_y += np.bincount(j, minlength=len(y))
+                        count_x[at : at + 512] += near @ copies[1]
+                        count_y += copies[0][at : at + 512] @ near
                         i, j = _thin(i + at, j + (0 if same else len(x)), len(x) + (0 if same else len(y)))
                         li.append(i)
                         lj.append(j)
                 i, j = np.concatenate(li), np.concatenate(lj)
-                all_ids = ids[0] if same else np.concatenate(ids)
-                links = _forest(i, j, len(all_ids))
-                counted = [(rows[0], ids[0], count_x)] + ([] if same else [(rows[1], ids[1], count_y)])
-                for row, own, n in counted:
+                both_rows = rows[0] if same else np.concatenate(rows)
+                links = _forest(i, j, len(both_rows))
+                for row, n in [(rows[0], count_x)] + ([] if same else [(rows[1], count_y)]):
                     some = n > 0
                     if some.any():
-                        yield pa.RecordBatch.from_arrays([pa.array(row[some]), pa.array(own[some]), pa.array(n[some]), pa.nulls(int(some.sum()), pa.int64())], names=["row", "id", "n", "other"])
+                        yield pa.RecordBatch.from_arrays([pa.array(row[some]), pa.array(n[some]), pa.nulls(int(some.sum()), pa.int64())], names=["row", "n", "other"])
                 if links:
                     a, b = np.array(links).T
-                    none = pa.nulls(len(a), pa.int64())
-                    yield pa.RecordBatch.from_arrays([none, pa.array(all_ids[a]), none, pa.array(all_ids[b])], names=["row", "id", "n", "other"])
+                    yield pa.RecordBatch.from_arrays([pa.array(both_rows[a]), pa.nulls(len(a), pa.int64()), pa.array(both_rows[b])], names=["row", "n", "other"])
 
-    side = lambda c: packed.select(F.col("block").alias(c), *(F.col(k).alias(f"{k}_{c}") for k in ("d", "rows", "ids", "data")))
+    side = lambda c: packed.select(F.col("block").alias(c), *(F.col(k).alias(f"{k}_{c}") for k in ("d", "rows", "copies", "data")))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.transform(mapped, run, "row long, id long, n long, other long")
+    return both.transform(mapped, run, "row long, n long, other long")
 
 
 def link(vectors: DataFrame, cosine: float = COSINE, vector: str = "embedding", key: str = "vec_id", block: int = BLOCK) -> DataFrame:
     """Per row: vec_id, n_links, component_id, kept."""
     epsilon = math.sqrt(max(0.0, 2 - 2 * cosine)) + 1e-9
     rows = prepared(vectors, vector, key)
-    packed = blocks(rows, epsilon, block)
+    single, made = classes(rows)
+    packed = blocks(cut(single), epsilon, block)
     found = cut(compare(near_blocks(packed.select("block", "d", "lo", "hi"), epsilon), packed, cosine, "float" in rows.schema["v"].dataType.simpleString()))
-    counts = found.where("row is not null").groupBy("row").agg(F.sum("n").alias("n_links"))
-    comps = components(found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
-    out = rows.select("row", "id").join(counts, "row", "left").join(comps, F.col("id") == comps.node, "left")
-    own = F.coalesce("component", "id")
+    counts = found.where("other is null").groupBy("row").agg(F.sum("n").alias("n"))
+    links = found.where("other is not null").select(F.col("row").alias("a"), F.col("other").alias("b"))
+    sound = rows.where("v is not null")
+    if sound.groupBy("id").count().where("count > 1").limit(1).count():
+        # Rows that repeat an id are one node: their classes are linked.
+        named = sound.select("id", "digest").join(made.select("digest", "row"), "digest")
+        first = named.groupBy("id").agg(F.min("row").alias("a"))
+        links = links.union(cut(named.join(first, "id").where("a < row").select("a", F.col("row").alias("b")).distinct()))
+    comps = components(links)
+    whole = made.join(comps, made.row == comps.node, "left").withColumn("component", F.coalesce("component", "row"))
+    least = whole.groupBy("component").agg(F.min("least").alias("component_id"))
+    facts = whole.join(least, "component").join(counts, "row", "left").select("digest", "component_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    out = rows.select("id", "digest").join(facts, "digest", "left")
+    own = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), own.alias("component_id"), F.coalesce(F.col("id") == own, F.lit(True)).alias("kept"))
 
 
