@@ -2,7 +2,7 @@
 
 Documents with equal shingle sets are one class from the start. The classes' signatures are cut into bands; classes that share a band are candidates. Within a bucket, signatures are compared batch by batch, and a pair leaves as soon as the posterior chance that its similarity reaches the threshold falls under the chosen miss probability. Survivors are verified on the full sets, and verified links are closed into components.
 
-No bucket emits all its pairs. In the first turn a small one emits its survivors and a large one the best spanning forest of them. In the second, the large buckets that still hold several components get the full sets of their members; every survivor between components is verified where it stands, and only a spanning forest of the links leaves. Buckets beyond a block's size are dealt as pairs of blocks.
+No bucket emits all its pairs. In the first turn a small one emits its survivors and a large one the best spanning forest of them. In the second, the large buckets that still hold several components name the members of survivors between components; these get their full sets, every such survivor is verified where it stands, and only a spanning forest of the links leaves. Buckets beyond a block's size are dealt as pairs of blocks.
 
 Edge cases: a null text, an empty one and one of separators only have no shingles and link with nothing; they stand alone. A text of fewer words than a shingle is one shingle. Rows that repeat a doc_id are one node. A row with null doc_id links with nothing: its component is null and it is kept. Ties do not arise, as the least doc_id names a component. Further columns are ignored.
 """
@@ -176,8 +176,8 @@ class _Bucket:
         i, j, _ = map(np.concatenate, zip(*found, strict=True))
         return i, j
 
-    def large(self, x: dict, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
-        """What a large bucket emits in this turn; pairs within one block of a cross task are left to the block's own task."""
+    def large(self, x: dict, lo: int, hi: int, involved: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """What a large bucket emits in this turn; pairs within one block of a cross task are left to the block's own task. involved: gets marks of the members of survivors, and nothing is emitted."""
         i = j = w = np.zeros(0, np.int64)
         side = x["side"][lo:hi]
         cross = side.min() != side.max()
@@ -189,6 +189,9 @@ class _Bucket:
             got = self.survivors(p[keep], q[keep], x)
             if not len(got[0]):
                 continue
+            if involved is not None:
+                involved[got[0]] = involved[got[1]] = True
+                continue
             if "set" in x:
                 got = self.exact(*got, x, joined)
                 i, j = np.concatenate([i, got[0]]), np.concatenate([j, got[1]])
@@ -221,8 +224,8 @@ class _Bucket:
         return np.array(out[0], np.int64), np.array(out[1], np.int64)
 
 
-def candidate_pairs(members: DataFrame, threshold: tuple[int, int], rows: int) -> DataFrame:
-    """(a, b) to verify, from members (bucket, block, side, band, id, n, comp, sig); verified links if they have a column set, too. A bucket with its block pair is one group; a task streams its groups in order and holds one large group or some small ones."""
+def _groups(members: DataFrame, threshold: tuple[int, int], rows: int, found, schema: str) -> DataFrame:
+    """Streams members (bucket, block, side, band, id, n, comp, sig, perhaps set) by bucket and pair of blocks; found makes batches of whole groups, given with their starts and sizes. A task holds one large group or some small ones."""
 
     has_set = "set" in members.columns
 
@@ -232,14 +235,7 @@ def candidate_pairs(members: DataFrame, threshold: tuple[int, int], rows: int) -
         def emit(x: dict) -> Iterator[pa.RecordBatch]:
             change = np.flatnonzero((np.diff(x["bucket"]) != 0) | (np.diff(x["block"]) != 0)) + 1
             start = np.concatenate([[0], change])
-            size = np.diff(np.concatenate([start, [len(x["id"])]]))
-            tiny = (size <= SMALL) & (size > 1)
-            pairs = [work.small(x, start[tiny], size[tiny])]
-            pairs += [work.large(x, int(s), int(s + z)) for s, z in zip(start, size, strict=True) if z > SMALL]
-            for i, j in pairs:
-                if len(i):
-                    a, b = x["id"][i], x["id"][j]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            yield from found(work, x, start, np.diff(np.concatenate([start, [len(x["id"])]])))
 
         held: list[dict] = []
         for batch in batches:
@@ -261,8 +257,51 @@ def candidate_pairs(members: DataFrame, threshold: tuple[int, int], rows: int) -
             yield from emit({c: np.concatenate([h[c] for h in held]) for c in held[0]})
 
     columns = ["bucket", "block", "side", "band", "id", "n", "comp", "sig", *(["set"] if has_set else [])]
-    dealt = members.select(*columns).repartition("bucket", "block").sortWithinPartitions("bucket", "block", "id")
-    return dealt.transform(mapped, run, "a long, b long")
+    return members.select(*columns).repartition("bucket", "block").sortWithinPartitions("bucket", "block", "id").transform(mapped, run, schema)
+
+
+def _paired(x: dict, pairs: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    for i, j in pairs:
+        if len(i):
+            a, b = x["id"][i], x["id"][j]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
+def candidate_pairs(members: DataFrame, threshold: tuple[int, int], rows: int) -> DataFrame:
+    """(a, b) to verify: all survivors of small buckets, the best spanning forest of those of each large one."""
+
+    def found(work: _Bucket, x: dict, start: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+        tiny = (size <= SMALL) & (size > 1)
+        yield from _paired(x, [work.small(x, start[tiny], size[tiny])])
+        for s, z in zip(start[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
+            yield from _paired(x, [work.large(x, s, s + z)])
+
+    return _groups(members, threshold, rows, found, "a long, b long")
+
+
+def involved(members: DataFrame, threshold: tuple[int, int], rows: int) -> DataFrame:
+    """(bucket, block, id) of the members of survivors between components."""
+
+    def found(work: _Bucket, x: dict, start: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+        marks = np.zeros(len(x["id"]), bool)
+        for s, z in zip(start.tolist(), size.tolist(), strict=True):
+            if z > 1:
+                work.large(x, s, s + z, marks)
+        if marks.any():
+            yield pa.RecordBatch.from_arrays([pa.array(x[c][marks]) for c in ("bucket", "block", "id")], names=["bucket", "block", "id"])
+
+    return _groups(members, threshold, rows, found, "bucket long, block long, id long")
+
+
+def exact_links(members: DataFrame, threshold: tuple[int, int], rows: int) -> DataFrame:
+    """(a, b), a spanning forest of each group's links between components, verified on the members' sets."""
+
+    def found(work: _Bucket, x: dict, start: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for s, z in zip(start.tolist(), size.tolist(), strict=True):
+            if z > 1:
+                yield from _paired(x, [work.large(x, s, s + z)])
+
+    return _groups(members, threshold, rows, found, "a long, b long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: tuple[int, int]) -> DataFrame:
@@ -355,9 +394,10 @@ def cluster(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100),
     if some_large:
         large = buckets.where(F.col("size") > SMALL).join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
         open_ = large.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("bucket")
-        large = cut(large.join(open_, "bucket", "left_semi"))
-        sets = cut(hashed(texts_of(large.select("id").distinct()), k))
-        more = candidate_pairs(in_blocks(large.join(facts, "id").join(sets, "id")), threshold, rows)
+        large = cut(in_blocks(large.join(open_, "bucket", "left_semi")))
+        who = cut(involved(large.join(facts, "id"), threshold, rows))
+        sets = cut(hashed(texts_of(who.select("id").distinct()), k))
+        more = exact_links(large.join(who, ["bucket", "block", "id"]).join(facts, "id").join(sets, "id"), threshold, rows)
         comps = components(links.union(cut(more)))
     named = comps.join(classes.select("id", "least"), comps.node == classes.id)
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
