@@ -78,8 +78,9 @@ def slots(spark, quotas: list[int], block: int = BLOCK) -> DataFrame:
     before = Window.partitionBy("number").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("before", F.coalesce(F.sum("here").over(before), F.lit(0)))
     need = local(spark, [(i, -(-q // block)) for i, q in enumerate(quotas)], pa.schema([("number", pa.int64()), ("need", pa.int64())]))
-    ranked = dealt.join(counts.select("chunk", "number", "before"), ["chunk", "number"]).select("number", (F.col("before") + F.col("local")).alias("rank"), "slot")
-    kept = ranked.join(need, "number").where("rank < need").select("number", "rank", "slot")
+    # The planner takes the generator's rows for few; without hints it would broadcast them.
+    ranked = dealt.join(counts.select("chunk", "number", "before").hint("merge"), ["chunk", "number"]).select("number", (F.col("before") + F.col("local")).alias("rank"), "slot")
+    kept = ranked.join(F.broadcast(need), "number").where("rank < need").select("number", "rank", "slot")
     have = counts.groupBy("number").agg(F.sum("here").alias("have"))
     short = need.join(have, "number", "left").withColumn("have", F.coalesce("have", F.lit(0))).where("have < need")
     late = short.select("number", F.explode(F.sequence("have", F.col("need") - 1)).alias("rank")).select("number", "rank", (F.lit(n) + F.col("rank") * len(quotas) + F.col("number")).alias("slot"))
@@ -115,7 +116,7 @@ def schedule(docs: DataFrame, block: int = BLOCK, weights: tuple[int, ...] = WEI
     sources = cut(targets(docs.groupBy("source").agg(F.sum("size").alias("source_size")), weights, repeats).withColumn("quota", F.floor(F.col("target") + 0.5)))
     quotas = [r.quota for r in sources.orderBy("number").select("quota").collect()]
     took = pieces(docs, sources.select("source", "number", "source_size", "quota"), block)
-    return took.join(slots(spark, quotas, block), ["number", "rank"]).select("slot", "row", "epoch", "start", "words"), sources
+    return took.join(slots(spark, quotas, block).hint("merge"), ["number", "rank"]).select("slot", "row", "epoch", "start", "words"), sources
 
 
 def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", block: int = BLOCK) -> DataFrame:
