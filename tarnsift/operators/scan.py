@@ -38,11 +38,11 @@ def with_hits(docs: DataFrame, base: Base, text: str = "text", key: str = "doc_k
 
     An entity is one term: literals within it are none. Of hits of a slot on the same words the longest stays; as literals here begin and end with words, equal words are equal spans. A null text counts as empty.
     """
+    from ..plans.fused import Scanner, spread
+
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from ..plans.fused import Scanner
-
         scanner = Scanner(base)
         types = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32()), ("slot", pa.string())]))
         for b in batches:
@@ -58,7 +58,7 @@ def with_hits(docs: DataFrame, base: Base, text: str = "text", key: str = "doc_k
                 masked.append("".join([*parts, low[at:]]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hits, types), pa.array(masked, pa.string())], names=[key, "hits", "masked"])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, hits array<struct<lo:int,hi:int,slot:string>>, masked string")
+    return spread(docs.select(key, text)).mapInArrow(run, f"`{key}` {kind}, hits array<struct<lo:int,hi:int,slot:string>>, masked string")
 
 
 def edges(rows: DataFrame, key: str = "doc_key") -> DataFrame:

@@ -22,8 +22,8 @@ from ..operators.scan import SPAN_BASE, WINDOW
 _CLASSES = ((r"[\p{L}\p{N}_]", r"\w"), (r"\p{L}\p{N}_", r"\w"))
 _TOKEN = re.compile(r"[^\W\d_]+|\d+")
 _PARA = re.compile(PARAGRAPH)
-#: What the entity kinds can't do without; a superset test for the gate.
-_SIGNS = {"EXTERNAL_ADDR": "@", "URL_REF": r"://|www\.|\./|/|[0-9]\.[0-9]", "ACCOUNT_REF": "[0-9]{2}", "FILE_PATH": r"[./\\]", "CODE_EXEC": r"\(|\||-c|-e|-rf|\+x|-d|if="}
+#: By recogniser, in their order: signs of which a match holds one at least. A text without them is not searched.
+_NEEDS = (("@",), ("://", "www."), ("/",), tuple("0123456789"), tuple("0123456789"), (".",), ("/", "\\", "."), ("sk-", "ghp_", "AKIA", "xox"), ("|",), ("(",), ("-c", "-e"), ("-rf", "+x", "-d", "if="))
 
 
 def _python(pattern: str) -> re.Pattern:
@@ -53,6 +53,8 @@ class Scanner:
         self.entities = [(k, _python(p)) for k, p in ENTITIES]
         self.entity_slots = set(base.entity_slots)
         self.needed = {e for r in self.rules for e in r.edges}
+        lexical = {slot for slot, _ in base.literals}
+        self.lexical = [{s for a, f, *_ in r.edges for s in (a, f)} & lexical for r in self.rules]
         self.refuting = {e[:4]: e[4] for e in base.refuting}
         self.least = dict(base.thresholds).get(mode)
         named = {f"{f}.{t}": i for i, (f, t, *_) in enumerate(TECHNIQUES)}
@@ -61,6 +63,8 @@ class Scanner:
     def found_entities(self, low: str) -> list[tuple[int, int, int, str]]:
         taken, out = defaultdict(list), []
         for prio, (kind, p) in enumerate(self.entities):
+            if not any(x in low for x in _NEEDS[prio]):
+                continue
             for m in p.finditer(low):
                 if len(m.group().strip(" ")) >= 4 and _span_free(taken[kind], *m.span()):
                     taken[kind].append(m.span())
@@ -143,8 +147,13 @@ class Scanner:
             best = min(best or (hi - lo, -lo, hi), (hi - lo, -lo, hi))
         return best[0], -best[1], best[2]
 
+    def possible(self, low: str) -> bool:
+        """Whether the literals that some rule needs occur at all; one pass of the automaton, before anything else."""
+        present = {s for _, x in self.automaton.iter(low) for s in self.slots[x]}
+        return any(s <= present for s in self.lexical)
+
     def fired(self, low: str) -> list[tuple[Rule, int, int, int]]:
-        found = self.edges(low)
+        found = self.edges(low) if self.possible(low) else None
         if not found or (self.least is not None and sum(w for e, w in self.refuting.items() if e in found) >= self.least):
             return []
         out, breaks = [], None
@@ -195,6 +204,10 @@ _TYPE = pa.list_(pa.string())
 
 def scan(docs: DataFrame, base: Base, mode: str = "ipi", key: str = "doc_key", text: str = "text", pad: int = 0) -> DataFrame:
     """(key, lo, hi, threat, severity, also, merged), one row per finding. A null text counts as empty. The base travels with the plan; each worker makes one automaton of it."""
+    return _scan(spread(docs.select(key, text)), base, mode, key, text, pad)
+
+
+def _scan(docs: DataFrame, base: Base, mode: str, key: str, text: str, pad: int) -> DataFrame:
     base.active(mode)
     kind = docs.schema[key].dataType.simpleString()
 
@@ -209,7 +222,7 @@ def scan(docs: DataFrame, base: Base, mode: str = "ipi", key: str = "doc_key", t
             types = {"lo": pa.int64(), "hi": pa.int64(), "threat": pa.string(), "severity": pa.string(), "also": _TYPE, "merged": pa.int64()}
             yield pa.RecordBatch.from_arrays([pa.array(keys, b.schema.field(0).type), *(pa.array([r[c] for r in rows], t) for c, t in types.items())], names=[key, *types])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, {FINDINGS}")
+    return docs.mapInArrow(run, f"`{key}` {kind}, {FINDINGS}")
 
 
 def gate(base: Base, mode: str, text: str = "text") -> Column:
@@ -222,17 +235,26 @@ def gate(base: Base, mode: str, text: str = "text") -> Column:
         slots = {s for a, f, *_ in r.edges for s in (a, f)}
         lexical = [s for s in slots if s in by_slot]
         wanted.add(min(lexical, key=lambda s: (len(by_slot[s]), s)) if lexical else min(slots))
-    literals = sorted({x for s in wanted for x in by_slot.get(s, ())})
+    literals = sorted({x for s in wanted for x in by_slot.get(s, ())} | {x for (k, _), needs in zip(ENTITIES, _NEEDS, strict=True) if k in wanted - set(by_slot) for x in needs})
     t = F.coalesce(F.col(text), F.lit(""))
-    low = F.lower(t)
-    any_of = F.lit(False)
+    test = t.rlike("[^\\x20-\\x7E\\n\\t\\rÀ-ÿ]|  ")
     for x in literals:
-        any_of = any_of | F.contains(low, F.lit(x))
-    for s in sorted(wanted - set(by_slot)):
-        any_of = any_of | low.rlike(_SIGNS.get(s, "."))
-    plain = ~t.rlike(r"[^\x20-\x7E\n\t\rÀ-ÿ]") & ~F.contains(t, F.lit("  "))
-    return ~plain | any_of
+        test = F.contains(F.lower(t), F.lit(x)) | test
+    return test
+
+
+def spread(docs: DataFrame) -> DataFrame:
+    """Rows of few files are dealt over all cores, since scanning costs far more than moving them. Tables of more files than cores stay as they are."""
+    if docs.isStreaming:
+        return docs
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if len(docs.inputFiles()) < cores else docs
 
 
 def scan_gated(docs: DataFrame, base: Base, mode: str = "ipi", key: str = "doc_key", text: str = "text", pad: int = 0) -> DataFrame:
-    return scan(docs.where(gate(base, mode, text)), base, mode, key, text, pad)
+    """scan() of the documents that pass the gate."""
+    dealt, test = spread(docs.select(key, text)), gate(base, mode, text)
+    if not docs.isStreaming:
+        # Not deterministic to the planner as a whole, so it stays above the exchange, where the rows are dealt.
+        test = F.when(F.monotonically_increasing_id() >= 0, test)
+    return _scan(dealt.where(test), base, mode, key, text, pad)
