@@ -311,10 +311,11 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: tuple[int, i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
 
-        def shingles(side: str, key: int, text: str, digest: bytes) -> np.ndarray | None:
-            if known.get(side, (None,))[0] != (key, digest, len(text)):
-                s = shingle_sets([text.encode("utf-8", "surrogatepass")], k)[0]
-                known[side] = (key, digest, len(text)), s if _digest(s) == digest else None
+        def shingles(side: str, key: int, text: str | None, digest: bytes) -> np.ndarray | None:
+            """The set of the class, or None for another row of the same doc_id."""
+            if known.get(side, (None,))[0] != (key, digest, text):
+                s = shingle_sets([(text or "").encode("utf-8", "surrogatepass")], k)[0]
+                known[side] = (key, digest, text), s if _digest(s) == digest else None
             return known[side][1]
 
         for batch in batches:

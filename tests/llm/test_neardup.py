@@ -115,3 +115,16 @@ def test_forest_spans():
         assert find(a[e]) != find(b[e])
         at[find(a[e])] = find(b[e])
     assert all(find(x) == find(y) for x, y in zip(a, b, strict=True))
+
+
+def test_verified_passes_over_rows_of_the_same_id(spark):
+    from tarnsift.llm.common import shingle_sets
+
+    words = "one two three four five six seven eight nine ten"
+    a, b = words + " aaa", words + " bbb"
+    digest = lambda t: bytes(neardup._digest(shingle_sets([t.encode()], 3)[0]))
+    kind = "binary"
+    for first in ("x" * len(a), None):
+        texts = spark.createDataFrame([(1, digest(a), first), (1, digest(a), a), (2, digest(b), b)], f"id long, digest {kind}, text string").coalesce(1)
+        pairs = spark.createDataFrame([(1, 2)], "a long, b long")
+        assert [tuple(r) for r in neardup.verified(pairs, texts, 3, (80, 100)).collect()] == [(1, 2)]
