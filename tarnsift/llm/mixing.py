@@ -8,6 +8,7 @@ Edge cases: a null text has no words; documents without words are never taken. N
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_CLASS, cut, local, mapped, table
+from .common import WORD_CLASS, cut, local, mapped, shared_dir, table
 
 REPEATS = 3
 WEIGHTS = (1, 2, 3)
@@ -120,8 +121,10 @@ def schedule(docs: DataFrame, block: int = BLOCK, weights: tuple[int, ...] = WEI
 
 
 def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", block: int = BLOCK) -> DataFrame:
-    """The mixed documents: each row once for every pass that takes of it, its text cut where its source's quota ends. Columns as before. docs is read twice and must come in the same partitions each time, as files do."""
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    """The mixed documents: each row once for every pass that takes of it, its text cut where its source's quota ends. Columns as before. The numbered rows are written to the shared folder once and read from there both times, so a row keeps its number whatever is lost or run again."""
+    at = f"{shared_dir(docs.sparkSession)}/mix-{uuid.uuid4().hex}"
+    docs.withColumn("_row", F.monotonically_increasing_id()).write.parquet(at)
+    numbered = docs.sparkSession.read.parquet(at)
     plan, _ = schedule(cut(sized(numbered, text, key, source, "_row")), block)
     takes = plan.groupBy(F.col("row").alias("_row"), "epoch").agg(F.sum("words").alias("_take")).select("_row", "_take")
     # A whole text stays as it is; of a part, the words stand with single spaces.

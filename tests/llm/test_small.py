@@ -133,6 +133,27 @@ def test_packing_is_whole(spark):
         assert at == 1024 or at & (at - 1) == 0
 
 
+def test_mixing_keeps_rows_when_splits_change(spark, tmp_path):
+    at, r = str(tmp_path / "docs"), random.Random(8)
+    spark.createDataFrame([(i, " ".join(["w"] * (i % 50 + 1)), r.choice("ab")) for i in range(400)], "doc_id long, text string, source string").repartition(8).write.parquet(at)
+    name = "spark.sql.files.openCostInBytes"
+    df = spark.read.parquet(at)
+    t = {x.source: x.target for x in mixing.targets(mixing.sized(df).groupBy("source").agg({"size": "sum"}).withColumnRenamed("sum(size)", "source_size")).collect()}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(1 << 30))
+    spark.conf.set("spark.sql.files.minPartitionNum", "1")
+    spark.conf.set(name, "1")
+    try:
+        mixed = mixing.mix(df, block=64)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "512")
+        got = {}
+        for x in mixed.collect():
+            got[x.source] = got.get(x.source, 0) + len(x.text.split())
+    finally:
+        for c in (name, "spark.sql.files.maxPartitionBytes", "spark.sql.files.minPartitionNum"):
+            spark.conf.unset(c)
+    assert all(abs(got[s] - t[s]) <= 1 for s in t)
+
+
 def test_mixing_near_targets(spark):
     r = random.Random(1)
     rows = [(i, " ".join(["w"] * r.randint(0, 300)), r.choice(["a", "b", "c", None])) for i in range(400)]
