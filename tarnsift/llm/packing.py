@@ -10,9 +10,11 @@ Edge cases: a null text counts as empty, that is the end id alone. Repeated rows
 from __future__ import annotations
 
 import base64
+import json
 import re
 from array import array
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -38,31 +40,40 @@ class Words(dict):
         super().__init__()
         self.encoding = encoding
 
+    def ids(self, text: str) -> bytes:
+        """Added tokens are matched inside the text, as the vocabulary's own tokenizer does."""
+        e = self.encoding
+        found = e.special_tokens_set and any(x in text for x in e.special_tokens_set)
+        return array("I", e.encode(text, allowed_special="all") if found else e.encode_ordinary(text)).tobytes()
+
     def __missing__(self, word: str) -> bytes:
-        ids = array("I", self.encoding.encode_ordinary(" " + word)).tobytes()
+        ids = self.ids(" " + word)
         if len(self) < CACHED:
             self[word] = ids
         return ids
 
 
 def words(vocabulary: str | None = None) -> Words:
-    """The worker's tokenizer, from a file of base64 tokens and ranks; by default the installed byte-level vocabulary."""
+    """The worker's tokenizer, from a file of base64 tokens and ranks, and the added tokens of the .json file beside it, if there is one; by default the installed byte-level vocabulary."""
     cache = process_cache()
     key = ("tokenizer", vocabulary)
     if key not in cache:
         import public_tokenizers
         import tiktoken
 
-        with open(vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        at = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
+        beside = Path(at).with_suffix(".json") if vocabulary else Path(public_tokenizers.path("byte_bpe_50k.json"))
+        added = {x["content"]: x["id"] for x in json.loads(beside.read_text("utf-8")).get("added_tokens", [])} if beside.exists() else {}
+        with open(at, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        cache[key] = Words(tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}))
+        cache[key] = Words(tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks={k: v for k, v in ranks.items() if v not in added.values()}, special_tokens=added))
     return cache[key]
 
 
 def tokens(text: str, known: Words) -> np.ndarray:
     """The text's ids and the end id. A single space between other signs always begins a token, so a text is the sum of its words."""
     parts = _PLACE.split(text) if _SPACES.search(text) or text[-1:].isspace() else text.split(" ")
-    ids = array("I", known.encoding.encode_ordinary(parts[0])).tobytes() if parts[0] else b""
+    ids = known.ids(parts[0]) if parts[0] else b""
     return np.frombuffer(ids + b"".join([known[w] for w in parts[1:]]) + END.to_bytes(4, "little"), np.uint32)
 
 

@@ -133,6 +133,17 @@ def test_packing_is_whole(spark):
         assert at == 1024 or at & (at - 1) == 0
 
 
+def test_added_tokens_inside_texts():
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    t, known = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.words()
+    r, end = random.Random(4), "<|endoftext|>"
+    texts = [f"a {end} b", end, end * 2, f"x{end}y"] + ["".join(r.choices([end, " ", "  ", "\n", "\t", "word", "12", "<|", "é"], k=r.randint(1, 20))) for _ in range(500)]
+    for x in texts:
+        assert packing.tokens(x, known).tolist() == [*t.encode(x, add_special_tokens=False).ids, 0], x
+
+
 def test_mixing_keeps_rows_when_splits_change(spark, tmp_path):
     at, r = str(tmp_path / "docs"), random.Random(8)
     spark.createDataFrame([(i, " ".join(["w"] * (i % 50 + 1)), r.choice("ab")) for i in range(400)], "doc_id long, text string, source string").repartition(8).write.parquet(at)
