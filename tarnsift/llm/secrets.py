@@ -1,6 +1,6 @@
 """Secrets: fixed patterns, and strings that look random to character Markov models.
 
-Two models of the same order, one of random strings and one of ordinary identifiers, are trained from labelled samples; a candidate string is a secret if the mean log-likelihood ratio per character is high enough.
+Two models of the same order, one of random strings and one of ordinary identifiers, are trained from labelled samples; a candidate string (20 signs at least, one of them a letter) is a secret if the mean log-likelihood ratio per character is high enough. With few digits the ratio must be higher, the more so the shorter the string is.
 
 Edge cases: a null text counts as empty. Failing matches are dropped whole, without retries. Learned spans never overlap base spans. Repeated rows are answered alike; no other column is read.
 """
@@ -30,8 +30,8 @@ _CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _CODE = np.full(128, len(ALPHABET), np.int64)
 _CODE[[ord(c) for c in ALPHABET]] = range(len(ALPHABET))
-#: The least mean log-likelihood ratio per character (nats), and the least number of digits in a candidate.
-THRESHOLD, DIGITS = 0.5, 3
+#: The least mean log-likelihood ratio per character (nats); with fewer than DIGITS digits, SLACK nats more over the whole string.
+THRESHOLD, DIGITS, SLACK = 0.5, 3, 6
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -92,7 +92,10 @@ def learned_spans(text: str, base: list[tuple[int, int, str]], model: np.ndarray
     out = []
     for m in _CANDIDATE.finditer(text):
         s = m.group()
-        if sum(map(str.isdigit, s)) >= DIGITS and any(map(str.isalpha, s)) and not any(a < m.end() and m.start() < b for a, b, _ in base) and ratio(s, model) >= threshold:
+        if not any(map(str.isalpha, s)) or any(a < m.end() and m.start() < b for a, b, _ in base):
+            continue
+        least = threshold + (SLACK / len(s) if sum(map(str.isdigit, s)) < DIGITS else 0)
+        if ratio(s, model) >= least:
             out.append((m.start(), m.end(), LEARNED))
     return out
 

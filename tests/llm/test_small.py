@@ -78,6 +78,18 @@ def test_secret_models():
     assert secrets.cut_out("ab12cd", [(1, 3), (2, 4)], "#") == "a#cd"
 
 
+def test_learned_spans_recall():
+    model, r = secrets.train(secrets.samples(1)), random.Random(12)
+    found = lambda s: secrets.learned_spans(f"see {s} there", secrets.base_spans(s), model) == [(4, 4 + len(s), "random")]
+    upper, lower, digits = secrets.ALPHABET[:26], secrets.ALPHABET[26:52], secrets.ALPHABET[52:62]
+    for letters in (upper + lower + digits, upper + lower, upper, lower):
+        for n in (20, 24, 32, 48):
+            keys = ["".join(r.choices(letters, k=n)) for _ in range(500)]
+            assert np.mean([found(s) for s in keys if not secrets.base_spans(s)]) > 0.94, (letters, n)
+    plain = [s for s, y in secrets.samples(2, 4000) if not y and len(s) >= 20]
+    assert np.mean([found(s) for s in plain]) < 0.01
+
+
 def test_contexts_find_unseen(spark):
     rows = [(i, f"please call our desk on +49 30 55{i:04d}7 today") for i in range(30)] + [(99, "please call our desk on 0049 30 777")]
     rows += [(100, "please call our desk on 0049-30-777 today")]
