@@ -1,6 +1,8 @@
 """Personal data: fixed patterns, and contexts learned from what these find.
 
-Fixed patterns give the base spans. Each is a seed: the words beside it become lexical contexts, and Spark scores the bipartite graph of contexts and identifier-like strings by turns (a context is as good as the share of its strings that are believed; a string is believed as the best of its contexts says). Contexts that end with high confidence and enough different seeds then mark the strings that no fixed pattern covers.
+Fixed patterns give the base spans. Each is a seed: the words beside it become lexical contexts, and Spark scores the bipartite graph of contexts and the strings found in them by turns (a context is as good as the share of its strings that are believed; a string is believed as the best of its contexts says). Contexts that end with high confidence and enough different seeds then mark the strings that no fixed pattern covers, of any shape and of up to MAX_WORDS words. Shape counts apart from context: a string of letters alone is no evidence for a context, and is marked only where the contexts on both sides hold.
+
+The texts are read twice: for the contexts of seeds, of which those with enough seeds go to all workers, and for the strings in these.
 
 Edge cases: a null text counts as empty, with no spans. Repeated rows are answered alike and count once per distinct string in a context's support. An empty table gives no rows. Matches fail as a whole: there is no retry within a failed match.
 """
@@ -8,6 +10,7 @@ Edge cases: a null text counts as empty, with no spans. Repeated rows are answer
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,12 +28,15 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_STRING = re.compile(r"[^\x20\x09-\x0D]+")
 
 #: Contexts count from so many distinct seed strings; with less confidence than this they mark nothing.
 SUPPORT, CONFIDENCE, TURNS = 3, 0.8, 4
+#: Words of a string without a fixed pattern.
+MAX_WORDS = 8
 #: Belief in a string that no context speaks for.
 PRIOR = 0.0
+#: Plain strings of a context that a task remembers to count them; it counts no more than these.
+REMEMBERED = 1 << 12
 
 
 def luhn(digits: str) -> bool:
@@ -77,61 +83,167 @@ def written(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def _shape(s: str) -> str:
-    """Runs of digits, of letters and of other signs, so that strings of one make look alike."""
-    return re.sub(r"[A-Za-z]+", "a", re.sub(r"[0-9]+", "9", s.strip(".,;:!?()[]{}\"'")))[:24]
-
-
 def _word(s: str) -> str:
     return s.strip(".,;!?()[]{}\"'").lower()[:40]
 
 
-def contexts(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, str, str, int, int, bool]]:
-    """(left context, right context, string, start, end, seed) of each base span and each other identifier-like word (one with a digit, two signs at least). A context is the two words on that side with the string's shape."""
-    taken, found = sorted((a, b) for _, a, b in spans), []
-    if not taken and not _DIGIT.search(text):
-        return []
+def _plain(s: str) -> bool:
+    """Letters alone, at most with signs inside or between words as ordinary words have them."""
+    return not _DIGIT.search(s) and not re.search(r"[^\W_][@_+=/\\#:.][^\W_]", s)
+
+
+def _left(words: list[str]) -> str:
+    return " ".join(words[-2:]) + " <" if words else ""
+
+
+def _right(words: list[str]) -> str:
+    return "> " + " ".join(words[:2]) if words else ""
+
+
+def _beside(text: str, a: int, b: int) -> tuple[str, str]:
+    """The contexts of a span: two words on each side, less at the ends of the text. Signs alone are no words."""
+    sides = []
+    for cut_off in (lambda n: text[max(0, a - n) : a], lambda n: text[b : b + n]):
+        n = 90
+        while True:
+            some = cut_off(n)
+            words = [w for w in map(_word, some.split()) if w]
+            # The outermost word may be cut by the window, so one more is asked for.
+            if len(words) > 2 or len(some) < n:
+                break
+            n *= 4
+        sides.append(words)
+    return _left(sides[0]), _right(sides[1])
+
+
+def _merged(spans: list[tuple[str, int, int]]) -> list[list[int]]:
     merged: list[list[int]] = []
-    for a, b in taken:
+    for a, b in sorted((a, b) for _, a, b in spans):
         if merged and a < merged[-1][1]:
             merged[-1][1] = max(b, merged[-1][1])
         else:
             merged.append([a, b])
-    places = [(a, b, True) for a, b in merged]
-    seen, i = -1, 0
-    for d in _DIGIT.finditer(text):
-        if d.start() < seen:
-            continue
-        lo = d.start()
-        while lo > max(seen, 0) and not (text[lo - 1] == " " or "\t" <= text[lo - 1] <= "\r"):
-            lo -= 1
-        hi = _STRING.match(text, d.start()).end()
-        seen = hi
-        while i < len(merged) and merged[i][1] <= lo:
-            i += 1
-        if i < len(merged) and merged[i][0] < hi:
-            continue
-        a, b = lo, hi
+    return merged
+
+
+def seeds(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, str, str, int, int, bool, bool]]:
+    """(left context, right context, string, start, end, True, False) of each base span, overlapping ones as one."""
+    return [(*_beside(text, a, b), text[a:b][:120], a, b, True, False) for a, b in _merged(spans)]
+
+
+def contexts(text: str, spans: list[tuple[str, int, int]], able: frozenset[str], between: bool = True) -> list[tuple[str, str, str | None, int, int, bool, bool]]:
+    """(left context, right context, string, start, end, seed, plain) of each base span and each other string beside a context of `able`.
+
+    Beside a context stands the run of words with a digit that it touches, or one word without; a sign that ends a clause ends the run. Up to MAX_WORDS words between a left and a right context are a place without a value: it can be marked, but scores neither.
+    """
+    found, taken = seeds(text, spans), _merged(spans)
+    if not able:
+        return found
+    raw = text.split()
+    norm = [w for w in map(_word, raw) if w]
+    n = len(norm)
+    if not n:
+        return found
+    after = [i + 2 for i, two in enumerate(zip(norm, norm[1:], strict=False)) if f"{two[0]} {two[1]} <" in able]
+    before = [i for i, two in enumerate(zip(norm, norm[1:], strict=False)) if f"> {two[0]} {two[1]}" in able]
+    if norm[0] + " <" in able:
+        after.insert(0, 1)
+    if "> " + norm[-1] in able:
+        before.append(n - 1)
+    after, before = [i for i in after if i < n], [i for i in before if i > 0]
+    if not after and not before:
+        return found
+    at = [m.span() for m in re.finditer(r"\S+", text) if _word(m.group())]
+    core = []
+    for a, b in at:
         while a < b and text[a] in "([{\"'":
             a += 1
         while b > a and text[b - 1] in ".,;:!?)]}\"'":
             b -= 1
-        if b - a >= 2:
-            places.append((a, b, False))
-    for a, b, seed in sorted(places):
-        shape = _shape(text[a:b])
-        before, after = text[max(0, a - 90) : a].split()[-2:], text[b : b + 90].split()[:2]
-        left = " ".join(map(_word, before)) + " < " + shape if before else ""
-        right = shape + " > " + " ".join(map(_word, after)) if after else ""
-        found.append((left, right, text[a:b][:120], a, b, seed))
-    return found
-
-
-def extract(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Per row: the key, counts by kind, base (array of kind, lo, hi) and places (array of left, right, value, lo, hi, seed)."""
+        core.append((a, b))
+    seeded = [False] * n
+    i = 0
+    for k, (a, b) in enumerate(at):
+        while i < len(taken) and taken[i][1] <= a:
+            i += 1
+        seeded[k] = i < len(taken) and taken[i][0] < b
+    ends = [text[b - 1] in ",;!?" or text[b - 1] == "." for _, b in at]
+    digit = [bool(_DIGIT.search(text, a, b)) for a, b in core]
+    runs: list[tuple[str, str, int, int]] = []
+    for lo in after:
+        if seeded[lo]:
+            continue
+        left, hi = _left(norm[max(0, lo - 2) : lo]), lo + 1
+        while digit[lo] and hi < n and hi - lo < MAX_WORDS and digit[hi] and not seeded[hi] and not ends[hi - 1]:
+            hi += 1
+        runs.append((left, "", lo, hi))
+        for hi in before[bisect_right(before, lo) : bisect_right(before, lo + MAX_WORDS)] if between else ():
+            if any(seeded[lo:hi]):
+                break
+            found.append((left, _right(norm[hi : hi + 2]), None, core[lo][0], core[hi - 1][1], False, _plain(text[core[lo][0] : core[hi - 1][1]])))
+    for hi in before:
+        if seeded[hi - 1]:
+            continue
+        lo = hi - 1
+        while digit[hi - 1] and lo > 0 and hi - lo < MAX_WORDS and digit[lo - 1] and not seeded[lo - 1] and not ends[lo - 1]:
+            lo -= 1
+        runs.append(("", _right(norm[hi : hi + 2]), lo, hi))
+    for left, right, lo, hi in runs:
+        a, b = core[lo][0], core[hi - 1][1]
+        if b > a:
+            value = text[a:b]
+            found.append((left, right, value[:120], a, b, False, _plain(value)))
+    return sorted(found, key=lambda p: p[3:5])
+
+
+def able_contexts(docs: DataFrame, text: str = "text", support: int = SUPPORT, confidence: float = CONFIDENCE) -> frozenset[str]:
+    """The contexts that can hold: those with so many distinct seed strings, less those that have too many plain strings.
+
+    Plain strings are never believed. Their distinct number is at least that of one task, and the others are at most as many as their occurrences, so no context that could hold is left out.
+    """
+
+    def seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got: set[tuple[str, str]] = set()
+            for t in b.column("text").to_pylist():
+                for left, right, value, *_ in seeds(t or "", base_spans(t or "")):
+                    got |= {(c, value) for c in (left, right) if c}
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in got], pa.string()) for i in (0, 1)], names=["context", "value"])
+
+    texts = docs.select(F.col(text).alias("text"))
+    pairs = texts.transform(mapped, seeded, "context string, value string").distinct()
+    enough = pairs.groupBy("context").count().where(F.col("count") >= support).toArrow()
+    seen = dict(zip(enough.column("context").to_pylist(), enough.column("count").to_pylist(), strict=True))
+    if not seen:
+        return frozenset()
+    some = frozenset(seen)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plain: dict[str, set[int]] = {}
+        other: dict[str, int] = {}
+        for b in batches:
+            for t in b.column("text").to_pylist():
+                for left, right, value, _, _, seed, is_plain in contexts(t or "", base_spans(t or ""), some, False):
+                    if seed:
+                        continue
+                    c = left or right
+                    if not is_plain:
+                        other[c] = other.get(c, 0) + 1
+                    elif len(known := plain.setdefault(c, set())) < REMEMBERED:
+                        known.add(hash(value))
+        names = list(plain.keys() | other.keys())
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([len(plain.get(c, ())) for c in names], pa.int64()), pa.array([other.get(c, 0) for c in names], pa.int64())], names=["context", "plain", "other"])
+
+    counts = texts.transform(mapped, counted, "context string, plain long, other long").groupBy("context").agg(F.max("plain"), F.sum("other")).toArrow()
+    never = {c for c, p, o in zip(*(x.to_pylist() for x in counts.columns), strict=True) if (o + seen[c]) / (p + o + seen[c]) < confidence}
+    return some - never
+
+
+def extract(docs: DataFrame, able: frozenset[str], text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Per row: the key, base (array of kind, lo, hi) and places (array of left, right, value, lo, hi, seed, plain)."""
     kind = docs.schema[key].dataType.simpleString()
     spans_t = pa.list_(pa.struct([("kind", pa.string()), ("lo", pa.int32()), ("hi", pa.int32())]))
-    places_t = pa.list_(pa.struct([("left", pa.string()), ("right", pa.string()), ("value", pa.string()), ("lo", pa.int32()), ("hi", pa.int32()), ("seed", pa.bool_())]))
+    places_t = pa.list_(pa.struct([("left", pa.string()), ("right", pa.string()), ("value", pa.string()), ("lo", pa.int32()), ("hi", pa.int32()), ("seed", pa.bool_()), ("plain", pa.bool_())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -139,25 +251,25 @@ def extract(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
             for t in b.column("text").to_pylist():
                 found = base_spans(t or "")
                 base.append([{"kind": k, "lo": x, "hi": y} for k, x, y in found])
-                places.append([dict(zip(("left", "right", "value", "lo", "hi", "seed"), p, strict=True)) for p in contexts(t or "", found)])
+                places.append([dict(zip(("left", "right", "value", "lo", "hi", "seed", "plain"), p, strict=True)) for p in contexts(t or "", found, able)])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(base, spans_t), pa.array(places, places_t)], names=["doc_id", "base", "places"])
 
-    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).transform(mapped, run, f"doc_id {kind}, base array<struct<kind string, lo int, hi int>>, places array<struct<left string, right string, value string, lo int, hi int, seed boolean>>")
+    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).transform(mapped, run, f"doc_id {kind}, base array<struct<kind string, lo int, hi int>>, places array<struct<left string, right string, value string, lo int, hi int, seed boolean, plain boolean>>")
 
 
 def learned_contexts(places: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, turns: int = TURNS) -> DataFrame:
-    """(context, confidence) of the contexts that hold, from (left, right, value, seed) rows.
+    """(context, confidence) of the contexts that hold, from (left, right, value, seed, plain) rows.
 
-    The graph has one edge per distinct context and string, so a context or a string that stands in a third of the corpus is aggregated before it is joined. Seeds stay believed; a further string is believed as the best context around it is.
+    The graph has one edge per distinct context and string, so a context or a string that stands in a third of the corpus is aggregated before it is joined. Seeds stay believed; a further string is believed as the best context around it is, a plain one not at all.
     """
-    edges = places.select(F.explode(F.array("left", "right")).alias("context"), "value", "seed").where("context <> ''").groupBy("context", "value").agg(F.max(F.col("seed").cast("double")).alias("seed"))
+    edges = places.where("value is not null").select(F.explode(F.array("left", "right")).alias("context"), "value", "seed", "plain").where("context <> ''").groupBy("context", "value").agg(F.max(F.col("seed").cast("double")).alias("seed"), F.min("plain").alias("plain"))
     # Contexts without enough seeds can never hold, so they leave the graph before the turns.
     able = edges.groupBy("context").agg(F.sum("seed").alias("seeds")).where(F.col("seeds") >= support)
     edges = cut(edges.join(able.select("context"), "context", "left_semi"))
     belief = F.col("seed")
     scored = edges.groupBy("context").agg(F.avg(belief).alias("confidence"))
     for _ in range(turns):
-        strings = edges.join(scored, "context").groupBy("value").agg(F.max(F.greatest("seed", F.lit(PRIOR))).alias("seed"), F.max("confidence").alias("best"))
+        strings = edges.join(scored, "context").groupBy("value").agg(F.max(F.greatest("seed", F.lit(PRIOR))).alias("seed"), F.max(F.when(~F.col("plain"), F.col("confidence"))).alias("best"))
         strings = strings.select("value", F.greatest("seed", F.when(F.col("best") >= confidence, F.col("best")).otherwise(F.lit(PRIOR))).alias("belief"))
         scored = edges.select("context", "value").join(strings, "value").groupBy("context").agg(F.avg("belief").alias("confidence"))
         scored = cut(scored)
@@ -166,11 +278,17 @@ def learned_contexts(places: DataFrame, support: int = SUPPORT, confidence: floa
 
 def detect(docs: DataFrame, text: str = "text", key: str = "doc_id", support: int = SUPPORT, confidence: float = CONFIDENCE, turns: int = TURNS) -> DataFrame:
     """Per row: the key, base spans and learned spans, both arrays of (kind, lo, hi)."""
-    rows = cut(extract(docs, text, key).withColumn("row", F.monotonically_increasing_id()))
+    rows = cut(extract(docs, able_contexts(docs, text, support, confidence), text, key).withColumn("row", F.monotonically_increasing_id()))
     places = rows.select("row", F.explode("places").alias("p")).select("row", "p.*")
     holds = learned_contexts(places, support, confidence, turns)
-    unseen = places.where("not seed").select("row", "lo", "hi", F.explode(F.array("left", "right")).alias("context"))
-    marked = unseen.join(holds.select("context"), "context", "left_semi").groupBy("row").agg(F.array_sort(F.collect_set(F.struct(F.lit(LEARNED).alias("kind"), "lo", "hi"))).alias("learned"))
+    unseen = places.where("not seed").select("row", "lo", "hi", "plain", F.col("value").isNull().alias("both"), F.explode(F.array("left", "right")).alias("context"))
+    held = unseen.join(holds.select("context"), "context", "left_semi").where("context <> ''").groupBy("row", "lo", "hi", "both").agg(F.max("plain").alias("plain"), F.count_distinct("context").alias("sides"))
+    # Between two contexts both must hold, and the nearest that does ends the string; a span inside another is part of it.
+    two = held.where("both and sides = 2").groupBy("row", "lo").agg(F.min("hi").alias("hi"))
+    one = held.where("not both and not plain").select("row", "lo", "hi")
+    marked = two.select("row", "lo", "hi").union(one).groupBy("row").agg(F.array_sort(F.collect_set(F.struct(F.lit(LEARNED).alias("kind"), "lo", "hi"))).alias("learned"))
+    inside = "exists(learned, y -> y.lo <= x.lo and x.hi <= y.hi and y.hi - y.lo > x.hi - x.lo)"
+    marked = marked.withColumn("learned", F.expr(f"filter(learned, x -> not {inside})"))
     none = F.lit([]).cast("array<struct<kind string, lo int, hi int>>")
     return rows.join(marked, "row", "left").select("doc_id", "base", F.coalesce("learned", none).alias("learned"))
 

@@ -97,6 +97,14 @@ def test_contexts_find_unseen(spark):
     assert all(len(got[i].base) == 1 for i in range(30))
 
 
+def test_contexts_mark_any_shape(spark):
+    rows = [(i, f"please call our desk on +49 30 55{i:04d}7 today") for i in range(30)] + [(100 + i, f"write to me at user{i}@mail.example or come") for i in range(30)]
+    unseen = {50: ("please call our desk on ", "0049 30 777", ""), 51: ("please call our desk on ", "0049-30-777", " today"), 52: ("call our desk on ", "555-123-4567", ", thanks"), 53: ("Please write to me at ", "ann2@localhost", ""), 54: ("write to me at ", "Ann at home", " or come"), 55: ("our desk on ", "4711", " today")}
+    rows += [(i, "".join(p)) for i, p in unseen.items()] + [(60, "call our desk on Monday"), (61, "desk 0049-30-777 on")]
+    got = {r.doc_id: [(s.lo, s.hi) for s in r.learned] for r in pii.detect(frame(spark, rows)).collect()}
+    assert {i: v for i, v in got.items() if v} == {i: [(len(a), len(a) + len(b))] for i, (a, b, _) in unseen.items()}
+
+
 def test_media_round_trip(spark):
     for r in media.features(media.store(frame(spark, ODD))).collect():
         t = next((x[1] or "").encode() for x in ODD if x[0] == r.doc_id)
