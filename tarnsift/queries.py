@@ -393,7 +393,7 @@ def cost_ols(spark, d):
 
 
 def cost_bootstrap(spark, d):
-    return M.bootstrap_slope(_costs(spark, d), "size", "ms", 200).select(F.round("lo", 4).alias("lo"), F.round("hi", 4).alias("hi"))
+    return M.bootstrap_slope(_costs(spark, d), "size", "ms").select(F.round("lo", 4).alias("lo"), F.round("hi", 4).alias("hi"))
 
 
 def cost_summary(spark, d):

@@ -164,3 +164,13 @@ def test_stream(spark, data, tmp_path):
 def test_severity(spark):
     df = spark.createDataFrame([("high",), ("low",), ("odd",)], "s string")
     assert [r[0] for r in df.select(findings.severity_order(F.col("s"))).collect()] == [0, 2, 3]
+
+
+def test_bootstrap_takes_all_resamples(spark, data, monkeypatch):
+    from tarnsift.operators import measure
+
+    asked = []
+    whole = measure.bootstrap_slope
+    monkeypatch.setattr(measure, "bootstrap_slope", lambda rows, size, ms, resamples=2000: asked.append(resamples) or whole(rows, size, ms, resamples))
+    got = queries.cost_bootstrap(spark, data).first()
+    assert asked == [2000] and got.lo <= got.hi
