@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import sys
 import tempfile
 from collections.abc import Iterator
@@ -78,13 +79,10 @@ def encoded(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [t or b"" for t in batch.column(name).cast(pa.binary()).to_pylist()]
 
 
-# Word hashing: a word's hash is a difference of prefix sums over its bytes, so a whole batch takes a few numpy passes.
+# Two ways to name words. Statistics and contexts take polynomials modulo a prime, a few numpy passes for a batch; what must tell texts apart takes a keyed digest of each distinct word.
 
-_MULT = 0x9E3779B97F4A7C15 | 1
-
-
-def _inverse(x: int) -> int:
-    return pow(x, -1, 1 << 64)
+_PRIME = (1 << 31) - 1
+_BASES = (1_234_567_891, 987_654_323)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -95,31 +93,56 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime, for x under 2^62."""
+    p = np.uint64(_PRIME)
+    x = (x & p) + (x >> np.uint64(31))
+    x = (x & p) + (x >> np.uint64(31))
+    return np.where(x >= p, x - p, x)
+
+
+def _powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Powers of each base and of its inverse, at least n of them."""
     cache = process_cache()
     if n > cache.get("powers_n", 0):
-        size = max(n, 1 << 19)
-        up, down = np.full(size, _MULT, np.uint64), np.full(size, _inverse(_MULT), np.uint64)
-        up[0] = down[0] = 1
-        up, down = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-        if size > 1 << 20:
-            return up[:n], down[:n]
-        cache["powers"], cache["powers_n"] = (up, down), size
-    up, down = cache["powers"]
-    return up[:n], down[:n]
-
-
-def _byte_table(lower: bool) -> np.ndarray:
+        size = max(n, 1 << 20)
+        made = []
+        for base in _BASES:
+            pair = []
+            for r in (base, pow(base, -1, _PRIME)):
+                x = np.ones(size, np.uint64)
+                k = 1
+                while k < size:
+                    more = min(k, size - k)
+                    x[k : k + more] = _reduced(x[:more] * np.uint64(pow(r, k, _PRIME)))
+                    k *= 2
+                pair.append(x)
+            made.append(tuple(pair))
+        if size > 1 << 22:
+            return made
+        cache["powers"], cache["powers_n"] = made, size
+    return cache["powers"]
+
+
+def _byte_table(lower: bool, salt: int) -> np.ndarray:
     b = np.arange(256, dtype=np.uint64)
     if lower:
         b[65:91] += np.uint64(32)
-    return mix(b + np.uint64(0x632BE59BD9B4E019))
+    return mix(b + np.uint64(0x632BE59BD9B4E019 + salt)) % np.uint64(_PRIME - 1) + np.uint64(1)
 
 
-def word_hashes(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of all texts in order, and where each text's words begin (one longer than texts). Words are runs without space or \\t-\\r; lower folds A-Z only."""
-    if not texts:
-        return np.zeros(0, np.uint64), np.zeros(1, np.int64)
+def run_hashes(joined: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
+    """64-bit hashes of byte ranges, from polynomials to two bases modulo 2^31 - 1; lower folds A-Z only."""
+    out = (ends - starts).astype(np.uint64)
+    for k, (up, down) in enumerate(_powers(len(joined) + 1)):
+        sums = np.zeros(len(joined) + 1, np.uint64)
+        np.cumsum(_reduced(_byte_table(lower, k)[joined] * up[: len(joined)]), out=sums[1:])
+        out = mix(out ^ _reduced(_reduced(sums[ends] - sums[starts]) * down[starts]) * np.uint64(0xD6E8FEB86659FD93))
+    return out
+
+
+def runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(all texts with a space after each, starts and ends of the words, index of each text's first word and one more). Words are runs without space or \\t-\\r."""
     joined = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     ends_of = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
     inside = ~((joined == 32) | ((joined >= 9) & (joined <= 13)))
@@ -127,31 +150,65 @@ def word_hashes(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.
     if len(joined) and inside[0]:
         change = np.concatenate([[0], change])
     starts, ends = change[::2], change[1::2]
-    up, down = _powers(len(joined) + 1)
-    sums = np.zeros(len(joined) + 1, np.uint64)
-    np.cumsum(_byte_table(lower)[joined] * up[: len(joined)], out=sums[1:])
-    h = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    return h, np.concatenate([[0], np.searchsorted(starts, ends_of)])
+    return joined, starts, ends, np.concatenate([[0], np.searchsorted(starts, ends_of)])
+
+
+def word_hashes(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts in order, and where each text's words begin (one longer than texts)."""
+    if not texts:
+        return np.zeros(0, np.uint64), np.zeros(1, np.int64)
+    joined, starts, ends, at = runs(texts)
+    return run_hashes(joined, starts, ends, lower), at
+
+
+class Digests(dict):
+    """Keyed 128-bit digests of distinct words; words beyond the first many are not kept."""
+
+    KEPT = 1 << 18
+
+    def __missing__(self, word: bytes) -> bytes:
+        d = hashlib.blake2b(word, digest_size=16, key=b"shingles").digest()
+        if len(self) < self.KEPT and len(word) < 256:
+            self[word] = d
+        return d
+
+
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+_SPREAD = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
+
+
+def _sorted_set(g: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Distinct rows (n, 2), sorted."""
+    order = np.argsort(g[0])
+    x, y = g[0][order], g[1][order]
+    if ((x[1:] == x[:-1]) & (y[1:] != y[:-1])).any():
+        order = np.lexsort((g[1], g[0]))
+        x, y = g[0][order], g[1][order]
+    new = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])]) if len(x) else np.zeros(0, bool)
+    return np.stack([x[new], y[new]], axis=1)
 
 
 def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
-    """Each text's sorted distinct k-word shingle hashes; a shorter text is one shingle, one without words none."""
-    h, at = word_hashes(texts)
-    if len(h) >= k:
-        g = np.zeros(len(h) - k + 1, np.uint64)
-        for i in range(k):
-            g = mix(g * np.uint64(0xD6E8FEB86659FD93) + h[i : len(h) - k + 1 + i])
+    """Each text's distinct k-word shingles, A-Z folded, as sorted rows of two 64-bit numbers made of the digests of its words; a shorter text is one shingle, one without words none."""
+    known = process_cache().setdefault("digests", Digests())
+    # bytes.split() parts at space and \\t-\\r, as words are meant here.
+    words = [t.translate(_LOWER).split() for t in texts]
+    at = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
+    h = np.frombuffer(b"".join([known[w] for some in words for w in some]), np.uint64).reshape(-1, 2)
+
+    def shingled(lo: int, hi: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        g = [np.full(hi - lo - n + 1, 0 if n == k else n, np.uint64) for _ in "ab"]
+        for i in range(n):
+            g = [mix(x * m + h[lo + i : hi - n + 1 + i, c]) for c, (x, m) in enumerate(zip(g, _SPREAD, strict=True))]
+        return tuple(g)
+
+    whole = shingled(0, len(h), k) if len(h) >= k else None
     out = []
     for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
         if b - a >= k:
-            out.append(np.unique(g[a : b - k + 1]))
-        elif b > a:
-            one = np.zeros(1, np.uint64)
-            for i in range(a, b):
-                one = mix(one * np.uint64(0xD6E8FEB86659FD93) + h[i : i + 1])
-            out.append(mix(one + np.uint64(b - a)))
+            out.append(_sorted_set(tuple(x[a : b - k + 1] for x in whole)))
         else:
-            out.append(np.zeros(0, np.uint64))
+            out.append(_sorted_set(shingled(a, b, b - a)) if b > a else np.zeros((0, 2), np.uint64))
     return out
 
 

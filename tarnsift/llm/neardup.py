@@ -1,10 +1,12 @@
 """Near-duplicates by MinHash bands and sequential Bayesian verification.
 
-Documents with equal shingle sets are one class from the start. The classes' signatures are cut into bands; classes that share a band are candidates. Within a bucket, signatures are compared batch by batch, and a pair leaves as soon as the posterior chance that its similarity reaches the threshold falls under the chosen miss probability. Survivors are verified on the full sets, and verified links are closed into components.
+Documents with equal shingle sets are one class from the start. The classes' signatures are cut into bands; classes that share a band are candidates. Signatures are compared batch by batch, and a pair leaves as soon as the posterior chance that its similarity reaches the threshold falls under the chosen miss probability. Survivors are verified on the full sets, and verified links are closed into components.
 
-No bucket emits all its pairs. In the first turn a small one emits its survivors and a large one the best spanning forest of them. In the second, the large buckets that still hold several components name the members of survivors between components; these get their full sets, every such survivor is verified where it stands, and only a spanning forest of the links leaves. Buckets beyond a block's size are dealt as pairs of blocks.
+No bucket emits all its pairs. In the first turn each bucket has a leader, its least class, with which its other members are compared and verified; a group of near copies closes here. In the second, a bucket that still holds several components compares the members outside its largest one with all others of another component, dealt in blocks of bounded rows and bytes. Where few pairs survive these are verified on the texts; where many do, the members named get their sets, every survivor is verified where it stands, and only a spanning forest of the links leaves.
 
-Edge cases: a null text, an empty one and one of separators only have no shingles and link with nothing; they stand alone. A text of fewer words than a shingle is one shingle. Rows that repeat a doc_id are one node. A row with null doc_id links with nothing: its component is null and it is kept. Ties do not arise, as the least doc_id names a component. Further columns are ignored.
+A shingle is named by 128 bits made of keyed digests of its words.
+
+Edge cases: a null text, an empty one and one of separators only have no shingles and link with nothing; they stand alone. A text of fewer words than a shingle is one shingle. Very long texts are read whole. Rows that repeat a doc_id are one node. A row with null doc_id links with nothing: its component is null and it is kept. Ids may be of any type that has an order. Ties do not arise, as the least doc_id names a component. An empty table gives no rows. Further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,9 +27,9 @@ HASHES = 128
 BATCH = 32
 #: Chance to prune a pair that reaches the threshold, and to share no band at the threshold.
 MISS, BAND_MISS = 1e-5, 1e-6
-#: A bucket of at most SMALL classes emits all survivors; one over BLOCK is dealt as pairs of blocks.
-SMALL, BLOCK = 16, 2048
-#: At most so many ids (a long and a digest each) are broadcast; more are joined by a shuffle.
+#: Rows and bytes of sets of a block, pairs of one leader in a task, and survivors a row up to which a group emits them as pairs.
+BLOCK, BLOCK_BYTES, FOLLOWERS, FEW = 1024, 32 << 20, 256, 8
+#: At most so many rows of two or three longs are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
 
@@ -60,7 +62,7 @@ def _coefficients(hashes: int) -> tuple[np.ndarray, np.ndarray]:
 
 def signature(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Low 16 bits of the least of each linear hash over the set."""
-    x = (s >> np.uint64(32)).astype(np.uint32)
+    x = (s[:, 0] >> np.uint64(32)).astype(np.uint32)
     least = np.full(len(a), 0xFFFFFFFF, np.uint32)
     for i in range(0, len(x), 1024):
         np.minimum(least, (x[i : i + 1024, None] * a + b).min(axis=0), out=least)
@@ -73,6 +75,7 @@ def _digest(s: np.ndarray) -> bytes:
 
 def signatures(docs: DataFrame, k: int, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per row: the key, n (set size), digest of the set, signature; both null for an empty set."""
+    kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _coefficients(HASHES)
@@ -86,255 +89,205 @@ def signatures(docs: DataFrame, k: int, text: str = "text", key: str = "doc_id")
                     sig.append(signature(s, a, b).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())], names=["doc_id", "n", "digest", "sig"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).transform(mapped, run, "doc_id long, n long, digest binary, sig binary")
-
-
-def _forest(a: np.ndarray, b: np.ndarray, order: np.ndarray, size: int, labels: np.ndarray) -> np.ndarray:
-    """Indices of a spanning forest of the pairs (a, b) over labelled nodes that takes the pairs in the given order."""
-    parent = np.arange(size)
-    _, label = np.unique(labels, return_inverse=True)
-    picked: list[int] = []
-    a, b, index = label[a[order]], label[b[order]], order
-    while len(a):
-        # Boruvka: the first pair in order at each component joins it to another.
-        best = np.full(size, -1)
-        at = np.arange(len(a))[::-1]
-        best[b[::-1]] = at
-        first_b = best.copy()
-        best[:] = -1
-        best[a[::-1]] = at
-        both = np.where((best < 0) | ((first_b >= 0) & (first_b < best)), first_b, best)
-        for e in np.unique(both[both >= 0]).tolist():
-            x, y = int(a[e]), int(b[e])
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = int(parent[x])
-            while parent[y] != y:
-                parent[y] = parent[parent[y]]
-                y = int(parent[y])
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-                picked.append(int(index[e]))
-        while True:
-            up = parent[parent]
-            if (up == parent).all():
-                break
-            parent = up
-        a, b = parent[a], parent[b]
-        apart = a != b
-        a, b, index = a[apart], b[apart], index[apart]
-    return np.array(picked, np.int64)
+    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).transform(mapped, run, f"doc_id {kind}, n long, digest binary, sig binary")
 
 
 def reaches(one: np.ndarray, two: np.ndarray, num: int, den: int) -> bool:
-    """Whether two sets, given sorted, have den * |A & B| >= num * |A | B|."""
-    common = len(np.intersect1d(one, two, assume_unique=True))
+    """Whether two sets, as sorted distinct rows, have den * |A & B| >= num * |A | B|."""
+    small, large = (one, two) if len(one) <= len(two) else (two, one)
+    if den * len(small) < num * len(large):
+        return False
+    if (small[1:, 0] == small[:-1, 0]).any() or (large[1:, 0] == large[:-1, 0]).any():
+        common = len(set(map(tuple, small.tolist())) & set(map(tuple, large.tolist())))
+    else:
+        at = np.minimum(np.searchsorted(large[:, 0], small[:, 0]), len(large) - 1)
+        common = int((large[at] == small).all(axis=1).sum())
     return den * common >= num * (len(one) + len(two) - common)
 
 
-class _Bucket:
-    """Rows of whole buckets, compared with numpy."""
+class Judge:
+    """Which pairs of signatures may reach the threshold."""
 
     def __init__(self, threshold: tuple[int, int], rows: int):
         self.num, self.den = threshold
         self.least = least_matches(self.num / self.den)
         self.rows = rows
 
-    def survivors(self, i: np.ndarray, j: np.ndarray, x: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Pairs in different components that sizes and signatures allow and that no earlier band holds, with their matches."""
+    def survivors(self, x: dict, i: np.ndarray, y: dict, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Indices into x and y of the pairs that sizes and signatures allow, with their matches."""
         if not len(i):
             return i, j, np.zeros(0, np.int64)
-        small, large = np.minimum(x["n"][i], x["n"][j]), np.maximum(x["n"][i], x["n"][j])
-        keep = (x["comp"][i] != x["comp"][j]) & (small * self.den >= large * self.num)
+        small, large = np.minimum(x["n"][i], y["n"][j]), np.maximum(x["n"][i], y["n"][j])
+        keep = small * self.den >= large * self.num
         i, j = i[keep], j[keep]
         matches = np.zeros(len(i), np.int64)
         for n, m in self.least:
             for at in range(0, len(i), 1 << 16):
                 s = slice(at, at + (1 << 16))
-                matches[s] += (x["sig"][i[s], n - BATCH : n] == x["sig"][j[s], n - BATCH : n]).sum(axis=1)
+                matches[s] += (x["sig"][i[s], n - BATCH : n] == y["sig"][j[s], n - BATCH : n]).sum(axis=1)
             keep = matches >= m
             i, j, matches = i[keep], j[keep], matches[keep]
-        if len(i):
-            earlier = np.zeros(len(i), bool)
-            band = x["band"][i]
-            for k in range(int(band.max())):
-                part = slice(k * self.rows, (k + 1) * self.rows)
-                earlier |= (k < band) & (x["sig"][i, part] == x["sig"][j, part]).all(axis=1)
-            i, j, matches = i[~earlier], j[~earlier], matches[~earlier]
         return i, j, matches
 
-    def small(self, x: dict, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All survivors of many small buckets at once."""
-        at = np.repeat(start + size, size)
-        here = np.concatenate([np.arange(s, s + z) for s, z in zip(start.tolist(), size.tolist(), strict=True)]) if len(start) else np.zeros(0, np.int64)
-        found = [(np.zeros(0, np.int64),) * 3]
-        for d in range(1, SMALL):
-            i = here[here + d < at]
-            if not len(i):
-                break
-            found.append(self.survivors(i, i + d, x))
-        i, j, _ = map(np.concatenate, zip(*found, strict=True))
-        return i, j
-
-    def large(self, x: dict, lo: int, hi: int, involved: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """What a large bucket emits in this turn; pairs within one block of a cross task are left to the block's own task. involved: gets marks of the members of survivors, and nothing is emitted."""
-        i = j = w = np.zeros(0, np.int64)
-        side = x["side"][lo:hi]
-        cross = side.min() != side.max()
-        joined: dict[int, int] = {}
-        for a in range(lo, hi, 128):
-            b = min(a + 128, hi)
-            p, q = np.meshgrid(np.arange(a, b), np.arange(a, hi), indexing="ij")
-            keep = (p < q) & (~cross | (x["side"][p] != x["side"][q]))
-            got = self.survivors(p[keep], q[keep], x)
-            if not len(got[0]):
-                continue
-            if involved is not None:
-                involved[got[0]] = involved[got[1]] = True
-                continue
-            if "set" in x:
-                got = self.exact(*got, x, joined)
-                i, j = np.concatenate([i, got[0]]), np.concatenate([j, got[1]])
-                continue
-            i, j, w = (np.concatenate(y) for y in zip((i, j, w), got, strict=True))
-            # By matches, then ids, so that the choice does not depend on the order of rows.
-            kept = _forest(i - lo, j - lo, np.lexsort((x["id"][j], x["id"][i], -w)), hi - lo, x["comp"][lo:hi])
-            i, j, w = i[kept], j[kept], w[kept]
-        return i, j
+    def between(self, rest: dict, block: dict) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Survivors between components, of the rest with a block, that no earlier band holds; a pair within the rest once."""
+        for a in range(0, len(rest["id"]), 128):
+            b = min(a + 128, len(rest["id"]))
+            keep = (rest["comp"][a:b, None] != block["comp"]) & (~block["apart"] | (rest["id"][a:b, None] < block["id"]))
+            i, j = np.nonzero(keep)
+            i, j, w = self.survivors(rest, i + a, block, j)
+            if len(i):
+                earlier = np.zeros(len(i), bool)
+                band = rest["band"][i]
+                for k in range(int(band.max())):
+                    part = slice(k * self.rows, (k + 1) * self.rows)
+                    earlier |= (k < band) & (rest["sig"][i, part] == block["sig"][j, part]).all(axis=1)
+                i, j, w = i[~earlier], j[~earlier], w[~earlier]
+            if len(i):
+                yield i, j, w
 
-    def exact(self, i: np.ndarray, j: np.ndarray, w: np.ndarray, x: dict, joined: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        """The links, verified on full sets, that join components not joined before."""
 
-        def find(c: int) -> int:
-            while joined.get(c, c) != c:
-                c = joined[c]
-            return c
+def _signature_rows(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, HASHES)
 
-        out: tuple[list[int], list[int]] = ([], [])
-        for e in np.argsort(-w, kind="stable").tolist():
-            a, b = int(i[e]), int(j[e])
-            p, q = find(int(x["comp"][a])), find(int(x["comp"][b]))
-            if p == q:
-                continue
-            one, two = (np.frombuffer(x["set"][r], np.uint64) for r in (a, b))
-            if reaches(one, two, self.num, self.den):
-                joined[max(p, q)] = min(p, q)
-                out[0].append(a)
-                out[1].append(b)
-        return np.array(out[0], np.int64), np.array(out[1], np.int64)
 
+def likely(pairs: DataFrame, facts: DataFrame, threshold: tuple[int, int], rows: int) -> DataFrame:
+    """The pairs (a, b) that survive on their signatures. facts: (id, n, sig)."""
 
-def _groups(members: DataFrame, threshold: tuple[int, int], rows: int, found, schema: str) -> DataFrame:
-    """Streams members (bucket, block, side, band, id, n, comp, sig, perhaps set) by bucket and pair of blocks; found makes batches of whole groups, given with their starts and sizes. A task holds one large group or some small ones."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = Judge(threshold, rows)
+        for b in batches:
+            x, y = ({"n": b.column(f"n_{c}").to_numpy(), "sig": _signature_rows(b.column(f"sig_{c}"))} for c in "ab")
+            i, _, _ = judge.survivors(x, np.arange(b.num_rows), y, np.arange(b.num_rows))
+            yield b.select(["a", "b"]).take(pa.array(i))
+
+    side = lambda c: facts.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sig").alias(f"sig_{c}"))
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "n_a", "n_b", "sig_a", "sig_b").transform(mapped, run, "a long, b long")
+
+
+GROUP = ["bucket", "block", "chunk"]
 
+
+def _groups(members: DataFrame, threshold: tuple[int, int], rows: int, found, schema: str) -> DataFrame:
+    """Streams members (bucket, block, chunk, apart, rest, id, band, n, comp, sig, perhaps set) by group; found makes batches of one whole group, given as rest and block."""
+    columns = [*GROUP, "rest", "apart", "id", "band", "n", "comp"]
     has_set = "set" in members.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = _Bucket(threshold, rows)
-
-        def emit(x: dict) -> Iterator[pa.RecordBatch]:
-            change = np.flatnonzero((np.diff(x["bucket"]) != 0) | (np.diff(x["block"]) != 0)) + 1
-            start = np.concatenate([[0], change])
-            yield from found(work, x, start, np.diff(np.concatenate([start, [len(x["id"])]])))
+        judge = Judge(threshold, rows)
+        held: list[pa.RecordBatch] = []
 
-        held: list[dict] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "block", "side", "band", "id", "n", "comp")}
-            x["sig"] = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(-1, HASHES)
+        def emit(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            x = {c: t.column(c).to_numpy() for c in columns}
+            x["sig"] = _signature_rows(t.column("sig"))
             if has_set:
-                x["set"] = np.array(batch.column("set").to_pylist() + [None], object)[:-1]
-            held.append(x)
-            last = (x["bucket"] == x["bucket"][-1]) & (x["block"] == x["block"][-1])
-            if last[0] and (len(held) == 1 or (held[-2]["bucket"][-1] == x["bucket"][0] and held[-2]["block"][-1] == x["block"][0])) and last.all():
+                x["set"] = np.array([*t.column("set").to_pylist(), None], object)[:-1]
+            change = np.flatnonzero(np.any([x[c][1:] != x[c][:-1] for c in GROUP], axis=0)) + 1
+            for lo, hi in zip([0, *change.tolist()], [*change.tolist(), t.num_rows], strict=True):
+                part = {c: v[lo:hi] for c, v in x.items()}
+                yield from found(judge, *({c: v[part["rest"] == side] for c, v in part.items()} for side in (True, False)))
+
+        for b in batches:
+            if not b.num_rows:
                 continue
-            whole = {c: np.concatenate([h[c] for h in held]) for c in x}
-            rest = len(whole["id"]) - int(last.sum())
-            yield from emit({c: v[:rest] for c, v in whole.items()})
-            held = [{c: v[rest:] for c, v in whole.items()}]
+            last = np.all([b.column(c).to_numpy() == b.column(c)[-1].as_py() for c in GROUP], axis=0)
+            begins = int(last.argmax())
+            open_ = bool(held) and begins == 0 and all(held[-1].column(c)[-1] == b.column(c)[0] for c in GROUP)
+            if not open_ and (held or begins):
+                yield from emit(pa.Table.from_batches([*held, b.slice(0, begins)]))
+                held = []
+            held.append(b.slice(begins))
         if held:
-            yield from emit({c: np.concatenate([h[c] for h in held]) for c in held[0]})
-
-    columns = ["bucket", "block", "side", "band", "id", "n", "comp", "sig", *(["set"] if has_set else [])]
-    return members.select(*columns).repartition("bucket", "block").sortWithinPartitions("bucket", "block", "id").transform(mapped, run, schema)
+            yield from emit(pa.Table.from_batches(held))
 
+    return members.select(*columns, "sig", *(["set"] if has_set else [])).repartition(*GROUP).sortWithinPartitions(*GROUP, "rest", "id").transform(mapped, run, schema)
 
-def _paired(x: dict, pairs: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    for i, j in pairs:
-        if len(i):
-            a, b = x["id"][i], x["id"][j]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
+def candidates(members: DataFrame, threshold: tuple[int, int], rows: int, few: int = FEW) -> DataFrame:
+    """(bucket, block, chunk, a, b): the survivors of each group where they are few; else, with null b, the members that they name."""
 
-def candidate_pairs(members: DataFrame, threshold: tuple[int, int], rows: int) -> DataFrame:
-    """(a, b) to verify: all survivors of small buckets, the best spanning forest of those of each large one."""
+    def found(judge: Judge, rest: dict, block: dict) -> Iterator[pa.RecordBatch]:
+        a, b, n, most = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0, few * (len(rest["id"]) + len(block["id"]))
+        named = np.zeros(len(rest["id"]), bool), np.zeros(len(block["id"]), bool)
+        for i, j, _ in judge.between(rest, block):
+            n += len(i)
+            named[0][i] = named[1][j] = True
+            if n <= most:
+                a.append(np.minimum(rest["id"][i], block["id"][j]))
+                b.append(np.maximum(rest["id"][i], block["id"][j]))
+        if n:
+            some = n <= most
+            one = np.concatenate(a) if some else np.unique(np.concatenate([rest["id"][named[0]], block["id"][named[1]]]))
+            two = pa.array(np.concatenate(b)) if some else pa.nulls(len(one), pa.int64())
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(one), (rest[c] if len(rest[c]) else block[c])[0])) for c in GROUP), pa.array(one), two], names=[*GROUP, "a", "b"])
 
-    def found(work: _Bucket, x: dict, start: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
-        tiny = (size <= SMALL) & (size > 1)
-        yield from _paired(x, [work.small(x, start[tiny], size[tiny])])
-        for s, z in zip(start[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
-            yield from _paired(x, [work.large(x, s, s + z)])
-
-    return _groups(members, threshold, rows, found, "a long, b long")
+    return _groups(members, threshold, rows, found, "bucket long, block int, chunk int, a long, b long")
 
 
-def involved(members: DataFrame, threshold: tuple[int, int], rows: int) -> DataFrame:
-    """(bucket, block, id) of the members of survivors between components."""
+def exact_links(members: DataFrame, threshold: tuple[int, int], rows: int) -> DataFrame:
+    """(a, b), a spanning forest of each group's links between components, verified on the members' sets."""
 
-    def found(work: _Bucket, x: dict, start: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
-        marks = np.zeros(len(x["id"]), bool)
-        for s, z in zip(start.tolist(), size.tolist(), strict=True):
-            if z > 1:
-                work.large(x, s, s + z, marks)
-        if marks.any():
-            yield pa.RecordBatch.from_arrays([pa.array(x[c][marks]) for c in ("bucket", "block", "id")], names=["bucket", "block", "id"])
+    def found(judge: Judge, rest: dict, block: dict) -> Iterator[pa.RecordBatch]:
+        joined: dict[int, int] = {}
 
-    return _groups(members, threshold, rows, found, "bucket long, block long, id long")
+        def find(c: int) -> int:
+            while joined.get(c, c) != c:
+                c = joined[c]
+            return c
 
+        sets = [[np.frombuffer(s, np.uint64).reshape(-1, 2) for s in x["set"]] for x in (rest, block)]
+        out: tuple[list[int], list[int]] = ([], [])
+        for i, j, w in judge.between(rest, block):
+            for e in np.argsort(-w, kind="stable").tolist():
+                a, b = int(i[e]), int(j[e])
+                p, q = find(int(rest["comp"][a])), find(int(block["comp"][b]))
+                if p != q and reaches(sets[0][a], sets[1][b], judge.num, judge.den):
+                    joined[max(p, q)] = min(p, q)
+                    out[0].append(int(rest["id"][a]))
+                    out[1].append(int(block["id"][b]))
+        if out[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["a", "b"])
 
-def exact_links(members: DataFrame, threshold: tuple[int, int], rows: int) -> DataFrame:
-    """(a, b), a spanning forest of each group's links between components, verified on the members' sets."""
+    return _groups(members, threshold, rows, found, "a long, b long")
 
-    def found(work: _Bucket, x: dict, start: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for s, z in zip(start.tolist(), size.tolist(), strict=True):
-            if z > 1:
-                yield from _paired(x, [work.large(x, s, s + z)])
 
-    return _groups(members, threshold, rows, found, "a long, b long")
+def _small_or_whole(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Marked for broadcast if it has at most so many rows, else left to a shuffled join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: tuple[int, int]) -> DataFrame:
-    """The pairs whose full shingle sets reach the threshold. texts: (id, digest, text); of rows that share a doc_id, only those with the class's digest count."""
+def verified(pairs: DataFrame, texts, k: int, threshold: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b), a < b, whose full shingle sets reach the threshold. texts makes (id, digest, text) of ids; of rows that share a doc_id, only those with the class's digest count. The partners of one a stand in tasks of FOLLOWERS, each with one copy of its text."""
     num, den = threshold
+    many = cut(pairs.groupBy("a").agg(F.ceil(F.count("*") / FOLLOWERS).cast("int").alias("parts")).where("parts > 1"))
+    dealt = pairs.join(_small_or_whole(many), "a", "left").select("a", "b", F.coalesce("parts", F.lit(1)).alias("parts")).withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
+    dealt = cut(dealt.select("a", "part", "b").distinct())
+    text = cut(texts(dealt.select(F.col("a").alias("id")).union(dealt.select("b")).distinct()))
+    heads = dealt.select("a", "part").distinct().join(text, F.col("a") == text.id).select("a", "part", F.lit(None).cast("long").alias("b"), "digest", "text")
+    rest = dealt.join(text, F.col("b") == text.id).select("a", "part", "b", "digest", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict = {}
-
-        def shingles(side: str, key: int, text: str | None, digest: bytes) -> np.ndarray | None:
-            """The set of the class, or None for another row of the same doc_id."""
-            if known.get(side, (None,))[0] != (key, digest, text):
-                s = shingle_sets([(text or "").encode("utf-8", "surrogatepass")], k)[0]
-                known[side] = (key, digest, text), s if _digest(s) == digest else None
-            return known[side][1]
-
+        head, set_ = None, None
         for batch in batches:
             found: tuple[list, list] = ([], [])
-            for a, b, text_a, text_b, digest_a, digest_b in zip(*(batch.column(c) for c in ("a", "b", "text_a", "text_b", "digest_a", "digest_b")), strict=True):
-                one, two = shingles("a", a.as_py(), text_a.as_py(), digest_a.as_py()), shingles("b", b.as_py(), text_b.as_py(), digest_b.as_py())
-                if one is not None and two is not None:
-                    if reaches(one, two, num, den):
-                        found[0].append(a.as_py())
-                        found[1].append(b.as_py())
+            for a, part, b, digest, t in zip(*(batch.column(c) for c in ("a", "part", "b", "digest", "text")), strict=True):
+                here = a.as_py(), part.as_py()
+                s = shingle_sets([t.cast(pa.binary()).as_py() or b""], k)[0]
+                if _digest(s) != digest.as_py():
+                    continue
+                if b.as_py() is None:
+                    head, set_ = here, s
+                elif head == here and reaches(set_, s, num, den):
+                    found[0].append(here[0])
+                    found[1].append(b.as_py())
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["a", "b"])
 
-    side = lambda c: texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}"), F.col("digest").alias(f"digest_{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.sortWithinPartitions("b", "a").select("a", "b", "text_a", "text_b", "digest_a", "digest_b").transform(mapped, run, "a long, b long").distinct()
+    both = heads.union(rest).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    return both.transform(mapped, run, "a long, b long").distinct()
 
 
 def hashed(texts: DataFrame, k: int) -> DataFrame:
-    """(id, set), the shingle hashes as bytes, from (id, digest, text); rows whose set has another digest go."""
+    """(id, set), the shingles as bytes, from (id, digest, text); rows whose set has another digest go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -350,18 +303,14 @@ def hashed(texts: DataFrame, k: int) -> DataFrame:
     return texts.select("id", "digest", "text").transform(mapped, run, "id long, set binary").dropDuplicates(["id"])
 
 
-def _small_or_whole(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marked for broadcast if it has at most so many rows, else left to a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
-def cluster(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100), text: str = "text", key: str = "doc_id") -> DataFrame:
+def cluster(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100), text: str = "text", key: str = "doc_id", block: int = BLOCK, few: int = FEW) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept. Links are pairs with den * |A & B| >= num * |A | B| for threshold (num, den)."""
     bands, rows = band_rows(threshold[0] / threshold[1])
     sigs = cut(signatures(docs, k, text, key)).withColumn("row", F.monotonically_increasing_id())
     able = sigs.where("n > 0 and doc_id is not null")
     classes = cut(able.groupBy("digest").agg(F.min("row").alias("id"), F.min("doc_id").alias("least")))
     reps = cut(able.join(classes.select("id"), able.row == classes.id).select("id", "n", "sig", "digest", "doc_id"))
+    facts = reps.select("id", "n", "sig")
 
     links = None
     if able.groupBy("doc_id").count().where("count > 1").limit(1).count():
@@ -370,43 +319,51 @@ def cluster(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100),
         first = named.groupBy("doc_id").agg(F.min("id").alias("a"))
         links = cut(named.join(first, "doc_id").where("a < id").select("a", F.col("id").alias("b")).distinct())
 
-    keys = reps.select("id", F.posexplode(F.array(*[F.xxhash64(F.lit(i), F.expr(f"substring(sig, {2 * rows * i + 1}, {2 * rows})")) for i in range(bands)])).alias("band", "bucket"))
-    shared = keys.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    buckets = cut(keys.join(shared, "bucket"))
-    some_large = bool(buckets.where(F.col("size") > SMALL).limit(1).count())
-
-    source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    source = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
 
     def texts_of(ids: DataFrame) -> DataFrame:
         wanted = cut(reps.join(ids, "id", "left_semi").select("id", "doc_id", "digest"))
         return source.join(_small_or_whole(wanted), "doc_id").select("id", "digest", "text")
 
-    def in_blocks(members: DataFrame) -> DataFrame:
-        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-        members = members.withColumn("side", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-        members = members.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        return members.withColumn("block", F.least("side", "other").cast("long") * (1 << 20) + F.greatest("side", "other"))
-
-    facts = reps.select("id", "n", "sig")
-    pairs = cut(candidate_pairs(in_blocks(buckets.join(facts, "id").withColumn("comp", F.col("id"))), threshold, rows).distinct())
-    new = cut(verified(pairs, texts_of(pairs.select("a").union(pairs.select("b")).toDF("id").distinct()), k, threshold))
+    keys = reps.select("id", "n", F.posexplode(F.array(*[F.xxhash64(F.lit(i), F.expr(f"substring(sig, {2 * rows * i + 1}, {2 * rows})")) for i in range(bands)])).alias("band", "bucket"))
+    shared = keys.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("leader")).where("size > 1")
+    buckets = cut(keys.join(shared, "bucket").where("id <> leader"))
+    pairs = cut(likely(buckets.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), facts, threshold, rows))
+    new = cut(verified(pairs, texts_of, k, threshold))
     links = new if links is None else links.union(new)
     comps = components(links)
-    if some_large:
-        large = buckets.where(F.col("size") > SMALL).join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
-        open_ = large.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("bucket")
-        large = cut(in_blocks(large.join(open_, "bucket", "left_semi")))
-        who = cut(involved(large.join(facts, "id"), threshold, rows))
-        sets = cut(hashed(texts_of(who.select("id").distinct()), k))
-        more = exact_links(large.join(who, ["bucket", "block", "id"]).join(facts, "id").join(sets, "id"), threshold, rows)
-        comps = components(links.union(cut(more)))
+
+    # Pairs with a leader are done; two more members at least make another pair.
+    placed = buckets.where("size > 2").join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component", "leader", "size")
+    by_comp = placed.groupBy("bucket", "comp").agg(F.count("*").alias("size"), F.sum("n").alias("n"))
+    whole = by_comp.groupBy("bucket").agg(F.count("*").alias("comps"), F.sum("size").alias("size"), F.sum("n").alias("n"), F.max(F.struct("size", "n", "comp")).alias("most")).where("comps > 1")
+    parts = lambda size, n: F.greatest(F.ceil(size / block), F.ceil(n * 16 / BLOCK_BYTES)).cast("int")
+    whole = whole.select("bucket", F.col("most.comp").alias("giant"), parts(F.col("size"), F.col("n")).alias("blocks"), parts(F.col("size") - F.col("most.size"), F.col("n") - F.col("most.n")).alias("chunks"))
+    placed = cut(placed.join(whole, "bucket").withColumn("apart", F.col("comp") != F.col("giant")))
+    if placed.limit(1).count():
+        own = lambda of, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(of)).cast("int")
+        each = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+        one = placed.withColumn("rest", F.lit(False)).withColumn("block", own("blocks", 1)).withColumn("chunk", each("chunks"))
+        two = placed.where("apart").withColumn("rest", F.lit(True)).withColumn("block", each("blocks")).withColumn("chunk", own("chunks", 2))
+        members = one.unionByName(two).drop("n")
+        got = cut(candidates(members.join(facts, "id"), threshold, rows, few))
+        few = cut(got.where("b is not null").select("a", "b").distinct())
+        if few.limit(1).count():
+            links = links.union(cut(verified(few, texts_of, k, threshold)))
+            comps = components(links)
+        many = cut(got.where("b is null").select(*GROUP, F.col("a").alias("id")))
+        if many.limit(1).count():
+            sets = cut(hashed(texts_of(many.select("id").distinct()), k))
+            fresh = members.join(many, [*GROUP, "id"]).drop("comp").join(comps.select(F.col("node").alias("id"), F.col("component").alias("comp")), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+            links = links.union(cut(exact_links(fresh.join(facts, "id").join(sets, "id"), threshold, rows)))
+            comps = components(links)
     named = comps.join(classes.select("id", "least"), comps.node == classes.id)
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     reach = named.join(least, "component").select("id", "component_id")
     reach = classes.join(reach, "id", "left").select("digest", F.coalesce("component_id", "least").alias("component_id"))
     out = sigs.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(reach, "digest", "left")
-    own = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
+    own_id = F.coalesce("component_id", "doc_id")
+    return out.select("doc_id", "n_shingles", own_id.alias("component_id"), F.coalesce(F.col("doc_id") == own_id, F.lit(True)).alias("kept"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -39,9 +39,9 @@ def brute(rows, k, num, den):
     return sorted(out, key=str)
 
 
-def check(spark, rows, k, num, den):
-    df = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, component_id string").repartition(3)
-    got = sorted([tuple(r) for r in neardup.cluster(df, k, (num, den)).collect()], key=str)
+def check(spark, rows, k, num, den, **how):
+    df = spark.createDataFrame([(d, t, "x", "y", "z") for d, t in rows], "doc_id long, text string, component_id string, id string, _first string").repartition(3)
+    got = sorted([tuple(r) for r in neardup.cluster(df, k, (num, den), **how).collect()], key=str)
     assert got == brute(rows, k, num, den)
 
 
@@ -65,18 +65,38 @@ def test_matches_brute_force(spark):
     check(spark, rows, 3, 85, 100)
 
 
-def test_large_bucket_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "BLOCK", 40)
-    monkeypatch.setattr(neardup, "SMALL", 4)
-    r = random.Random(4)
+def hot(seed, n, edits, families=1):
+    """Near copies of a text, in families that differ by about as much as a link allows."""
+    r = random.Random(seed)
     base = [f"w{r.randrange(900)}" for _ in range(90)]
     rows = []
-    for i in range(130):
-        w = list(base)
-        for _ in range(r.randint(0, 4)):
+    for i in range(n):
+        w, f = list(base), i % families
+        for at in range(f):
+            w[30 * at + 5] = f"f{at}"
+        for _ in range(r.randint(0, edits)):
             w[r.randrange(len(w))] = f"z{i}{r.random()}"
         rows.append((1000 - i, " ".join(w)))
-    check(spark, rows, 3, 85, 100)
+    return rows
+
+
+@pytest.mark.parametrize("few", [0, 8])
+def test_large_bucket_in_blocks(spark, few):
+    check(spark, hot(4, 130, 4), 3, 85, 100, block=40, few=few)
+    check(spark, hot(5, 120, 3, 4), 3, 85, 100, block=30, few=few)
+
+
+def test_words_that_collide_in_powers_of_two_stay_apart(spark):
+    s = "a"
+    for _ in range(11):
+        s += s.translate(str.maketrans("ab", "ba"))
+    one, two = s[:1024], s[1024:2048]
+    check(spark, [(1, one), (2, two), (3, one.upper()), (4, f"x y {one}"), (5, f"x y {two}")], 3, 85, 100)
+
+
+def test_ids_of_text(spark):
+    df = spark.createDataFrame([("b", "one two three four"), ("a", "one two three four"), ("c", "other")], "doc_id string, text string")
+    assert sorted(map(tuple, neardup.cluster(df, 3).collect())) == [("a", 2, "a", True), ("b", 2, "a", False), ("c", 1, "c", True)]
 
 
 def test_empty_table(spark):
@@ -98,25 +118,6 @@ def test_bounds(t):
         assert (j >= t).mean() < 5 * neardup.MISS + 1e-5
 
 
-def test_forest_spans():
-    r = np.random.default_rng(5)
-    a, b = r.integers(0, 60, 500), r.integers(0, 60, 500)
-    keep = a != b
-    a, b = a[keep], b[keep]
-    picked = neardup._forest(a, b, r.permutation(len(a)), 60, np.arange(60))
-    at = list(range(60))
-
-    def find(x):
-        while at[x] != x:
-            x = at[x]
-        return x
-
-    for e in picked:
-        assert find(a[e]) != find(b[e])
-        at[find(a[e])] = find(b[e])
-    assert all(find(x) == find(y) for x, y in zip(a, b, strict=True))
-
-
 def test_verified_passes_over_rows_of_the_same_id(spark):
     from tarnsift.llm.common import shingle_sets
 
@@ -127,4 +128,4 @@ def test_verified_passes_over_rows_of_the_same_id(spark):
     for first in ("x" * len(a), None):
         texts = spark.createDataFrame([(1, digest(a), first), (1, digest(a), a), (2, digest(b), b)], f"id long, digest {kind}, text string").coalesce(1)
         pairs = spark.createDataFrame([(1, 2)], "a long, b long")
-        assert [tuple(r) for r in neardup.verified(pairs, texts, 3, (80, 100)).collect()] == [(1, 2)]
+        assert [tuple(r) for r in neardup.verified(pairs, lambda ids: texts, 3, (80, 100)).collect()] == [(1, 2)]
