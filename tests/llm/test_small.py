@@ -94,7 +94,101 @@ def test_contexts_find_unseen(spark):
     rows = [(i, f"please call our desk on +49 30 55{i:04d}7 today") for i in range(30)] + [(99, "please call our desk on 0049 30 777")]
     rows += [(100, "please call our desk on 0049-30-777 today")]
     got = {r.doc_id: r for r in pii.detect(frame(spark, rows)).collect()}
-    assert all(len(got[i].base) == 1 for i in range(30))
+    assert all(len(got[i].base) == 1 and not got[i].learned for i in range(30))
+    assert [(s.lo, s.hi) for s in got[99].learned] == [(24, 35)] and [(s.lo, s.hi) for s in got[100].learned] == [(24, 35)]
+
+
+def plain_contexts(texts, support=3, confidence=0.8, most=8):
+    """The learned spans by plain loops over words."""
+    signs = ".,;:!?()[]{}\"'"
+    docs = []
+    for t in texts:
+        words = []
+        for m in re.finditer(r"[^\x20\x09-\x0D]+", t):
+            a, b = m.span()
+            while a < b and t[a] in signs:
+                a += 1
+            while b > a and t[b - 1] in signs:
+                b -= 1
+            if a < b:
+                words.append((a, b, m.group()[-1] in ".,;!?"))
+        spans = pii._merged(pii.base_spans(t))
+        low = [re.sub("[A-Z]", lambda m: m[0].lower(), t[a:b]) for a, b, _ in words]
+        docs.append((t, words, low, spans, [any(a < y and x < b for x, y in spans) for a, b, _ in words]))
+    left = lambda low, i: ("L", *low[max(0, i - 2) : i]) if i else None
+    right = lambda low, i: ("R", *low[i : i + 2]) if i < len(low) else None
+    digit = lambda s: any(c in "0123456789" for c in s)
+    letters = lambda s: not digit(s) and not any(c in "@_+=/\\#:." for c in s[1:-1])
+    edges, seeds, places = {}, {}, []
+    for d, (t, words, low, spans, seeded) in enumerate(docs):
+        for a, b in spans:
+            i, j = sum(y <= a for _, y, _ in words), sum(x < b for x, _, _ in words)
+            for c in (left(low, i), right(low, j)):
+                if c:
+                    seeds.setdefault(c, set()).add(t[a:b])
+                    edges.setdefault(c, []).append((t[a:b], True, False))
+        text = lambda lo, hi: t[words[lo][0] : words[hi - 1][1]]  # noqa: B023, E731
+        has = lambda k: digit(text(k, k + 1))  # noqa: B023, E731
+        for i in range(len(words)):
+            if not seeded[i]:
+                lo, hi = i, i + 1
+                while has(i) and hi < len(words) and hi - i < most and has(hi) and not seeded[hi] and not words[hi - 1][2]:
+                    hi += 1
+                places.append((d, left(low, i), None, i, hi, True))
+                while has(i) and lo > 0 and i + 1 - lo < most and has(lo - 1) and not seeded[lo - 1] and not words[lo - 1][2]:
+                    lo -= 1
+                places.append((d, None, right(low, i + 1), lo, i + 1, True))
+                for hi in range(i + 1, min(len(words), i + most) + 1):
+                    if any(seeded[i:hi]):
+                        break
+                    places.append((d, left(low, i), right(low, hi), i, hi, False))
+    of = lambda p: docs[p[0]][0][docs[p[0]][1][p[3]][0] : docs[p[0]][1][p[4] - 1][1]]
+    plain = lambda p: all(letters(docs[p[0]][0][a:b]) for a, b, _ in docs[p[0]][1][p[3] : p[4]])
+    for p in places:
+        for c in p[1:3]:
+            if c and p[5]:
+                edges.setdefault(c, []).append((of(p), False, plain(p)))
+    able = {c for c, v in seeds.items() if len(v) >= support}
+    sure = {v for c in able for v, seed, _ in edges[c] if seed}
+    belief = {}
+    while True:
+        score = {c: np.mean([1.0 if v in sure else belief.get(v, 0.0) for v, _, _ in edges[c]]) for c in able}
+        now = {}
+        for c in able:
+            for v, _, word in edges[c]:
+                if not word and score[c] >= confidence:
+                    now[v] = max(now.get(v, 0), score[c])
+        if all(abs(now[v] - belief.get(v, 0)) < 1e-9 for v in now):
+            break
+        belief = now
+    holds = {c for c in able if score[c] >= confidence}
+    out = [set() for _ in texts]
+    two = {}
+    for p in places:
+        if p[5] and not plain(p) and (p[1] in holds or p[2] in holds):
+            out[p[0]].add((p[3], p[4]))
+        if not p[5] and p[1] in holds and p[2] in holds:
+            two[p[0], p[3]] = min(p[4], two.get((p[0], p[3]), 1 << 30))
+    for (d, lo), hi in two.items():
+        out[d].add((lo, hi))
+    spans = [{(docs[d][1][a][0], docs[d][1][b - 1][1]) for a, b in s} for d, s in enumerate(out)]
+    return [sorted(x for x in s if not any(y != x and y[0] <= x[0] and x[1] <= y[1] for y in s)) for s in spans]
+
+
+def test_contexts_match_plain_loops(spark):
+    r = random.Random(6)
+    texts = []
+    for i in range(250):
+        some = []
+        for _ in range(r.randint(1, 4)):
+            some += r.choices(["the", "é", "of", "and", "“so”", "it's", "(well)", "n.a.", "12"], k=r.randint(0, 3))
+            phone, mail = [f"+49 30 5{r.randrange(10**6):06d}", *[f"+49 30 5{r.randrange(50):06d}"] * 14, f"0049-{r.randrange(99)}-7", f"{r.randrange(999)} {r.randrange(99)},"], [f"u{r.randrange(99)}@mail.example", *[f"u{r.randrange(999)}@mail.example"] * 12, "ann@localhost"]
+            some += r.choice([["call", "me", "on", r.choice(phone)], ["Mail", "to:", r.choice(mail), "today", "or", "never."], ["Mail", "to:", r.choice([*mail, "Anna"]), "today", "or"], ["I", "am", r.choice([*phone, *mail, "Anna", "a", "b"])], [r.choice(mail), "please", "do"], [r.choice(["10.0.0.1", "Otto"])]])
+        texts.append(" ".join(some))
+    texts += ["", " ", "call me on", "on 12"]
+    got = {x.doc_id: [(s.lo, s.hi) for s in x.learned] for x in pii.detect(frame(spark, list(enumerate(texts)))).collect()}
+    want = plain_contexts(texts)
+    assert any(want) and [got[i] for i in range(len(texts))] == want
 
 
 def test_contexts_mark_any_shape(spark):
