@@ -2,7 +2,7 @@
 
 Documents with equal shingle sets are one class from the start. The classes' signatures are cut into bands; classes that share a band are candidates. Signatures are compared batch by batch, and a pair leaves as soon as the posterior chance that its similarity reaches the threshold falls under the chosen miss probability. Survivors are verified on the full sets, and verified links are closed into components.
 
-No bucket emits all its pairs. In the first turn each bucket has a leader, its least class, with which its other members are compared and verified; a group of near copies closes here. In the second, a bucket that still holds several components compares the members outside its largest one with all others of another component, dealt in blocks of bounded rows and bytes. Where few pairs survive these are verified on the texts; where many do, the members named get their sets, every survivor is verified where it stands, and only a spanning forest of the links leaves.
+No bucket emits all its pairs. In the first turn each bucket has a leader, the class whose buckets hold most, with which its other members are compared and verified; a group of near copies closes here. In the second, a bucket that still holds several components compares the members outside its largest one with all others of another component, dealt in blocks of bounded rows and bytes. Where few pairs survive these are verified on the texts; where many do, the members named get their sets, every survivor is verified where it stands, and only a spanning forest of the links leaves.
 
 A shingle is named by 128 bits made of keyed digests of its words.
 
@@ -28,7 +28,7 @@ BATCH = 32
 #: Chance to prune a pair that reaches the threshold, and to share no band at the threshold.
 MISS, BAND_MISS = 1e-5, 1e-6
 #: Rows and bytes of sets of a block, pairs of one leader in a task, and survivors a row up to which a group emits them as pairs.
-BLOCK, BLOCK_BYTES, FOLLOWERS, FEW = 1024, 32 << 20, 256, 8
+BLOCK, BLOCK_BYTES, FOLLOWERS, FEW = 512, 32 << 20, 256, 8
 #: At most so many rows of two or three longs are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -257,14 +257,12 @@ def _small_or_whole(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts, k: int, threshold: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b), a < b, whose full shingle sets reach the threshold. texts makes (id, digest, text) of ids; of rows that share a doc_id, only those with the class's digest count. The partners of one a stand in tasks of FOLLOWERS, each with one copy of its text."""
+    """The pairs (a, b), a < b, whose full shingle sets reach the threshold. texts adds digest and text to rows with an id; of rows that share a doc_id, only those with the class's digest count. The partners of one a stand in tasks of FOLLOWERS, each with one copy of its text."""
     num, den = threshold
-    many = cut(pairs.groupBy("a").agg(F.ceil(F.count("*") / FOLLOWERS).cast("int").alias("parts")).where("parts > 1"))
-    dealt = pairs.join(_small_or_whole(many), "a", "left").select("a", "b", F.coalesce("parts", F.lit(1)).alias("parts")).withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
-    dealt = cut(dealt.select("a", "part", "b").distinct())
-    text = cut(texts(dealt.select(F.col("a").alias("id")).union(dealt.select("b")).distinct()))
-    heads = dealt.select("a", "part").distinct().join(text, F.col("a") == text.id).select("a", "part", F.lit(None).cast("long").alias("b"), "digest", "text")
-    rest = dealt.join(text, F.col("b") == text.id).select("a", "part", "b", "digest", "text")
+    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / FOLLOWERS).cast("int").alias("parts")).where("parts > 1")
+    dealt = pairs.join(_small_or_whole(many), "a", "left").withColumn("part", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int")).select("a", "part", "b")
+    heads = dealt.select(F.col("a").alias("id"), "a", "part", F.lit(None).cast("long").alias("b")).distinct()
+    roles = heads.union(dealt.select(F.col("b").alias("id"), "a", "part", "b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, set_ = None, None
@@ -282,7 +280,7 @@ def verified(pairs: DataFrame, texts, k: int, threshold: tuple[int, int]) -> Dat
                     found[1].append(b.as_py())
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["a", "b"])
 
-    both = heads.union(rest).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    both = texts(roles).select("a", "part", "b", "digest", "text").repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
     return both.transform(mapped, run, "a long, b long").distinct()
 
 
@@ -321,14 +319,18 @@ def cluster(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100),
 
     source = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
 
-    def texts_of(ids: DataFrame) -> DataFrame:
-        wanted = cut(reps.join(ids, "id", "left_semi").select("id", "doc_id", "digest"))
-        return source.join(_small_or_whole(wanted), "doc_id").select("id", "digest", "text")
+    def texts_of(rows: DataFrame) -> DataFrame:
+        wanted = cut(rows.join(reps.select("id", "doc_id", "digest"), "id"))
+        return source.join(_small_or_whole(wanted), "doc_id")
 
     keys = reps.select("id", "n", F.posexplode(F.array(*[F.xxhash64(F.lit(i), F.expr(f"substring(sig, {2 * rows * i + 1}, {2 * rows})")) for i in range(bands)])).alias("band", "bucket"))
-    shared = keys.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("leader")).where("size > 1")
-    buckets = cut(keys.join(shared, "bucket").where("id <> leader"))
-    pairs = cut(likely(buckets.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), facts, threshold, rows))
+    shared = keys.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    buckets = cut(keys.join(shared, "bucket"))
+    # The text that others were made from shares most of its bands with most of them, so its buckets are the largest.
+    weighed = buckets.join(buckets.groupBy("id").agg(F.sum("size").alias("weight")), "id")
+    leaders = weighed.groupBy("bucket").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("leader"))
+    buckets = cut(buckets.join(leaders, "bucket").where("id <> leader"))
+    pairs = cut(likely(buckets.select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b")).distinct(), facts, threshold, rows))
     new = cut(verified(pairs, texts_of, k, threshold))
     links = new if links is None else links.union(new)
     comps = components(links)

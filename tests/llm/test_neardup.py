@@ -128,4 +128,25 @@ def test_verified_passes_over_rows_of_the_same_id(spark):
     for first in ("x" * len(a), None):
         texts = spark.createDataFrame([(1, digest(a), first), (1, digest(a), a), (2, digest(b), b)], f"id long, digest {kind}, text string").coalesce(1)
         pairs = spark.createDataFrame([(1, 2)], "a long, b long")
-        assert [tuple(r) for r in neardup.verified(pairs, lambda ids: texts, 3, (80, 100)).collect()] == [(1, 2)]
+        assert [tuple(r) for r in neardup.verified(pairs, lambda rows: rows.join(texts, "id"), 3, (80, 100)).collect()] == [(1, 2)]
+
+
+def test_components_of_both_ways(spark):
+    from tarnsift.llm.graph import components
+
+    r = random.Random(9)
+    links = [(r.randrange(400), r.randrange(400)) for _ in range(330)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5, None), (7, 7)]
+    at = {}
+
+    def find(x):
+        while at.setdefault(x, x) != x:
+            x = at[x]
+        return x
+
+    for a, b in links:
+        if b is not None and a != b:
+            x, y = find(a), find(b)
+            at[max(x, y)] = min(x, y)
+    df = spark.createDataFrame(links, "a long, b long")
+    for few in (0, 1 << 20):
+        assert {tuple(x) for x in components(df, one_task=few).collect()} == {(x, find(x)) for x in at}
