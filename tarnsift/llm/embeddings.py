@@ -1,6 +1,6 @@
 """Embedding near-duplicates by an epsilon grid order join.
 
-Vectors with cosine of at least c have unit vectors within epsilon = sqrt(2 - 2c). Unit vectors are sorted by their grid cells on leading principal dimensions, cut into blocks, and each block gets a bounding box on those dimensions. Pairs of sequence intervals are halved again and again, from the whole table down to pairs of blocks, and a pair whose boxes lie further apart than epsilon is dropped with all below it: an orthonormal projection never lengthens a distance, so no link is lost, however the dimensions were fitted. The pairs of blocks left are compared in full, in double precision.
+Vectors with cosine of at least c have unit vectors within epsilon = sqrt(2 - 2c). Unit vectors are sorted by their grid cells on leading principal dimensions, cut into blocks, and each block gets a bounding box on those dimensions. Pairs of sequence intervals are halved again and again, from the whole table down to pairs of blocks, and a pair whose boxes lie further apart than epsilon is dropped with all below it: an orthonormal projection never lengthens a distance, so no link is lost, however the dimensions were fitted. The pairs of blocks left are compared in full, in double precision: a task holds some neighbouring blocks, and the partners of these pass by one after another, so a block is sent once to each group of its partners and not once for each pair.
 
 Equal vectors are one class from the start; only its first row is sorted and compared, and it counts for as many links as it has rows. A pair of blocks returns link counts per vector and a spanning forest of its links, never all links.
 
@@ -21,8 +21,10 @@ from .common import cut, mapped, table
 from .graph import components
 
 COSINE = 0.9
-#: Leading dimensions, vectors they are fitted on at most, and vectors of a block.
-DIMENSIONS, SAMPLE, BLOCK = 6, 4096, 2048
+#: Leading dimensions, vectors they are fitted on at most, and vectors and bytes of a block.
+DIMENSIONS, SAMPLE, BLOCK, BLOCK_BYTES = 6, 4096, 2048, 1 << 20
+#: Neighbouring blocks that a task holds while their partners pass by, and pairs of blocks of a task.
+TILE, TILE_PAIRS = 8, 96
 #: Children of an interval at each level of the recursion.
 FAN = 16
 
@@ -53,7 +55,7 @@ def prepared(vectors: DataFrame, vector: str = "embedding", key: str = "vec_id")
     x = F.col(vector) if narrow else F.col(vector).cast("array<double>")
     # A null component makes the first test null, a NaN or infinite one fails it.
     sound = F.forall(x, lambda c: F.abs(c) < float("inf")) & F.exists(x, lambda c: c != 0)
-    df = vectors.select(F.col(key).cast("long").alias("id"), F.when(F.coalesce(sound, F.lit(False)) & F.col(key).isNotNull(), x).alias("v"))
+    df = vectors.select(F.col(key).alias("id"), F.when(F.coalesce(sound, F.lit(False)) & F.col(key).isNotNull(), x).alias("v"))
     digest = F.when(F.col("v").isNotNull(), F.md5(F.array_join(F.col("v").cast("array<string>"), ",").cast("binary")))
     return cut(df.withColumn("row", F.monotonically_increasing_id()).withColumn("d", F.size("v")).withColumn("digest", digest))
 
@@ -68,13 +70,12 @@ def blocks(rows: DataFrame, epsilon: float, block: int = BLOCK, dimensions: int
     """Packed blocks in grid order: (block, d, rows array<long>, copies array<long>, data binary of floats or doubles, as given, lo and hi of the box). A block holds vectors of one length."""
     lengths = {r.d: r.n for r in rows.groupBy("d").agg(F.count("*").alias("n")).where("d > 0").collect()}
     kind = rows.schema["v"].dataType.simpleString()
-    bases = {}
-    for d, n in lengths.items():
-        part = rows.where(F.col("d") == d)
-        share = min(1.0, SAMPLE / n)
-        picked = part.where(F.pmod(F.xxhash64("row"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).select("row", "v").limit(2 * SAMPLE).toPandas().sort_values("row")
-        x = unit(np.stack(picked["v"].to_list())) if len(picked) else np.eye(1, d)
-        bases[d] = principal(x, dimensions)
+    most = max(64, SAMPLE // max(1, len(lengths)))
+    share = F.create_map(*[F.lit(x) for d, n in sorted(lengths.items()) for x in (d, int(min(1.0, most / n) * (1 << 30)))]) if lengths else F.lit(None).cast("map<int,int>")
+    # The share of hashes makes about `most` rows of each length; all lengths are read in one job.
+    picked = rows.where(F.pmod(F.xxhash64("row"), F.lit(1 << 30)) < F.element_at(share, F.col("d"))).select("row", "d", "v").toPandas().sort_values("row") if lengths else None
+    bases = {d: principal(unit(np.stack(x)) if len(x := picked["v"][picked["d"] == d].to_list()) else np.eye(1, d), dimensions) for d in lengths}
+    of = lambda d: max(1, min(block, BLOCK_BYTES // (8 * d)))
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -89,8 +90,7 @@ def blocks(rows: DataFrame, epsilon: float, block: int = BLOCK, dimensions: int
 
     cells = [f"c{i}" for i in range(dimensions)]
     sized = rows.transform(mapped, order, f"row long, copies long, d int, v {kind}, " + ", ".join(f"{c} long" for c in cells))
-    total = sum(lengths.values())
-    parts = max(1, -(-total // block))
+    parts = max(1, sum(-(-n // of(d)) for d, n in lengths.items()))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -99,8 +99,8 @@ def blocks(rows: DataFrame, epsilon: float, block: int = BLOCK, dimensions: int
             d = t.column("d").to_numpy()
             for n in np.unique(d).tolist():
                 s = t.filter(pa.array(d == n)).combine_chunks()
-                for at in range(0, s.num_rows, block):
-                    part = s.slice(at, block).combine_chunks()
+                for at in range(0, s.num_rows, of(n)):
+                    part = s.slice(at, of(n)).combine_chunks()
                     x = _matrix(part.column("v").chunk(0), n)
                     base = bases[n]
                     p = np.zeros((len(x), dimensions))
@@ -131,7 +131,7 @@ def blocks(rows: DataFrame, epsilon: float, block: int = BLOCK, dimensions: int
 
 
 def near_blocks(boxes: DataFrame, epsilon: float, fan: int = FAN) -> DataFrame:
-    """(a, b), a <= b, of blocks that may hold links, from (block, d, lo, hi).
+    """(tile, a, b) of blocks that may hold links, each pair once, from (block, d, lo, hi); tile numbers runs of neighbouring a.
 
     Intervals of the sequence are numbered by position over fan to the level. From the whole sequence down, each pair of intervals whose boxes come within epsilon is replaced by the pairs of their children that do.
     """
@@ -166,7 +166,7 @@ def near_blocks(boxes: DataFrame, epsilon: float, fan: int = FAN) -> DataFrame:
         pairs = cut(pairs.join(one, "a").join(two, "b").where(near).select("a", "b"))
     names = at.select("at", "block")
     out = pairs.join(names.select(F.col("at").alias("a"), F.col("block").alias("block_a")), "a").join(names.select(F.col("at").alias("b"), F.col("block").alias("block_b")), "b")
-    return out.select(F.col("block_a").alias("a"), F.col("block_b").alias("b"))
+    return out.select(F.floor(F.col("a") / TILE).alias("tile"), F.col("block_a").alias("a"), F.col("block_b").alias("b"))
 
 
 def _forest(i: np.ndarray, j: np.ndarray, size: int) -> list[tuple[int, int]]:
@@ -219,45 +219,60 @@ def _thin(i: np.ndarray, j: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarr
 
 
 def compare(pairs: DataFrame, packed: DataFrame, cosine: float = COSINE, narrow: bool = False) -> DataFrame:
-    """From pairs of blocks: rows (row, n, null) with numbers of links, and rows (row, null, other) with a spanning forest of them."""
+    """From (tile, a, b) of near_blocks(): rows (row, n, null) with numbers of links, and rows (row, null, other) with a spanning forest of them."""
+
+    def compared(held: tuple, passing: tuple) -> Iterator[pa.RecordBatch]:
+        (a, rows_a, copies_a, x), (b, rows_b, copies_b, y) = held, passing
+        if x.shape[1] != y.shape[1]:
+            return
+        same = a == b
+        count_x, count_y = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)
+        li, lj = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for at in range(0, len(x), 512):
+            near = x[at : at + 512] @ y.T >= cosine
+            if same:
+                near[np.arange(near.shape[0]), at + np.arange(near.shape[0])] = False
+            if near.any():
+                i, j = np.nonzero(near)
+                count_x[at : at + 512] += near @ copies_b
+                count_y += copies_a[at : at + 512] @ near
+                i, j = _thin(i + at, j + (0 if same else len(x)), len(x) + (0 if same else len(y)))
+                li.append(i)
+                lj.append(j)
+        i, j = np.concatenate(li), np.concatenate(lj)
+        both = rows_a if same else np.concatenate([rows_a, rows_b])
+        links = _forest(i, j, len(both))
+        for row, n in [(rows_a, count_x)] + ([] if same else [(rows_b, count_y)]):
+            some = n > 0
+            if some.any():
+                yield pa.RecordBatch.from_arrays([pa.array(row[some]), pa.array(n[some]), pa.nulls(int(some.sum()), pa.int64())], names=["row", "n", "other"])
+        if links:
+            i, j = np.array(links).T
+            yield pa.RecordBatch.from_arrays([pa.array(both[i]), pa.nulls(len(i), pa.int64()), pa.array(both[j])], names=["row", "n", "other"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, {}
         for batch in batches:
             for r in range(batch.num_rows):
-                same = batch.column("a")[r].as_py() == batch.column("b")[r].as_py()
-                d = batch.column("d_a")[r].as_py()
-                if d != batch.column("d_b")[r].as_py():
+                x = {c: batch.column(c)[r] for c in batch.schema.names}
+                block, d = x["block"].as_py(), x["d"].as_py()
+                vectors = unit(np.frombuffer(x["data"].as_buffer(), np.float32 if narrow else np.float64).reshape(-1, d))
+                one = block, np.array(x["rows"].as_py()), np.array(x["copies"].as_py()), vectors
+                if (x["tile"].as_py(), x["part"].as_py()) != group:
+                    group, held = (x["tile"].as_py(), x["part"].as_py()), {}
+                if x["partners"].as_py() is None:
+                    held[block] = one
                     continue
-                x, y = (unit(np.frombuffer(batch.column(c)[r].as_buffer(), np.float32 if narrow else np.float64).reshape(-1, d)) for c in ("data_a", "data_b"))
-                rows = [np.array(batch.column(c)[r].as_py()) for c in ("rows_a", "rows_b")]
-                copies = [np.array(batch.column(c)[r].as_py()) for c in ("copies_a", "copies_b")]
-                count_x, count_y = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)
-                li, lj = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-                for at in range(0, len(x), 512):
-                    near = x[at : at + 512] @ y.T >= cosine
-                    if same:
-                        near[np.arange(near.shape[0]), at + np.arange(near.shape[0])] = False
-                    if near.any():
-                        i, j = np.nonzero(near)
-                        count_x[at : at + 512] += near @ copies[1]
-                        count_y += copies[0][at : at + 512] @ near
-                        i, j = _thin(i + at, j + (0 if same else len(x)), len(x) + (0 if same else len(y)))
-                        li.append(i)
-                        lj.append(j)
-                i, j = np.concatenate(li), np.concatenate(lj)
-                both_rows = rows[0] if same else np.concatenate(rows)
-                links = _forest(i, j, len(both_rows))
-                for row, n in [(rows[0], count_x)] + ([] if same else [(rows[1], count_y)]):
-                    some = n > 0
-                    if some.any():
-                        yield pa.RecordBatch.from_arrays([pa.array(row[some]), pa.array(n[some]), pa.nulls(int(some.sum()), pa.int64())], names=["row", "n", "other"])
-                if links:
-                    a, b = np.array(links).T
-                    yield pa.RecordBatch.from_arrays([pa.array(both_rows[a]), pa.nulls(len(a), pa.int64()), pa.array(both_rows[b])], names=["row", "n", "other"])
-
-    side = lambda c: packed.select(F.col("block").alias(c), *(F.col(k).alias(f"{k}_{c}") for k in ("d", "rows", "copies", "data")))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.transform(mapped, run, "row long, n long, other long")
+                for a in x["partners"].as_py():
+                    yield from compared(held[a], one)
+
+    passing = cut(pairs.groupBy("tile", F.col("b").alias("block")).agg(F.sort_array(F.collect_set("a")).alias("partners")))
+    parts = passing.groupBy("tile").agg(F.ceil(F.sum(F.size("partners")) / TILE_PAIRS).cast("int").alias("parts"))
+    passing = passing.join(parts, "tile").withColumn("part", F.pmod(F.xxhash64("block"), F.col("parts")).cast("int")).select("tile", "part", "block", "partners")
+    held = passing.select("tile", "part", F.explode("partners").alias("block")).distinct().select("tile", "part", "block", F.lit(None).cast("array<long>").alias("partners"))
+    sent = held.union(passing).join(packed.select("block", "d", "rows", "copies", "data"), "block")
+    columns = ["tile", "part", "block", "partners", "d", "rows", "copies", "data"]
+    return sent.select(*columns).repartition("tile", "part").sortWithinPartitions("tile", "part", F.col("partners").isNotNull(), "block").transform(mapped, run, "row long, n long, other long")
 
 
 def link(vectors: DataFrame, cosine: float = COSINE, vector: str = "embedding", key: str = "vec_id", block: int = BLOCK) -> DataFrame:
