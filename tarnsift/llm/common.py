@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import sys
 import tempfile
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -63,10 +65,53 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+#: What open scopes of scratch() have written, innermost last.
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes, at its end, what cut() and shared_folder() have written to the shared folder meanwhile. The results must be stored elsewhere by then."""
+    here: list[str] = []
+    _SCOPES.append(here)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(here)
+        for at in here:
+            remove(spark, at)
+
+
+def remove(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(at)
+    return at
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint: later stages reread it, also when executors are lost."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    if _SCOPES:
+        at = out._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+        if at.isDefined():
+            _SCOPES[-1].append(at.get())
+    return out
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """The name, or with so many more underscores that no column has it, whatever its case."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
 
 
 def process_cache() -> dict:

@@ -276,21 +276,71 @@ def test_mixing_keeps_rows_when_splits_change(spark, tmp_path):
     finally:
         for c in (name, "spark.sql.files.maxPartitionBytes", "spark.sql.files.minPartitionNum"):
             spark.conf.unset(c)
-    assert all(abs(got[s] - t[s]) <= 1 for s in t)
-
-
-def test_mixing_near_targets(spark):
+    assert all(abs(got[s] - t[s]) <= 64 * 4 for s in t)
+
+
+def plain_mix(rows, block, golden=mixing.GOLDEN):
+    """Slots as lists of (row, epoch, start, words), by walking the schedule word by word."""
+    size = [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for _, t, _ in rows]
+    names = sorted({s for _, _, s in rows}, key=lambda s: (s is None, s or ""))
+    whole = {s: sum(n for n, r in zip(size, rows, strict=True) if r[2] == s) for s in names}
+    weight, target, open_ = {s: i % 3 + 1 for i, s in enumerate(names)}, {}, list(names)
+    while open_:
+        left = sum(whole.values()) - sum(target.values())
+        over = [s for s in open_ if left * weight[s] / sum(weight[x] for x in open_) > 3 * whole[s]]
+        target |= {s: 3 * whole[s] if over else left * weight[s] / sum(weight[x] for x in open_) for s in over or open_}
+        open_ = [s for s in open_ if s not in target]
+    goal = [int(target[s] + 0.5) for s in names]
+    edges = np.cumsum(np.array(goal, float)) / max(1, sum(goal))
+    digest = lambda d, t: hashlib.md5(f"{'' if d is None else d}:{hashlib.md5((t or '').encode()).hexdigest()}".encode()).hexdigest()
+    stream = {s: [(k, e, w) for e in range(3) for k in sorted((k for k, r in enumerate(rows) if r[2] == s), key=lambda k: digest(*rows[k][:2])) for w in range(size[k])] for s in names}
+    out, at = [], dict.fromkeys(names, 0)
+    for t in range(-(-sum(goal) // block)):
+        s = names[min(int(np.searchsorted(edges, (t + 0.5) * golden % 1, side="right")), len(names) - 1)]
+        words = stream[s][at[s] : at[s] + block]
+        at[s] += block
+        spans = {}
+        for k, e, w in words:
+            spans.setdefault((k, e), []).append(w)
+        out.append(sorted((rows[k][0], e, w[0], len(w), " ".join((rows[k][1] or "").split()[w[0] : w[0] + len(w)])) for (k, e), w in spans.items()))
+    return out, target, whole
+
+
+def test_mixing_follows_the_schedule(spark):
     r = random.Random(1)
-    rows = [(i, " ".join(["w"] * r.randint(0, 300)), r.choice(["a", "b", "c", None])) for i in range(400)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    total = sum(len((t or "").split()) for _, t, _ in rows)
-    want = {x: sum(len(t.split()) for _, t, s in rows if s == x) for x in ("a", "b", "c", None)}
-    got = {}
-    for x in mixing.mix(df, block=64).collect():
-        got[x.source] = got.get(x.source, 0) + len(x.text.split())
-    t = {x.source: x.target for x in mixing.targets(mixing.sized(df).groupBy("source").agg({"size": "sum"}).withColumnRenamed("sum(size)", "source_size")).collect()}
-    assert abs(sum(t.values()) - total) < 1 and all(t[s] <= 3 * n + 1e-6 for s, n in want.items())
-    assert all(abs(got[s] - t[s]) <= 1 for s in t)
+    rows = [(i, " ".join(r.choices("abcdef", k=r.choice([0, 3, 40, 300]))) if i % 17 else None, r.choice(["a", "b", "b", "b", None])) for i in range(300)] + [(900 + i, "x y z", "tiny") for i in range(9)]
+    df = spark.createDataFrame([(*x, "keep me", 1, 2, 3) for x in rows], "doc_id long, text string, source string, row string, take int, epoch int, slot int").repartition(5)
+    want, target, whole = plain_mix(rows, 16)
+    got = [[] for _ in want]
+    for x in mixing.blocks(df, block=16).collect():
+        got[x.slot].append((x.doc_id, x.epoch, x.start, x.words, x.text))
+    assert [sorted(x) for x in got] == want
+    assert plain_mix(rows, 16, 0.1234567)[0] != want
+    mixed = mixing.mix(df, block=16).collect()
+    assert all((x.row, x["take"], x.epoch, x.slot) == ("keep me", 1, 2, 3) for x in mixed)
+    taken = {}
+    for x in mixed:
+        taken[x.source] = taken.get(x.source, 0) + len(x.text.split())
+    assert all(abs(taken[s] - target[s]) <= min(3 * 16, mixing.deviation(len(want)) * 16) and taken[s] <= 3 * whole[s] for s in whole)
+    first = {}
+    for t, some in enumerate(want):
+        for d, e, *_ in some:
+            first.setdefault((d, e), t)
+    assert sorted(x.doc_id for x in mixed) == sorted(d for d, _ in first)
+    order = {}
+    for (d, e), t in sorted(first.items(), key=lambda x: x[1]):
+        order.setdefault(d, []).append(t)
+    seen = [order[x.doc_id].pop(0) for x in mixed]
+    assert seen == sorted(seen)
+
+
+def test_mixing_of_nothing_and_of_one_digest(spark):
+    kind = "doc_id long, text string, source string"
+    assert mixing.mix(spark.createDataFrame([], kind)).count() == 0
+    assert mixing.mix(spark.createDataFrame([(1, None, None), (2, "", "a")], kind)).count() == 0
+    rows = [(None, "same words here", None)] * 200 + [(None, "other", "a")]
+    got = mixing.mix(spark.createDataFrame(rows, kind).repartition(4), block=8).collect()
+    assert 190 <= sum(x.text == "same words here" for x in got) <= 205 and sum(x.source == "a" for x in got) <= 3
 
 
 def test_licences(spark):
