@@ -1,12 +1,16 @@
 """Licence texts by canonical digest.
 
-A text is brought to a canonical form (lower case, no copyright lines, equivalent spellings as one, words only), and its digest is looked up among those of known licences, for the entire text and for each entire line. Only DataFrame functions take part.
+A text is brought to a canonical form (lower case, no copyright notices, words and numbers between single spaces, equivalent spellings as one), and its digest meets those of known licences in a hash join, for the entire text; the same is looked up for each entire line that may be a notice. Only DataFrame functions take part.
 
-Edge cases: a null text has no digest and no licence; a text that is empty in canonical form has the digest of nothing, which no licence has. Repeated rows are answered alike; further columns are ignored.
+Known in full: MIT, ISC, BSD-2-Clause, BSD-3-Clause, Zlib, and the files in texts/ (Apache-2.0, GPL-2.0, GPL-3.0, LGPL-2.1, LGPL-3.0, MPL-2.0, CC0-1.0, CC-BY-SA-4.0), these also without what follows their END OF TERMS AND CONDITIONS. Others, AGPL-3.0 and the further CC licences among them, are known by one-line notices only; a table of texts can be given in their place.
+
+Edge cases: a null text has no digest and no licence; a text that is empty in canonical form has the digest of nothing, which no licence has. Very long texts are canonical as a whole. A digest that two licences share goes to the lesser name. Repeated rows are answered alike; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,15 +18,11 @@ from .common import table
 
 #: Equivalent spellings, put in place in this order on lower-case words between single spaces.
 SPELLINGS = (
-    ("licence", "license"),
-    ("licences", "licenses"),
-    ("licenced", "licensed"),
-    ("sublicence", "sublicense"),
+    ("licenc", "licens"),
+    ("sub licens", "sublicens"),
     ("copyright holder", "copyright owner"),
-    ("copyright holders", "copyright owners"),
     ("merchantibility", "merchantability"),
     ("non infringement", "noninfringement"),
-    ("sub license", "sublicense"),
     ("per cent", "percent"),
     ("favour", "favor"),
     ("acknowledgement", "acknowledgment"),
@@ -33,7 +33,13 @@ SPELLINGS = (
     ("whilst", "while"),
     ("https", "http"),
 )
-_COPYRIGHT = r"(?m)^[^\n]*(?:copyright[^\n]*[0-9]{4}|\(c\)[^\n]*[0-9]{4}|©|all rights reserved)[^\n]*$"
+#: A notice: the sign, years, and the holder up to the end of the line or sentence or the first words of a licence; at most 200 characters. The end stays.
+_SIGNS = ("copyright", "(c)", "©")
+_NOTICE = r"(?:copyright|\(c\)|©)(?:[ \t,:;–-]|copyright|\(c\)|©|and|by|[0-9]{4}){0,40}[0-9]{4}(?:inc\.|ltd\.|co\.|corp\.|llc\.|[^\n]){0,200}?(\n|\. |permission is hereby|permission to use|redistribution and use|licensed under|licenced under|this software is|\z)"
+_RIGHTS = "all rights reserved"
+#: Canonical texts of at most so many characters are looked for in lines; a line is one only if it holds a mark.
+LINE, MARKS = 200, ("licen", "spdx", "under")
+END = "END OF TERMS AND CONDITIONS"
 
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
@@ -104,51 +110,70 @@ KNOWN: tuple[tuple[str, str], ...] = (
         for form in ("Licensed under {}.", "Released under {}.", "This work is licensed under {}.", "This software is licensed under {}.", "This project is licensed under {}.", "Distributed under {}.")
     ),
     *((name, f"SPDX-License-Identifier: {name}") for name in ("MIT", "Apache-2.0", "GPL-3.0-only", "GPL-2.0-only", "BSD-3-Clause", "BSD-2-Clause", "MPL-2.0", "CC-BY-4.0", "CC0-1.0", "ISC", "Zlib")),
+    *((p.stem, p.read_text("utf-8")) for p in sorted((Path(__file__).parent / "texts").glob("*.txt"))),
 )
 
 
-def _plain(text: Column) -> Column:
-    """Lower-case words and numbers of the lines without a copyright notice; all else but line ends as spaces."""
-    return F.regexp_replace(F.regexp_replace(F.lower(text), r"(?d)" + _COPYRIGHT, " "), r"[^a-z0-9\n\x{80}-\x{10FFFF}]+", " ")
+def _without_notices(text: Column) -> Column:
+    """Lower case, notices gone."""
+    low = F.lower(text)
+    some = F.contains(low, F.lit(_SIGNS[0])) | F.contains(low, F.lit(_SIGNS[1])) | F.contains(low, F.lit(_SIGNS[2]))
+    return F.replace(F.when(some, F.regexp_replace(low, _NOTICE, "$1")).otherwise(low), F.lit(_RIGHTS), F.lit(" "))
 
 
-def _spelled(plain: Column) -> Column:
-    """Words between single spaces, spellings made equal. Meanwhile two spaces stand between words, so that neighbours do not share one."""
-    c = F.concat(F.lit(" "), F.regexp_replace(plain, r"[ \n]+", "  "), F.lit(" "))
+def _words(low: Column) -> Column:
+    """Words and numbers between single spaces, spellings made equal."""
+    c = F.trim(F.regexp_replace(low, r"[^a-z0-9\x{80}-\x{10FFFF}]+", " "))
     for a, b in SPELLINGS:
-        c = F.replace(c, F.lit(f" {a.replace(' ', '  ')} "), F.lit(f" {b.replace(' ', '  ')} "))
-    return F.trim(F.regexp_replace(c, " +", " "))
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
 
 
 def canonical(text: Column) -> Column:
     """The canonical form of an entire text."""
-    return _spelled(_plain(text))
+    return _words(_without_notices(text))
 
 
 def digest(text: Column) -> Column:
     return F.md5(canonical(text).cast("binary"))
 
 
-def known(spark: SparkSession, texts: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
-    """(license, digest), one row per digest; a few hundred at most, whatever the input."""
-    df = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(n).alias("license"), F.lit(t).alias("text")) for n, t in texts])))
-    return df.select(digest(F.col("text")).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
+def known(licenses: DataFrame) -> DataFrame:
+    """(digest, license, line), one row per digest, from (license, text): of each text, and where it has an end mark, of what stands before it, with and without the mark. line: whether it may be a line."""
+    at = F.locate(END, F.col("text"))
+    forms = F.when(at > 0, F.array("text", F.substring(F.col("text"), F.lit(1), at - 1), F.substring(F.col("text"), F.lit(1), at + len(END) - 1))).otherwise(F.array("text"))
+    df = licenses.select("license", F.explode(forms).alias("text")).select("license", canonical(F.col("text")).alias("c")).where("c <> ''")
+    return df.select(F.md5(F.col("c").cast("binary")).alias("digest"), "license", (F.length("c") <= LINE).alias("line")).groupBy("digest").agg(F.min("license").alias("license"), F.max("line").alias("line"))
+
+
+def texts(spark: SparkSession, given: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
+    """(license, text), a few hundred rows, whatever the input."""
+    return spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(n).alias("license"), F.lit(t).alias("text")) for n, t in given])))
 
 
-def find(docs: DataFrame, licenses: DataFrame | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
+def find(docs: DataFrame, licenses: DataFrame | None = None, marks: tuple[str, ...] = MARKS, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per row: the key, digest, license (of the entire text), notices (sorted licences of entire lines, comma-joined), n_notices (lines that are one).
 
-    The licences are a constant, bounded table: the entire text meets it in a broadcast hash join, the lines in a map made of it.
+    licenses: a table (license, text) in place of the known ones. The entire text meets their digests in a hash join; those short enough for a line, which must be few, make a map that the lines are looked up in. marks: parts of which a line that is looked up must hold one; none: all lines are.
     """
-    spark = docs.sparkSession
-    licenses = known(spark) if licenses is None else licenses
-    pairs = licenses.collect()
-    by_digest = F.map_from_arrays(F.array(*[F.lit(r.digest) for r in pairs]), F.array(*[F.lit(r.license) for r in pairs])) if pairs else F.lit(None).cast("map<string,string>")
-    t = F.col(text)
-    lines = F.split(_plain(t), "\n")
-    named = F.filter(F.transform(lines, lambda x: F.try_element_at(by_digest, F.md5(_spelled(x).cast("binary")))), lambda x: x.isNotNull())
-    df = docs.select(F.col(key).alias("doc_id"), digest(t).alias("digest"), F.coalesce(named, F.array().cast("array<string>")).alias("named"))
-    return df.join(F.broadcast(licenses), "digest", "left").select("doc_id", "digest", "license", F.array_join(F.array_sort(F.array_distinct("named")), ",").alias("notices"), F.size("named").cast("long").alias("n_notices"))
+    table_of = known(texts(docs.sparkSession) if licenses is None else licenses)
+    short = table_of.where("line").select("digest", "license").toArrow().to_pylist()
+    by_digest = F.map_from_arrays(F.array(*[F.lit(r["digest"]) for r in short]), F.array(*[F.lit(r["license"]) for r in short])) if short else F.lit(None).cast("map<string,string>")
+    clean = docs.select(F.col(key).alias("doc_id"), _without_notices(F.col(text)).alias("clean"))
+
+    def marked(x: Column) -> Column:
+        test = F.lit(not marks)
+        for m in marks:
+            test = F.contains(x, F.lit(m)) | test
+        return test
+
+    lines = F.when(marked(F.col("clean")), F.filter(F.split("clean", "\n"), marked))
+    named = F.filter(F.transform(lines, lambda x: F.try_element_at(by_digest, F.md5(_words(x).cast("binary")))), lambda x: x.isNotNull())
+    df = clean.select("doc_id", F.md5(_words(F.col("clean")).cast("binary")).alias("digest"), F.coalesce(named, F.array().cast("array<string>")).alias("named"))
+    whole = table_of.select("digest", "license")
+    # Their number hangs on the table of texts, not on the documents; the known ones are a few hundred.
+    whole = F.broadcast(whole) if licenses is None else whole
+    return df.join(whole, "digest", "left").select("doc_id", "digest", "license", F.array_join(F.array_sort(F.array_distinct("named")), ",").alias("notices"), F.size("named").cast("long").alias("n_notices"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -157,22 +182,25 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
-    plain = lambda t: f"regexp_replace(regexp_replace(lower({t}), {quoted(_COPYRIGHT)}, ' ', 'g'), '[^a-z0-9\\n\\x{{80}}-\\x{{10FFFF}}]+', ' ', 'g')"
+    clean = lambda t: f"replace(regexp_replace(lower({t}), {quoted(_NOTICE)}, '\\1', 'g'), {quoted(_RIGHTS)}, ' ')"
 
-    def spelled(x: str) -> str:
-        c = f"(' ' || regexp_replace({x}, '[ \\n]+', '  ', 'g') || ' ')"
+    def words(x: str) -> str:
+        c = f"trim(regexp_replace({x}, '[^a-z0-9\\x{{80}}-\\x{{10FFFF}}]+', ' ', 'g'))"
         for a, b in SPELLINGS:
-            c = f"replace({c}, {quoted(' ' + a.replace(' ', '  ') + ' ')}, {quoted(' ' + b.replace(' ', '  ') + ' ')})"
-        return f"trim(regexp_replace({c}, ' +', ' ', 'g'))"
+            c = f"replace({c}, {quoted(a)}, {quoted(b)})"
+        return c
 
-    texts = ", ".join(f"({quoted(n)}, {quoted(t)})" for n, t in KNOWN)
+    rows = ", ".join(f"({quoted(n)}, {quoted(t)})" for n, t in KNOWN)
     return f"""
-WITH k AS (SELECT md5({spelled(plain("text"))}) AS digest, min(license) AS license FROM (VALUES {texts}) v(license, text) GROUP BY 1),
-d AS (SELECT row_number() OVER () AS r, doc_id, {plain("text")} AS plain FROM documents),
-l AS (SELECT r, k.license FROM (SELECT r, unnest(string_split(plain, chr(10))) AS line FROM d) x JOIN k ON md5({spelled("line")}) = k.digest),
+WITH v(license, text) AS (VALUES {rows}),
+f AS (SELECT license, text FROM v UNION ALL SELECT license, split_part(text, '{END}', 1) FROM v WHERE contains(text, '{END}') UNION ALL SELECT license, split_part(text, '{END}', 1) || '{END}' FROM v WHERE contains(text, '{END}')),
+c AS (SELECT license, {words(clean("text"))} AS c FROM f),
+k AS (SELECT md5(c) AS digest, min(license) AS license, max(length(c) <= {LINE}) AS line FROM c WHERE c <> '' GROUP BY 1),
+d AS (SELECT row_number() OVER () AS r, doc_id, {clean("text")} AS clean FROM documents),
+l AS (SELECT r, k.license FROM (SELECT r, unnest(string_split(clean, chr(10))) AS line FROM d) x JOIN k ON k.line AND md5({words("x.line")}) = k.digest),
 n AS (SELECT r, string_agg(DISTINCT license, ',' ORDER BY license) AS notices, count(*) AS n_notices FROM l GROUP BY r)
-SELECT doc_id, md5({spelled("plain")}) AS digest, k.license, coalesce(notices, '') AS notices, CAST(coalesce(n_notices, 0) AS BIGINT) AS n_notices
-FROM d LEFT JOIN k ON md5({spelled("d.plain")}) = k.digest LEFT JOIN n USING (r)
+SELECT doc_id, md5({words("d.clean")}) AS digest, k.license, coalesce(notices, '') AS notices, CAST(coalesce(n_notices, 0) AS BIGINT) AS n_notices
+FROM d LEFT JOIN k ON md5({words("d.clean")}) = k.digest LEFT JOIN n USING (r)
 """
 
 

@@ -382,10 +382,35 @@ def test_mixing_of_nothing_and_of_one_digest(spark):
 
 
 def test_licences(spark):
-    rows = [(1, licenses.MIT.upper().replace(" ", "\n ")), (2, "Copyright (c) 2020 Someone\n" + licenses.ISC), (3, "intro\nLicenced under the MIT License!\nend"), (4, licenses.MIT + " more")]
-    got = {r.doc_id: r for r in licenses.find(frame(spark, rows)).collect()}
-    assert (got[1].license, got[2].license, got[4].license) == ("MIT", "ISC", None)
-    assert "python" not in licenses.find(frame(spark, rows))._jdf.queryExecution().toString().lower()
+    full = dict(licenses.KNOWN[-8:])
+    lower = full["GPL-3.0"].lower().replace("license", "licence").replace(",", " ,").replace("\n", " \n\n")
+    rows = [
+        (1, licenses.MIT.upper().replace(" ", "\n "), "MIT"),
+        (2, "Copyright (c) 2020 Someone\n" + licenses.ISC, "ISC"),
+        (4, licenses.MIT + " more", None),
+        (5, "MIT License Copyright (c) 2019-2021, 2023 by X Y Inc. and others " + licenses.MIT.replace("\n", " "), "MIT"),
+        (6, "MIT License\n\nCopyright 2020 A. B. Some\nAll rights reserved.\n" + licenses.MIT, None),
+        (7, lower, "GPL-3.0"),
+        (8, full["Apache-2.0"].split(licenses.END)[0] + licenses.END.title(), "Apache-2.0"),
+        (9, full["LGPL-2.1"] + "\n" * 50, "LGPL-2.1"),
+        (10, full["CC0-1.0"].replace("acknowledgment", "acknowledgement"), "CC0-1.0"),
+        (11, full["MPL-2.0"], "MPL-2.0"),
+        (12, "copyright 2020 " + " " * 100_000 + "x", None),
+        (13, "all rights reserved", None),
+        (14, full["GPL-2.0"][:-400], None),
+        (15, "Copyright (c) 2020 Who. " + licenses.ZLIB, "Zlib"),
+    ]
+    got = {r.doc_id: r for r in licenses.find(frame(spark, [r[:2] for r in rows])).collect()}
+    assert {i: got[i].license for i, *_ in rows} == {i: want for i, _, want in rows}
+    noted = licenses.find(frame(spark, [(3, "intro\nLicenced under the MIT License!\nend of it, under no licence"), (4, None), (5, "")])).collect()
+    assert [(r.notices, r.n_notices) for r in sorted(noted, key=lambda r: r.doc_id)] == [("MIT", 1), ("", 0), ("", 0)]
+    own = spark.createDataFrame([("B", "Do as you like."), ("A", "do AS you like"), ("C", "")], "license string, text string")
+    assert [r.license for r in licenses.find(frame(spark, [(1, "do as you like!"), (2, "!")]), own).orderBy("doc_id").collect()] == ["A", None]
+    assert "python" not in licenses.find(frame(spark, [(1, "x")]))._jdf.queryExecution().toString().lower()
+
+
+def test_line_marks_miss_no_notice():
+    assert all(any(m in t.lower() for m in licenses.MARKS) for _, t in licenses.KNOWN if len(t) < 2 * licenses.LINE)
 
 
 def test_trees_learn():
