@@ -2,7 +2,7 @@
 
 Each language has a zstandard raw-content dictionary made of its own sample texts. A text is compressed with every dictionary; the language of the smallest result wins, and a narrow margin marks the answer as rejected.
 
-Edge cases: a null text, an empty one and one without a letter give `und` with score 0. Equal sizes go to the language with more training rows, then the lesser name. Without any labelled row every text is `und`. Repeated rows are answered alike; other columns are never read.
+Edge cases: a null text, an empty one and one without a letter give `und` with score 0. Equal sizes go to the language with more training rows, then the lesser name. Without any labelled row every text is `und`. Very long texts are compressed whole, block by block. Repeated rows are answered alike; an empty table gives no rows, and trains no language; other columns are never read. More than MOST_LANGUAGES different labels are refused: that is no column of languages.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fold, held_out, local, mapped, process_cache, table
@@ -25,6 +25,8 @@ SPACED = bytes(c if c > 127 or 97 <= c <= 122 else 32 for c in range(256))
 #: Training takes at most so many labelled rows and so many bytes of folded text per language.
 SAMPLE_ROWS = 400
 DICTIONARY_BYTES = 96 * 1024
+#: Bytes of all dictionaries together, which the workers get, and different labels at most.
+ALL_BYTES, MOST_LANGUAGES = 32 << 20, 10_000
 #: A lead under this share of the best size is called narrow.
 NARROW = 0.01
 #: Texts are compressed in blocks of so many bytes, all of them, so that the dictionary and not the text's own past decides.
@@ -39,26 +41,33 @@ def folded(text: str) -> bytes:
 
 
 def train(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", rows: int = SAMPLE_ROWS, size: int = DICTIONARY_BYTES) -> list[tuple[str, bytes]]:
-    """(language, dictionary) by falling number of rows, from at most `rows` labelled rows of each language in the order of a hash of the key. A text that no longer fits its dictionary is left out whole."""
+    """(language, dictionary) by falling number of rows, from at most `rows` labelled rows of each language in the order of a hash of the key, as far as they fit. Texts of over a quarter of a dictionary are left out. Rows are chosen and cut in the executors; only dictionaries come to the driver, ALL_BYTES at most."""
     named = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(label).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(key).cast("string"), F.lit("language sample")).alias("h"))
-    counts = {r.lang: r.n for r in named.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r.lang: r.n for r in named.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"over {MOST_LANGUAGES} different labels")
     if not counts:
         return []
-    # The share of hashes that holds `rows` rows with a little over; then an exact cut on the driver.
+    size = min(size, ALL_BYTES // len(counts))
+    # The share of hashes that holds `rows` rows with a little over.
     span = {k: min(1.0, (rows + 4 * rows**0.5) / n) for k, n in counts.items()}
     u = F.pmod("h", F.lit(1 << 30)) / float(1 << 30)
     shares = local(docs.sparkSession, sorted(span.items()), pa.schema([("lang", pa.string()), ("share", pa.float64())]))
-    picked = named.join(F.broadcast(shares), "lang").where(u < F.col("share")).select("lang", "text", "h").collect()
-    out = []
-    for name in sorted(counts, key=lambda k: (-counts[k], k)):
-        parts, room = [], size
-        for r in sorted((r for r in picked if r.lang == name), key=lambda r: (r.h, r.text))[:rows]:
-            t = folded(r.text)
-            if t and len(t) < room:
-                parts.append(t)
-                room -= len(t) + 1
-        out.append((name, b" ".join(parts[::-1])))
-    return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            some = [folded(t) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("h"), pa.array(some, pa.binary())], names=["lang", "h", "text"])
+
+    picked = named.join(F.broadcast(shares), "lang").where(u < F.col("share")).select("lang", "h", "text").transform(mapped, run, "lang string, h long, text binary")
+    picked = picked.where((F.length("text") > 0) & (F.length("text") < size // 4))
+    order = Window.partitionBy("lang").orderBy("h", "text")
+    room = F.sum(F.length("text") + 1).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    fits = picked.withColumn("room", room).withColumn("nth", F.row_number().over(order)).where((F.col("room") <= size) & (F.col("nth") <= rows))
+    parts: dict[str, list[bytes]] = {k: [] for k in counts}
+    for r in fits.select("lang", "nth", "text").toArrow().sort_by([("lang", "ascending"), ("nth", "descending")]).to_pylist():
+        parts[r["lang"]].append(r["text"])
+    return [(k, b" ".join(parts[k])) for k in sorted(counts, key=lambda k: (-counts[k], k))]
 
 
 def _compressors(model: list[tuple[str, bytes]]) -> list[zstandard.ZstdCompressor]:
