@@ -15,8 +15,17 @@ NAME = re.compile(r"(rule|engine)_v(\d+)_(\d{8})_b(\d+)\.json")
 MODES = ("ipi", "dpi")
 SCHEMA = 3
 SEVERITIES = ("high", "medium", "low")
-#: Verbs whose forms replace the regular ones.
-IRREGULAR = {"forget": ("forgets", "forgot", "forgotten", "forgetting"), "set aside": ("sets aside", "setting aside")}
+#: Fixed values, complete and in their order: verbs whose forms replace the regular ones.
+IRREGULAR = {
+    "forget": ("forgets", "forgot", "forgotten", "forgetting"),
+    "stop following": ("stops following", "stopped following", "stopping following"),
+    "do": ("does", "did", "doing"),
+    "leave out": ("leaves out", "left out", "leaving out"),
+    "take no notice of": ("takes no notice of", "took no notice of"),
+    "pay no attention to": ("pays no attention to", "paid no attention to"),
+}
+#: Verbs of our own base.
+OWN_IRREGULAR = {"set aside": ("sets aside", "setting aside")}
 
 
 class BaseUnavailable(ValueError):
@@ -31,8 +40,8 @@ def newest(names: list[str]) -> str | None:
 
 def inflected(phrase: str) -> set[str]:
     """Forms of the first word of a phrase, as a verb. Both spellings where doubling hangs on stress."""
-    if phrase in IRREGULAR:
-        return set(IRREGULAR[phrase])
+    if phrase in IRREGULAR or phrase in OWN_IRREGULAR:
+        return set(IRREGULAR.get(phrase, ()) or OWN_IRREGULAR[phrase])
     verb, space, tail = phrase.partition(" ")
     if len(verb) < 3 or not verb.isalpha():
         return set()

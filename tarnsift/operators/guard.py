@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..base import MODES, Base
 from .findings import islands
 
 POLICIES = ("passthrough", "blank", "mask", "drop", "fail")
@@ -65,33 +66,96 @@ def replaced(text: Column, spans: Column, fill) -> Column:
     return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
 
 
-def apply(docs: DataFrame, found: DataFrame, policy: str = "passthrough", blank: str = " ", mask: str = "", key: str = "doc_key", text: str = "text") -> DataFrame:
-    """The documents with text as the policy leaves it, and keep, flagged, policy, removed. found: (key, spans) of merged blocks."""
+OUTPUTS = ("keep", "flagged", "policy", "removed")
+
+
+def apply(docs: DataFrame, found: DataFrame, policy: str = "passthrough", blank: str = " ", mask: str = "", key: str = "doc_key", text: str = "text", prefix: str = "") -> DataFrame:
+    """The documents with text as the policy leaves it, and keep, flagged, policy, removed, each under the prefix. found: (key, spans) of merged blocks.
+
+    A text without a block stays as it is, null too. Columns of these names are refused, rather than lost. With `fail`, whatever is done with the result stops at the first flagged document.
+    """
     if policy not in POLICIES or len(blank) != 1:
         raise ValueError(f"policy is one of {POLICIES}, blank one character")
-    df = docs.join(found.select(key, "spans"), key, "left").withColumn("flagged", F.col("spans").isNotNull())
-    t = F.coalesce(F.col(text), F.lit(""))
-    total = F.coalesce(F.aggregate("spans", F.lit(0), lambda acc, s: acc + s["hi"] - s["lo"]), F.lit(0))
+    names = {c: prefix + c for c in OUTPUTS}
+    if clash := {c.lower() for c in docs.columns} & {c.lower() for c in names.values()}:
+        raise ValueError(f"the documents have columns {sorted(clash)}; name another prefix")
+    some = found.select(F.col(key).alias("_guard_key"), F.col("spans").alias("_guard_spans"))
+    df = docs.join(some, F.col(key).eqNullSafe(F.col("_guard_key")), "left").drop("_guard_key")
+    spans = F.col("_guard_spans")
+    flagged, t = spans.isNotNull(), F.coalesce(F.col(text), F.lit(""))
     if policy == "fail":
-        # An action on the result stops at the first flagged document.
-        df = df.withColumn(text, F.when(F.col("flagged"), F.raise_error(F.concat(F.lit("injection found in "), F.col(key).cast("string"))).cast("string")).otherwise(F.col(text)))
+        # As a filter it can't be pruned away, as an unread column would be.
+        df = df.where(F.when(flagged, F.raise_error(F.concat(F.lit("injection found in "), F.col(key).cast("string"))).cast("boolean")).otherwise(True))
     fill = (lambda n: F.repeat(F.lit(blank), n)) if policy == "blank" else (lambda n: F.lit(mask))
     edits = policy in ("blank", "mask")
-    out = F.when(F.col("flagged"), replaced(t, F.col("spans"), fill)).otherwise(t) if edits else t
-    df = df.withColumn("_out", out)
-    keep = ~F.col("flagged") if policy == "drop" else (~F.col("flagged") | (F.regexp_replace("_out", r"\s+", "") != "")) if policy == "mask" else F.lit(True)
-    return df.withColumn("keep", keep).withColumn(text, F.col("_out")).withColumn("policy", F.lit(policy)).withColumn("removed", F.when(F.lit(edits), total).otherwise(0)).drop("_out", "spans")
+    out = F.when(flagged, replaced(t, spans, fill)).otherwise(F.col(text)) if edits else F.col(text)
+    df = df.withColumn("_guard_out", out)
+    left = F.regexp_replace("_guard_out", r"\s+", "") != ""
+    keep = ~flagged if policy == "drop" else (~flagged | left) if policy == "mask" else F.lit(True)
+    total = F.coalesce(F.aggregate(spans, F.lit(0), lambda acc, x: acc + x["hi"] - x["lo"]), F.lit(0)) if edits else F.lit(0)
+    columns = [F.col("_guard_out").alias(c) if c == text else F.col(c) for c in docs.columns]
+    return df.select(*columns, keep.alias(names["keep"]), flagged.alias(names["flagged"]), F.lit(policy).alias(names["policy"]), total.alias(names["removed"]))
+
+
+def guarded(docs: DataFrame, base: Base, mode: str = "ipi", policy: str = "passthrough", blank: str = " ", mask: str = "", key: str = "doc_key", text: str = "text", prefix: str = "") -> DataFrame:
+    """apply() of what the base finds: merged findings at their raw extent, each grown to its utterance, blocks merged again. Adds a metadata column, see metadata(). Keys must differ."""
+    from ..plans.fused import scan
+
+    found = scan(docs, base, mode, key, text, pad=-50)
+    grown = boundary(found.select(key, "lo", "hi"), docs.select(key, text), key, text)
+    out = apply(docs, blocks(grown, key), policy, blank, mask, key, text, prefix)
+    return metadata(out, found, base.version, key, prefix)
+
+
+def metadata(out: DataFrame, findings: DataFrame, version: str, key: str = "doc_key", prefix: str = "") -> DataFrame:
+    """out of apply() with a column meta: flagged, action (none where nothing was found) and base always; threats in order of appearance, spans and removed_chars where something was."""
+    seen = F.array_sort(F.collect_list(F.struct("lo", "hi", "threat")))
+    g = findings.groupBy(F.col(key).alias("_meta_key")).agg(seen.alias("_meta_seen"))
+    df = out.join(g, F.col(key).eqNullSafe(F.col("_meta_key")), "left")
+    flagged = F.col(f"{prefix}flagged")
+    meta = F.struct(
+        flagged.alias("flagged"),
+        F.when(flagged, F.col(f"{prefix}policy")).otherwise("none").alias("action"),
+        F.lit(version).alias("base"),
+        F.array_distinct(F.transform("_meta_seen", lambda x: x["threat"])).alias("threats"),
+        F.transform("_meta_seen", lambda x: F.struct(x["lo"].alias("lo"), x["hi"].alias("hi"))).alias("spans"),
+        F.when(flagged, F.col(f"{prefix}removed")).alias("removed_chars"),
+    )
+    return df.select(*out.columns, meta.alias(f"{prefix}meta"))
+
+
+def split(out: DataFrame, prefix: str = "") -> tuple[DataFrame, DataFrame]:
+    """(kept, rejected) of apply()."""
+    return out.where(F.col(f"{prefix}keep")), out.where(~F.col(f"{prefix}keep"))
 
 
 def decide(turns: DataFrame, flagged: DataFrame, roles: dict[str, str], policy: str = "passthrough") -> DataFrame:
-    """(conv_id, n_read, flagged, keep): one verdict per conversation. flagged: (conv_id, turn, mode) of turns with findings; a turn is read by the rules of its role, an empty one not at all."""
+    """(conv_id, n_read, flagged, keep, threats): one verdict per conversation. flagged: (conv_id, turn, mode, perhaps threats) of turns with findings; a turn is read by the rules of its role, an empty one not at all. threats: those of the turns in order, each once."""
     if policy not in ("passthrough", "drop", "fail"):
         raise ValueError("turns are not edited")
+    if unknown := set(roles.values()) - set(MODES):
+        raise ValueError(f"rulesets {sorted(unknown)} are none of {MODES}")
     mode = F.coalesce(*[F.when(F.col("role") == r, F.lit(m)) for r, m in roles.items()], F.lit(None).cast("string"))
     read = turns.withColumn("mode", F.when(F.coalesce(F.col("text"), F.lit("")) != "", mode))
-    hit = read.join(flagged.select("conv_id", "turn", "mode").distinct().withColumn("hit", F.lit(True)), ["conv_id", "turn", "mode"], "left")
-    g = hit.groupBy("conv_id").agg(F.count("mode").alias("n_read"), F.coalesce(F.bool_or("hit"), F.lit(False)).alias("flagged"))
-    return g.withColumn("keep", ~(F.col("flagged") & F.lit(policy == "drop")))
+    named = F.col("threats") if "threats" in flagged.columns else F.lit([]).cast("array<string>")
+    some = flagged.select("conv_id", "turn", "mode", named.alias("threats")).dropDuplicates(["conv_id", "turn", "mode"]).withColumn("hit", F.lit(True))
+    hit = read.select("conv_id", "turn", "mode").join(some, ["conv_id", "turn", "mode"], "left")
+    seen = F.array_sort(F.collect_list(F.when(F.col("hit"), F.struct("turn", "threats"))))
+    g = hit.groupBy("conv_id").agg(F.count("mode").alias("n_read"), F.coalesce(F.bool_or("hit"), F.lit(False)).alias("flagged"), F.array_distinct(F.flatten(F.transform(seen, lambda x: x["threats"]))).alias("threats"))
+    if policy == "fail":
+        g = g.where(F.when(F.col("flagged"), F.raise_error(F.concat(F.lit("injection found in conversation "), F.col("conv_id").cast("string"))).cast("boolean")).otherwise(True))
+    return g.select("conv_id", "n_read", "flagged", (~(F.col("flagged") & F.lit(policy == "drop"))).alias("keep"), "threats")
+
+
+def turn_meta(turns: DataFrame, flagged: DataFrame, roles: dict[str, str], policy: str = "passthrough", version: str = "") -> DataFrame:
+    """The turns with meta (flagged, action, base, threats); null for a turn that no ruleset reads, which says something else than nothing found."""
+    mode = F.coalesce(*[F.when(F.col("role") == r, F.lit(m)) for r, m in roles.items()], F.lit(None).cast("string"))
+    named = F.col("threats") if "threats" in flagged.columns else F.lit(None).cast("array<string>")
+    some = flagged.select("conv_id", "turn", F.col("mode").alias("_mode"), named.alias("_threats")).dropDuplicates(["conv_id", "turn", "_mode"])
+    df = turns.withColumn("_mode", F.when(F.coalesce(F.col("text"), F.lit("")) != "", mode)).join(some.withColumn("_hit", F.lit(True)), ["conv_id", "turn", "_mode"], "left")
+    hit = F.coalesce("_hit", F.lit(False))
+    meta = F.struct(hit.alias("flagged"), F.when(hit, policy).otherwise("none").alias("action"), F.lit(version).alias("base"), F.when(hit, F.col("_threats")).alias("threats"))
+    return df.select(*[F.col(c) for c in turns.columns], F.when(F.col("_mode").isNotNull(), meta).alias("meta"))
 
 
 def since_assistant(turns: DataFrame) -> DataFrame:

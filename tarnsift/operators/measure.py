@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,11 +57,11 @@ def cost_model(rows: DataFrame, size: str, ms: str) -> DataFrame:
     return rows.agg(F.round(F.coalesce(slope, F.lit(0.0)), 6).alias("slope"), F.round(F.coalesce(F.regr_intercept(ms, size), mean), 6).alias("intercept"), F.count("*").alias("n"))
 
 
-def bootstrap_slope(rows: DataFrame, size: str, ms: str, resamples: int = 2000, seed: int = 20260801) -> DataFrame:
-    """(lo, hi) of the middle 95% of slopes over Poisson resamples; null under eight rows. Each row adds to all resamples where it stands; only sums by resample are shuffled."""
+def bootstrap_slope(rows: DataFrame, size: str, ms: str, resamples: int = 2000, seed: int = 20260801, key: str | None = None) -> DataFrame:
+    """(lo, hi) of the middle 95% of slopes over Poisson resamples; null under eight rows. Each row adds to all resamples where it stands; only sums by resample are shuffled. Weights hang on the row's key, or without one on its values, so that rows of equal values share theirs, and never on how rows are dealt."""
     w = F.transform(F.sequence(F.lit(0), F.lit(resamples - 1)), lambda r: F.pmod(F.xxhash64(F.col("_id"), r, F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30)))
     cuts = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183)
-    df = rows.select(F.xxhash64(size, ms, F.monotonically_increasing_id()).alias("_id"), F.col(size).cast("double").alias("x"), F.col(ms).cast("double").alias("y"))
+    df = rows.select(F.xxhash64(*([key] if key else [size, ms])).alias("_id"), F.col(size).cast("double").alias("x"), F.col(ms).cast("double").alias("y"))
     df = df.select("x", "y", F.posexplode(w).alias("r", "u"))
     weight = sum((F.when(F.col("u") >= c, 1).otherwise(0) for c in cuts), F.lit(0))
     df = df.withColumn("w", weight).where("w > 0")
@@ -68,12 +72,21 @@ def bootstrap_slope(rows: DataFrame, size: str, ms: str, resamples: int = 2000,
     return out.select(*[F.when(~few, F.col(c)).alias(c) for c in ("lo", "hi")])
 
 
+def numbered(rows: DataFrame, *order: str, number: str = "rn") -> DataFrame:
+    """The rows in order, numbered from 0, over a range partitioning: rows of a partition are numbered by themselves, and counts of partitions make where each begins. The rows are read twice, so they must come the same both times, as from files. Ties fall by chance unless the order is of all columns that matter."""
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    part = F.spark_partition_id()
+    # The number within a partition, and the partition, are in the two halves of this id.
+    dealt = dealt.withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", part)
+    counts = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    first = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_first"))
+    return dealt.join(first, "_part").withColumn(number, F.col("_first") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_first", "_id")
+
+
 def systematic(rows: DataFrame, order: str, k: int) -> DataFrame:
     """Every (n / k)-th row in order, k at most."""
-    n = rows.count()
-    step = max(1, n // k)
-    numbered = rows.withColumn("_rn", F.row_number().over(Window.orderBy(order)) - 1)
-    return numbered.where(F.col("_rn") % step == 0).orderBy("_rn").limit(k).drop("_rn")
+    step = max(1, rows.count() // k)
+    return numbered(rows, order, number="_rn").where((F.col("_rn") % step == 0) & (F.col("_rn") < step * k)).drop("_rn")
 
 
 def held_out(key: str) -> Column:
@@ -102,3 +115,81 @@ def overlap(rows: DataFrame) -> DataFrame:
 
 def squeezed(text: Column) -> Column:
     return F.regexp_replace(text, r"\s+", " ")
+
+
+#: Fixed value: a common run shorter than this is language, not payload.
+RUN = 25
+
+
+def longest_common(a: str, b: str) -> int:
+    """Length of the longest run that both hold: a binary search over lengths, runs of a length compared as a set."""
+    lo, hi = 0, min(len(a), len(b))
+    while lo < hi:
+        n = (lo + hi + 1) // 2
+        some = {a[i : i + n] for i in range(len(a) - n + 1)}
+        if any(b[i : i + n] in some for i in range(len(b) - n + 1)):
+            lo = n
+        else:
+            hi = n - 1
+    return lo
+
+
+def survival(rows: DataFrame, payload: str, text: str, name: str = "survival") -> DataFrame:
+    """The rows with the share of the payload that the text still holds: 1 if it is there whole, blanks squeezed, else that of the longest common run of RUN characters at least. An empty or null payload, or a null text, gives 0. Only what is not whole reaches Python."""
+    one = lambda c: F.trim(squeezed(F.coalesce(F.col(c), F.lit(""))))
+    df = rows.withColumn("_p", one(payload)).withColumn("_t", one(text))
+    whole = F.when(F.col("_p") == "", 0.0).when(F.contains("_t", "_p"), 1.0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            i, made = b.schema.get_field_index("_known"), []
+            for known, p, t in zip(*(b.column(c).to_pylist() for c in ("_known", "_p", "_t")), strict=True):
+                n = 0 if known is not None else longest_common(p, t)
+                made.append(known if known is not None else n / len(p) if n >= RUN else 0.0)
+            yield b.set_column(i, "_known", pa.array(made, pa.float64()))
+
+    df = df.withColumn("_known", whole)
+    return df.mapInArrow(run, df.schema).select(*rows.columns, F.col("_known").alias(name))
+
+
+def damage(before: DataFrame, after: DataFrame, clean: DataFrame) -> DataFrame:
+    """One row of counts: intact before and after (over 0.99 of the payload), gone after (under 0.1), clean documents dropped (under 0.01 of their length left) and trimmed (under 0.999). before, after: (survival); clean: (kept)."""
+    b = before.agg(F.count("*").alias("payloads"), F.count_if(F.col("survival") > 0.99).alias("intact_before"))
+    a = after.agg(F.count_if(F.col("survival") > 0.99).alias("intact_after"), F.count_if(F.col("survival") < 0.10).alias("gone_after"))
+    c = clean.agg(F.count("*").alias("clean"), F.count_if(F.col("kept") < 0.01).alias("clean_dropped"), F.count_if((F.col("kept") >= 0.01) & (F.col("kept") < 0.999)).alias("clean_trimmed"))
+    return b.join(a).join(c)
+
+
+def mismatches(one: DataFrame, two: DataFrame) -> DataFrame:
+    """(only_one, only_two, total): rows of either table that the other lacks, repeated ones by number."""
+    columns = one.columns
+    x, y = one.select(columns), two.select(columns)
+    left, right = x.exceptAll(y).agg(F.count("*").alias("only_one")), y.exceptAll(x).agg(F.count("*").alias("only_two"))
+    return left.join(right).select("only_one", "only_two", (F.col("only_one") + F.col("only_two")).alias("total"))
+
+
+def paired(rows: DataFrame, before: str, after: str, by: str) -> DataFrame:
+    """(by, gains, losses, net): how many rows each group won and lost from one detector to another."""
+    g = rows.groupBy(by).agg(F.count_if(~F.col(before) & F.col(after)).alias("gains"), F.count_if(F.col(before) & ~F.col(after)).alias("losses"))
+    return g.withColumn("net", F.col("gains") - F.col("losses"))
+
+
+def cell_coverage(rows: DataFrame, hit: str, *by: str, least: float = 0.5) -> DataFrame:
+    """(cells, covered, share): how many groups have a rate of `least` or more."""
+    cells = rows.groupBy(*by).agg(F.avg(F.col(hit).cast("double")).alias("rate"))
+    return cells.agg(F.count("*").alias("cells"), F.count_if(F.col("rate") >= least).alias("covered")).withColumn("share", F.round(F.col("covered") / F.col("cells"), 6))
+
+
+def timings(run, texts: list[tuple[object, str]], repeats: int = 3) -> list[tuple[object, int, float]]:
+    """(key, size, median ms) of a function over some texts, on the driver."""
+    import time
+
+    out = []
+    for key, text in texts:
+        took = []
+        for _ in range(repeats):
+            began = time.perf_counter()
+            run(text)
+            took.append(1000 * (time.perf_counter() - began))
+        out.append((key, len(text), float(np.median(took))))
+    return out

@@ -5,17 +5,21 @@ Everything up to the edges stays within a document's row, so no text is shuffled
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..base import Base
-from ..functions.text import FOLDED, TOKEN, distance_class, lowered, spans
+from ..functions.scanner import SPAN_BASE, WINDOW, Scanner
+from ..functions.text import FOLDED, PARAGRAPH, TOKEN, distance_class, lowered, spans
 
-#: Tokens between the two ends of an edge, and characters that a shown span grows by.
-WINDOW, SPAN_BASE = 8, 50
+_TOKENS, _BREAKS = re.compile(r"[^\W\d_]+|\d+"), re.compile(PARAGRAPH)
 _HIT = "array<struct<lo:int,hi:int,slot:string>>"
 _EDGE, _END = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 
@@ -33,13 +37,19 @@ def literal_hits(low: Column, base: Base) -> Column:
     return F.concat(*each)
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """Rows of few files are dealt over all cores, since scanning costs far more than moving them. Tables of more files than cores stay as they are."""
+    if docs.isStreaming:
+        return docs
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if len(docs.inputFiles()) < cores else docs
+
+
 def with_hits(docs: DataFrame, base: Base, text: str = "text", key: str = "doc_key") -> DataFrame:
     """(key, hits array<struct<lo,hi,slot>> by lo, hi, slot; masked, the lower-cased text with its entities folded).
 
-    An entity is one term: literals within it are none. Of hits of a slot on the same words the longest stays; as literals here begin and end with words, equal words are equal spans. A null text counts as empty.
+    An entity is one term: literals within it are none. Of hits of a slot on the same words the longest stays. A null text counts as empty.
     """
-    from ..plans.fused import Scanner, spread
-
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,14 +72,14 @@ def with_hits(docs: DataFrame, base: Base, text: str = "text", key: str = "doc_k
 
 
 def edges(rows: DataFrame, key: str = "doc_key") -> DataFrame:
-    """(key, anchor, filler, dist, conn, lo, hi), one row per occurrence, from with_hits(). Each pair is made once, from left to right."""
+    """(key, anchor, filler, dist, conn, lo, hi, at), one row per occurrence, from with_hits(); at is where the right hit begins. Each pair is made once, from left to right."""
     between = lambda h, g: F.substring(F.col("masked"), h["hi"] + 1, g["lo"] - h["hi"])
 
     def pair(h: Column, g: Column) -> Column:
         gap = between(h, g)
         free = F.filter(spans(gap, TOKEN), lambda t: ~F.exists("hits", lambda x: (h["hi"] + t["lo"] < x["hi"]) & (h["hi"] + t["hi"] > x["lo"])))
         conn = F.when(F.size(free) <= 3, F.array_join(F.transform(free, lambda t: F.when(t["s"].startswith(FOLDED), F.lit("<entity>")).otherwise(t["s"])), "_")).otherwise(F.lit("~"))
-        return F.struct(h["slot"].alias("anchor"), g["slot"].alias("filler"), distance_class(F.regexp_count(gap, F.lit(TOKEN)) + 1).alias("dist"), conn.alias("conn"), h["lo"].alias("lo"), g["hi"].alias("hi"))
+        return F.struct(h["slot"].alias("anchor"), g["slot"].alias("filler"), distance_class(F.regexp_count(gap, F.lit(TOKEN)) + 1).alias("dist"), conn.alias("conn"), h["lo"].alias("lo"), g["hi"].alias("hi"), g["lo"].alias("at"))
 
     def near(h: Column, g: Column) -> Column:
         gap = between(h, g)
@@ -80,6 +90,64 @@ def edges(rows: DataFrame, key: str = "doc_key") -> DataFrame:
     return rows.where(F.size("hits") > 1).select(key, F.inline(made))
 
 
+def in_region(found: DataFrame, regions: DataFrame, key: str = "doc_key") -> DataFrame:
+    """The edges of which one end begins in the document's region (key, region_lo, region_hi); documents without one have none."""
+    both = found.join(regions.select(key, "region_lo", "region_hi"), key)
+    inside = lambda c: (F.col(c) >= F.col("region_lo")) & (F.col(c) < F.col("region_hi"))
+    return both.where(inside("lo") | inside("at")).select(*found.columns)
+
+
+def contexts(rows: DataFrame, key: str = "doc_key") -> DataFrame:
+    """(slot, token, side, dist, n): the unmasked tokens within WINDOW of a hit on both sides, up to a paragraph's end, counted over all rows of with_hits(). Tokens of hits are passed over and do not count as distance."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seen: Counter = Counter()
+            for hits, masked in zip(b.column("hits").to_pylist(), b.column("masked").to_pylist(), strict=True):
+                tokens = [m.span() for m in _TOKENS.finditer(masked)]
+                begins, breaks = [a for a, _ in tokens], [m.start() for m in _BREAKS.finditer(masked)]
+                free, at, reach = [True] * len(tokens), 0, 0
+                spans = sorted((h["lo"], h["hi"]) for h in hits)
+                for k, (lo, hi) in enumerate(tokens):
+                    while at < len(spans) and spans[at][0] < hi:
+                        reach, at = max(reach, spans[at][1]), at + 1
+                    free[k] = reach <= lo
+                for h in hits:
+                    for side, near in (("L", range(bisect_left(begins, h["lo"]) - 1, -1, -1)), ("R", range(bisect_left(begins, h["hi"]), len(tokens)))):
+                        # The tokens in reach are counted before those of hits are passed over.
+                        d = 0
+                        for k in islice(near, WINDOW):
+                            if not free[k]:
+                                continue
+                            lo, hi = tokens[k]
+                            a, z = (hi, h["lo"]) if side == "L" else (h["hi"], lo)
+                            if bisect_left(breaks, a) != bisect_left(breaks, z):
+                                break
+                            d += 1
+                            word = "<entity>" if masked[lo] == FOLDED else masked[lo:hi]
+                            seen[h["slot"], word, side, str(d) if d <= 3 else "4-5" if d <= 5 else "6-8"] += 1
+            columns = [[k[i] for k in seen] for i in range(4)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in columns), pa.array(list(seen.values()), pa.int64())], names=["slot", "token", "side", "dist", "n"])
+
+    counted = rows.select("hits", "masked").mapInArrow(run, "slot string, token string, side string, dist string, n long")
+    return counted.groupBy("slot", "token", "side", "dist").agg(F.sum("n").alias("n"))
+
+
+def probe(docs: DataFrame, base: Base, mode: str = "ipi", key: str = "doc_key", text: str = "text") -> DataFrame:
+    """(key, rule, placements, hull, begins, first, para_len, paras, lines) of each rule whose edges all occur, whatever its aperture: how many placements, the tightest one's width and beginning, which edge begins first in it, how long its paragraph is, and over how few paragraph and line ends some placement reaches."""
+    kind = docs.schema[key].dataType.simpleString()
+    names = ["rule", "placements", "hull", "begins", "first", "para_len", "paras", "lines"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner = Scanner(base, mode)
+        for b in batches:
+            rows = [(k.as_py(), *r) for k, t in zip(b.column(0), b.column(1), strict=True) for r in scanner.probed(t.as_py() or "")]
+            columns = list(zip(*rows, strict=True)) or [()] * 9
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], b.schema.field(0).type), *(pa.array(c, pa.int64()) for c in columns[1:])], names=[key, *names])
+
+    return spread(docs.select(key, text)).mapInArrow(run, f"`{key}` {kind}, " + ", ".join(f"{c} long" for c in names))
+
+
 def needed(found: DataFrame, base: Base, mode: str) -> DataFrame:
     """Edges that some active rule names, with rule and edge_no."""
     return found.join(F.broadcast(base.edges_table(found.sparkSession, mode)), ["anchor", "filler", "dist", "conn"])

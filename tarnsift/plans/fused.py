@@ -5,8 +5,6 @@ A document may only send its findings on if some rule's rarest slot can occur in
 
 from __future__ import annotations
 
-import re
-from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -14,189 +12,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..base import Base, Rule
-from ..functions.text import ENTITIES, PARAGRAPH, lowered, normal
-from ..operators.findings import ORDER, TECHNIQUES
-from ..operators.scan import SPAN_BASE, WINDOW
-
-_CLASSES = ((r"[\p{L}\p{N}_]", r"\w"), (r"\p{L}\p{N}_", r"\w"))
-_TOKEN = re.compile(r"[^\W\d_]+|\d+")
-_PARA = re.compile(PARAGRAPH)
-#: By recogniser, in their order: signs of which a match holds one at least. A text without them is not searched.
-_NEEDS = (("@",), ("://", "www."), ("/",), tuple("0123456789"), tuple("0123456789"), (".",), ("/", "\\", "."), ("sk-", "ghp_", "AKIA", "xox"), ("|",), ("(",), ("-c", "-e"), ("-rf", "+x", "-d", "if="))
-
-
-def _python(pattern: str) -> re.Pattern:
-    for a, b in _CLASSES:
-        pattern = pattern.replace(a, b)
-    return re.compile(pattern)
-
-
-def _span_free(spans: list[tuple[int, int]], lo: int, hi: int) -> bool:
-    return all(hi <= a or b <= lo for a, b in spans)
-
-
-class Scanner:
-    """One per Python worker; from a base and a mode."""
-
-    def __init__(self, base: Base, mode: str | None = None):
-        import ahocorasick
-
-        self.rules = base.active(mode) if mode else ()
-        self.slots = defaultdict(list)
-        for slot, x in base.literals:
-            self.slots[x].append(slot)
-        self.automaton = ahocorasick.Automaton()
-        for x in self.slots:
-            self.automaton.add_word(x, x)
-        self.automaton.make_automaton()
-        self.entities = [(k, _python(p)) for k, p in ENTITIES]
-        self.entity_slots = set(base.entity_slots)
-        self.needed = {e for r in self.rules for e in r.edges}
-        lexical = {slot for slot, _ in base.literals}
-        self.lexical = [{s for a, f, *_ in r.edges for s in (a, f)} & lexical for r in self.rules]
-        self.refuting = {e[:4]: e[4] for e in base.refuting}
-        self.least = dict(base.thresholds).get(mode)
-        named = {f"{f}.{t}": i for i, (f, t, *_) in enumerate(TECHNIQUES)}
-        self.rank = {r.threat: named.get(r.threat.partition("/")[2].rpartition(".")[0] if r.threat.startswith("IPI/") else "", len(TECHNIQUES)) for r in self.rules}
-
-    def found_entities(self, low: str) -> list[tuple[int, int, int, str]]:
-        taken, out = defaultdict(list), []
-        for prio, (kind, p) in enumerate(self.entities):
-            if not any(x in low for x in _NEEDS[prio]):
-                continue
-            for m in p.finditer(low):
-                if len(m.group().strip(" ")) >= 4 and _span_free(taken[kind], *m.span()):
-                    taken[kind].append(m.span())
-                    out.append((m.start(), prio, m.end(), kind))
-        return sorted(out)
-
-    def hits(self, low: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, int, str]]]:
-        """Hits by lo, hi, slot, and entities."""
-        word = lambda i: 0 <= i < len(low) and (low[i].isalnum() or low[i] == "_")
-        ents = self.found_entities(low)
-        hits = {(lo, hi, kind) for lo, _, hi, kind in ents if kind in self.entity_slots}
-        for end, x in self.automaton.iter(low):
-            lo, hi = end + 1 - len(x), end + 1
-            if not (word(lo - 1) and word(lo)) and not (word(hi) and word(hi - 1)) and not any(a <= lo and hi <= b for a, _, b, _ in ents):
-                hits.update((lo, hi, s) for s in self.slots[x])
-        return sorted(hits), ents
-
-    @staticmethod
-    def folds(ents: list[tuple[int, int, int, str]]) -> list[tuple[int, int]]:
-        """Entities that become one token: of overlapping ones the first."""
-        out, at = [], 0
-        for lo, _, hi, _ in ents:
-            if lo >= at:
-                out.append((lo, hi))
-                at = hi
-        return out
-
-    def edges(self, low: str) -> dict[tuple[str, str, str, str], list[tuple[int, int]]]:
-        found = defaultdict(list)
-        ordered, ents = self.hits(low)
-        if len(ordered) < 2:
-            return found
-        folds = self.folds(ents)
-        # Only text around hits matters, but a whole pass is linear and simple.
-        tokens = [(lo, hi, "<entity>") for lo, hi in folds]
-        starts = [lo for lo, _ in folds]
-        for m in _TOKEN.finditer(low):
-            i = bisect_right(starts, m.start())
-            if not (i and folds[i - 1][1] > m.start()) and not (i < len(folds) and folds[i][0] < m.end()):
-                tokens.append((*m.span(), m.group()))
-        tokens.sort()
-        begins = [t[0] for t in tokens]
-        breaks = [m.start() for m in _PARA.finditer(low)]
-        los = [h[0] for h in ordered]
-        first = [bisect_left(begins, lo) for lo in los]
-        reach = max(h[1] - h[0] for h in ordered)
-        for k, (lo, hi, anchor) in enumerate(ordered):
-            after = bisect_left(begins, hi)
-            for g in range(k + 1, len(ordered)):
-                if first[g] - first[k] > WINDOW + 1:
-                    break
-                a, b, filler = ordered[g]
-                if a < hi or first[g] - after > WINDOW or bisect_left(breaks, hi) != bisect_left(breaks, a):
-                    continue
-                n = first[g] - after
-                free = []
-                for t in tokens[after : first[g]]:
-                    j = bisect_left(los, t[0] - reach)
-                    masked = False
-                    while j < len(ordered) and ordered[j][0] < t[1]:
-                        masked |= ordered[j][1] > t[0]
-                        j += 1
-                    if not masked:
-                        free.append(t[2])
-                conn = "_".join(free) if len(free) <= 3 else "~"
-                key = (anchor, filler, str(n + 1) if n < 3 else "4-5" if n < 5 else "6-8", conn)
-                if key in self.needed or key in self.refuting:
-                    found[key].append((lo, b))
-        return found
-
-    @staticmethod
-    def place(sides: list[list[tuple[int, int]]]) -> tuple[int, int, int]:
-        """(hull, lo, hi) of the tightest placement, the latest of equal ones."""
-        best = None
-        for left in {lo for s in sides for lo, _ in s}:
-            picked = [min(((hi, -lo) for lo, hi in s if lo >= left), default=None) for s in sides]
-            if None in picked:
-                continue
-            lo, hi = min(-n for _, n in picked), max(h for h, _ in picked)
-            best = min(best or (hi - lo, -lo, hi), (hi - lo, -lo, hi))
-        return best[0], -best[1], best[2]
-
-    def possible(self, low: str) -> bool:
-        """Whether the literals that some rule needs occur at all; one pass of the automaton, before anything else."""
-        present = {s for _, x in self.automaton.iter(low) for s in self.slots[x]}
-        return any(s <= present for s in self.lexical)
-
-    def fired(self, low: str) -> list[tuple[Rule, int, int, int]]:
-        found = self.edges(low) if self.possible(low) else None
-        if not found or (self.least is not None and sum(w for e, w in self.refuting.items() if e in found) >= self.least):
-            return []
-        out, breaks = [], None
-        for r in self.rules:
-            if all(e in found for e in r.edges):
-                hull, lo, hi = self.place([found[e] for e in r.edges])
-                if r.aperture is not None and hull > r.aperture:
-                    continue
-                if r.aperture_frac is not None:
-                    breaks = [m.start() for m in _PARA.finditer(low)] if breaks is None else breaks
-                    j = bisect_right(breaks, lo)
-                    left, right = breaks[j - 1] if j else 0, breaks[j] if j < len(breaks) else len(low)
-                    if hull > r.aperture_frac * max(1, right - left):
-                        continue
-                out.append((r, hull, lo, hi))
-        return out
-
-    def findings(self, text: str, pad: int = 0) -> list[dict]:
-        """Merged findings, in offsets of the text as given."""
-        made, src = (text, None) if text.isascii() and "  " not in text and text.isprintable() else normal(text)
-        word = lambda c: c.isalnum() or c == "_"
-        rows = []
-        for r, _, lo, hi in self.fired(lowered(made)):
-            a, b = (lo, hi) if src is None else (src[lo], src[hi - 1] + 1)
-            grow = max(-SPAN_BASE, pad) + SPAN_BASE
-            a, b = max(0, a - grow), min(len(text), b + grow)
-            while 0 < a < len(text) and word(text[a - 1]) and word(text[a]):
-                a -= 1
-            while 0 < b < len(text) and word(text[b - 1]) and word(text[b]):
-                b += 1
-            rows.append((a, b, r))
-        groups: list[list] = []
-        for row in sorted(rows, key=lambda x: (x[0], x[1], x[2].index)):
-            if groups and row[0] <= max(x[1] for x in groups[-1]):
-                groups[-1].append(row)
-            else:
-                groups.append([row])
-        out = []
-        for g in groups:
-            head = min(g, key=lambda x: (ORDER.index(x[2].severity), self.rank[x[2].threat], x[1] - x[0], x[2].threat))[2]
-            out.append({"lo": g[0][0], "hi": max(x[1] for x in g), "threat": head.threat, "severity": head.severity, "also": sorted({x[2].threat for x in g} - {head.threat}), "merged": len(g)})
-        return out
-
+from ..base import Base
+from ..functions.scanner import Scanner
+from ..functions.text import ENTITIES
+from ..operators.scan import spread
 
 FINDINGS = "lo long, hi long, threat string, severity string, also array<string>, merged long"
 _TYPE = pa.list_(pa.string())
@@ -235,7 +54,7 @@ def gate(base: Base, mode: str, text: str = "text") -> Column:
         slots = {s for a, f, *_ in r.edges for s in (a, f)}
         lexical = [s for s in slots if s in by_slot]
         wanted.add(min(lexical, key=lambda s: (len(by_slot[s]), s)) if lexical else min(slots))
-    literals = sorted({x for s in wanted for x in by_slot.get(s, ())} | {x for (k, _), needs in zip(ENTITIES, _NEEDS, strict=True) if k in wanted - set(by_slot) for x in needs})
+    literals = sorted({x for s in wanted for x in by_slot.get(s, ())} | {x for k, _, needs in ENTITIES if k in wanted - set(by_slot) for x in needs})
     t = F.coalesce(F.col(text), F.lit(""))
     test = t.rlike("[^\\x20-\\x7E\\n\\t\\rÀ-ÿ]|  ")
     for x in literals:
@@ -243,14 +62,6 @@ def gate(base: Base, mode: str, text: str = "text") -> Column:
     return test
 
 
-def spread(docs: DataFrame) -> DataFrame:
-    """Rows of few files are dealt over all cores, since scanning costs far more than moving them. Tables of more files than cores stay as they are."""
-    if docs.isStreaming:
-        return docs
-    cores = docs.sparkSession.sparkContext.defaultParallelism
-    return docs.repartition(cores) if len(docs.inputFiles()) < cores else docs
-
-
 def scan_gated(docs: DataFrame, base: Base, mode: str = "ipi", key: str = "doc_key", text: str = "text", pad: int = 0) -> DataFrame:
     """scan() of the documents that pass the gate."""
     dealt, test = spread(docs.select(key, text)), gate(base, mode, text)

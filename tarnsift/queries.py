@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from . import oracle
 from .base import inflected, load, newest
 from .functions import text as T
+from .operators import dialogue as D
 from .operators import findings as FI
 from .operators import guard as G
 from .operators import measure as M
 from .operators import scan as S
+from .operators import templates as TE
 from .plans import fixtures as X
 from .plans import fused
 
@@ -67,12 +69,12 @@ def norm_nfkc(spark, d):
 
 
 def norm_map_violations(spark, d):
-    """Rows where the offset map is not as long as the text, falls, or leaves it; or where the normal form is not its own. There must be none."""
+    """How many texts were checked, and in how many the offset map is not as long as the text, falls or leaves it, or the normal form is not its own. There must be none of the latter."""
     n = T.normalized(_corpus(spark, d, X.HIDDEN).select(KEY, "text"))
     again = T.normalized(n.select(KEY, "text", F.col("ntext").alias("once"), F.col("src").alias("map")), "once")
     src = F.col("map")
     bad = (F.size(src) != F.length("once")) | F.exists(src, lambda x: (x < 0) | (x >= F.length("text"))) | (F.array_sort(src) != src)
-    return again.where((F.col("once") != F.col("ntext")) | F.coalesce(bad, F.lit(False))).select(KEY)
+    return again.agg(F.count("*").alias("checked"), F.count_if((F.col("once") != F.col("ntext")) | F.coalesce(bad, F.lit(False))).alias("violations"))
 
 
 def tokens_offsets(spark, d):
@@ -91,8 +93,7 @@ def paragraphs(spark, d):
 
 
 def _entities(df: DataFrame, low: bool = True) -> DataFrame:
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return _long(df.select(KEY, F.inline(T.entities(F.lower(text) if low else text))))
+    return T.entities(S.spread(df.select(KEY, "text")), KEY, low=low)
 
 
 def _entity(kind: str):
@@ -111,16 +112,11 @@ def entities_raw(spark, d):
 
 
 def entity_domains(spark, d):
-    return _entities(_pages(spark, d)).groupBy("kind", T.domain(F.col("value")).alias("domain")).agg(F.count("*").alias("n"))
+    return _entities(_pages(spark, d)).groupBy("kind", "domain").agg(F.count("*").alias("n"))
 
 
 def entity_novelty(spark, d):
-    low = F.lower(F.coalesce(F.col("text"), F.lit("")))
-    df = _pages(spark, d).select(KEY, low.alias("low"), T.entities(low).alias("ents"))
-    once = lambda v: F.size(F.filter("ents", lambda e: e["value"] == v)) == 1
-    seldom = lambda v: (F.length("low") - F.length(F.replace(F.col("low"), v, F.lit("")))) / F.length(v) < 2
-    made = F.transform("ents", lambda e: F.struct(e["lo"].alias("lo"), e["hi"].alias("hi"), e["kind"].alias("kind"), (once(e["value"]) & seldom(e["value"])).alias("novel")))
-    return _long(df.select(KEY, F.inline(made)))
+    return _entities(_pages(spark, d)).select(KEY, "lo", "hi", "kind", "novel", "domain_novel")
 
 
 def _hits(spark, d, source=None) -> DataFrame:
@@ -141,11 +137,20 @@ def slot_frequency(spark, d):
 
 
 def context_counts(spark, d):
-    """The three tokens after a hit, within its paragraph, by slot; pairs seen once are left out."""
-    h = _hits(spark, d).select(KEY, "masked", F.explode("hits").alias("h"))
-    after = F.regexp_replace(F.substring(F.col("masked"), F.col("h.hi") + 1, F.lit(200)), r"\n[ \t]*\n[\s\S]*$", "")
-    t = h.select(F.col("h.slot").alias("slot"), F.explode(F.slice(F.regexp_extract_all(after, F.lit(T.TOKEN), F.lit(0)), 1, 3)).alias("token"))
-    return t.where(~F.col("token").startswith(T.FOLDED)).groupBy("slot", "token").agg(F.count("*").alias("n")).where("n >= 2")
+    """Tokens within eight of a hit, on both sides and by distance; what was seen once is left out."""
+    return S.contexts(_hits(spark, d)).where("n >= 2")
+
+
+def half_word_positions(spark, d):
+    return TE.positions(S.spread(_corpus(spark, d).select(KEY, "text")), load()).select(KEY, "slot", "lo", "hi", "first", "last")
+
+
+#: Templates of one to three steps, across lines or not.
+TEMPLATES = (("{CANCEL_VERB} ~3 {PRIOR_REF}", False), ("{SEND_VERB} ~9 {EXTERNAL_ADDR}", False), ("please ~2 {CANCEL_VERB} ~4 guidance", False), ("{FOLLOW_VERB}", False), ("{SEND_VERB} ~9 {EXTERNAL_ADDR}", True))
+
+
+def template_fragments(spark, d):
+    return TE.fragments(S.spread(_corpus(spark, d).select(KEY, "text")), load(), list(TEMPLATES)).select(KEY, "template", "lo", "hi", "words")
 
 
 def _edges(spark, d, source=None) -> DataFrame:
@@ -153,7 +158,14 @@ def _edges(spark, d, source=None) -> DataFrame:
 
 
 def edges_canonical(spark, d):
-    return _long(_edges(spark, d))
+    return _long(_edges(spark, d).drop("at"))
+
+
+def edges_in_region(spark, d):
+    """Edges of which an end begins in the planted sentence."""
+    docs = _corpus(spark, d)
+    regions = docs.where("inj_lo is not null").select(KEY, F.col("inj_lo").alias("region_lo"), F.col("inj_hi").alias("region_hi"))
+    return _long(S.in_region(_edges(spark, d, docs), regions).drop("at"))
 
 
 def edge_connectives(spark, d):
@@ -188,6 +200,10 @@ def rule_refutation(spark, d):
     return S.refuted(_edges(spark, d), load(), "ipi")
 
 
+def probe_geometry(spark, d):
+    return S.probe(_corpus(spark, d), load()).select(KEY, "rule", "placements", "hull", "begins", "para_len", "paras", "lines")
+
+
 def rule_evidence(spark, d):
     """Each edge of each fired rule with its quote."""
     docs = _corpus(spark, d)
@@ -227,15 +243,58 @@ def report_totals(spark, d):
     return _reports(spark, d).agg(F.count("*").alias("docs"), F.sum("n_findings").alias("findings"), F.count_if("flagged").alias("flagged"), F.count_if(F.col("severity") == "high").alias("high"))
 
 
+def _located(spark, d, docs) -> DataFrame:
+    return FI.merged(_shown(spark, d, source=docs))
+
+
 def report_json(spark, d):
-    """One JSON line per document, as the sinks write them."""
-    return _reports(spark, d).select(KEY, F.to_json(F.struct("*")).alias("line"))
+    """One JSON line per document, with the text of each span."""
+    docs = _corpus(spark, d)
+    return FI.to_json(docs, _located(spark, d, docs)).select(KEY, F.md5(F.col("line").cast("binary")).alias("line_md5"))
+
+
+def report_json_read(spark, d):
+    docs = _corpus(spark, d)
+    back = FI.from_json(FI.to_json(docs, _located(spark, d, docs)))
+    return _long(back.select(F.col("id").cast("long").alias(KEY), "flagged", "n_findings", "severity", F.array_join("threats", ",").alias("threats"), "lo", "hi"))
+
+
+def findings_evidence(spark, d):
+    docs = _corpus(spark, d)
+    e = FI.with_evidence(_shown(spark, d, source=docs), docs)
+    said = F.array_join(F.transform("evidence", lambda x: F.concat_ws(":", x["rule"].cast("string"), x["edge_no"].cast("string"), x["lo"].cast("string"), x["hi"].cast("string"), x["quote"])), "|")
+    return _long(e.select(KEY, "island", F.size("evidence").alias("n_evidence"), F.md5(said.cast("binary")).alias("evidence_md5")))
+
+
+def findings_unlocated(spark, d):
+    """Located findings, then what a detector that names no place said of every ninth document."""
+    docs = _corpus(spark, d)
+    unlocated = docs.where(F.col(KEY) % 9 == 0).select(KEY, F.lit("IPI/Intent").alias("threat"), F.lit("high").alias("severity"))
+    return _long(FI.with_unlocated(_located(spark, d, docs), unlocated))
+
+
+def finding_snippets(spark, d):
+    docs = _corpus(spark, d)
+    f = _located(spark, d, docs).join(docs.select(KEY, "text"), KEY)
+    return _long(f.select(KEY, "island", FI.snippet(F.col("text"), F.col("lo"), F.col("hi")).alias("snippet")))
 
 
 def catalog(spark, d):
     return FI.catalog(load().rules_table(spark))
 
 
+def threat_explain(spark, d):
+    return FI.explain(FI.catalog(load().rules_table(spark)), "override").select("threat", "severity", "exact")
+
+
+def threat_names(spark, d):
+    """Names for the base's rules as if none had one."""
+    edges = load().edges_table(spark)
+    rows = FI.techniques(edges).join(FI.signatures(edges), "rule").collect()
+    made = FI.named([(r.rule, f"{r.family}.{r.technique}", r.signature) for r in rows])
+    return spark.createDataFrame(sorted(made.items()), "rule long, threat string")
+
+
 def threat_rank(spark, d):
     return load().rules_table(spark).select("threat", FI.rank(F.col("threat")).cast("long").alias("rank")).distinct()
 
@@ -256,9 +315,12 @@ def dict_expand_inflect(spark, d):
     return spark.createDataFrame([(v, x) for v in oracle.VERBS for x in inflected(v)], "phrase string, form string")
 
 
+def _raw(spark, d, docs) -> DataFrame:
+    return FI.merged(_shown(spark, d, -50, "ipi", docs))
+
+
 def _blocks(spark, d, docs) -> DataFrame:
-    raw = _shown(spark, d, -50, "ipi", docs)
-    return G.blocks(raw, KEY, "span_lo", "span_hi")
+    return G.blocks(G.boundary(_raw(spark, d, docs).select(KEY, "lo", "hi"), docs))
 
 
 def _guarded(policy: str, **how):
@@ -269,22 +331,28 @@ def _guarded(policy: str, **how):
     return query
 
 
+def guard_metadata(spark, d):
+    m = G.guarded(_corpus(spark, d).select(KEY, "text"), load(), "ipi", "mask", mask="[cut]")
+    one = F.array_join(F.transform("meta.spans", lambda x: F.concat_ws("-", x["lo"].cast("string"), x["hi"].cast("string"))), ",")
+    return _long(m.select(KEY, "meta.flagged", "meta.action", "meta.base", F.array_join("meta.threats", ",").alias("threats"), one.alias("spans"), "meta.removed_chars"))
+
+
 def guard_drop_split(spark, d):
     docs = _corpus(spark, d)
-    out = G.apply(docs, _blocks(spark, d, docs), "drop")
-    return out.groupBy("label").agg(F.count_if("keep").alias("kept"), F.count_if(~F.col("keep")).alias("rejected"))
+    kept, rejected = G.split(G.apply(docs, _blocks(spark, d, docs), "drop"))
+    n = lambda df, c: df.groupBy("label").agg(F.count("*").alias(c))
+    return n(kept, "kept").join(n(rejected, "rejected"), "label", "full").select("label", F.coalesce("kept", F.lit(0)).alias("kept"), F.coalesce("rejected", F.lit(0)).alias("rejected"))
 
 
 def guard_boundary(spark, d):
     """Whole utterances around the findings, and how much of the planted sentence they hold."""
     docs = _corpus(spark, d)
-    raw = _shown(spark, d, -50, "ipi", docs).select(KEY, F.col("span_lo").alias("lo"), F.col("span_hi").alias("hi"))
-    return _long(G.boundary(raw, docs).select(KEY, "lo", "hi", "block_lo", "block_hi"))
+    return _long(G.boundary(_raw(spark, d, docs).select(KEY, "lo", "hi"), docs).select(KEY, "lo", "hi", "block_lo", "block_hi"))
 
 
 def wrapped_lines(spark, d):
     lines = _corpus(spark, d).select(KEY, F.posexplode(F.split("text", "\n")).alias("nth", "line"))
-    return lines.where(F.length(F.regexp_replace("line", r"\s+$", "")) >= G.WRAP_WIDTH).select(KEY, (F.col("nth") + 1).cast("long").alias("nth"), G.is_wrapped(F.col("line")).alias("wrapped"))
+    return lines.select(KEY, (F.col("nth") + 1).cast("long").alias("nth"), G.is_wrapped(F.col("line")).alias("wrapped"))
 
 
 def _turns(spark, d) -> tuple[DataFrame, DataFrame]:
@@ -296,13 +364,66 @@ def _turns(spark, d) -> tuple[DataFrame, DataFrame]:
 
 def dialogue_decide(spark, d):
     turns, flagged = _turns(spark, d)
-    return G.decide(turns, flagged, {"user": "dpi"}, "drop")
+    return G.decide(turns, flagged, {"user": "dpi"}, "drop").drop("threats")
 
 
 def dialogue_meta(spark, d):
     turns, flagged = _turns(spark, d)
-    hit = turns.join(flagged.withColumn("hit", F.lit(True)), ["conv_id", "turn"], "left")
-    return hit.select("conv_id", "turn", "role", F.when(F.col("role") == "user", F.coalesce("hit", F.lit(False))).alias("flagged"))
+    m = G.turn_meta(turns, flagged, {"user": "dpi"}, "drop", load().version)
+    return m.select("conv_id", "turn", "role", "meta.flagged", "meta.action", "meta.base")
+
+
+def dialogue_stamped(spark, d):
+    """What the last turn of each conversation is told of its request."""
+    turns, flagged = _turns(spark, d)
+    said = _fired(spark, d, "dpi", turns.where("role = 'user'").withColumn(KEY, F.col("conv_id") * 100000 + F.col("turn"))).groupBy(KEY).agg(F.array_sort(F.collect_set("threat")).alias("threats"))
+    flagged = flagged.withColumn(KEY, F.col("conv_id") * 100000 + F.col("turn")).join(said, KEY).drop(KEY)
+    answers = turns.groupBy("conv_id").agg(F.max("turn").alias("turn"))
+    s = D.stamped(answers, turns, flagged, {"user": "dpi"})
+    return s.select("conv_id", "turn", "guard_request_flagged", F.array_join("guard_request_threats", ",").alias("guard_request_threats"), F.size("guard_messages").cast("long").alias("n_messages"), F.size(F.map_filter("guard_messages", lambda k, v: v["flagged"])).cast("long").alias("n_flagged"))
+
+
+def _tool_messages(spark, d) -> DataFrame:
+    tool = F.element_at(F.array(F.lit("search"), F.lit("mail"), F.lit("clock")), (F.col(KEY) % 3 + 1).cast("int"))
+    block = lambda kind, text: F.struct(F.lit(kind).alias("type"), text.alias("text"))
+    return _corpus(spark, d).select(F.col(KEY).alias("message_id"), tool.alias("tool"), F.array(block("text", F.col("text")), block("image", F.lit(None).cast("string")), block("text", F.lit("plain"))).alias("blocks"))
+
+
+def _tool_query(policy: str, **how):
+    def query(spark, d):
+        out = D.tool_outputs(_tool_messages(spark, d), load(), "ipi", policy, ("search", "mail"), **how)
+        said = F.array_join(F.transform("blocks", lambda x: F.concat_ws(":", x["type"], F.coalesce(x["text"], F.lit("-")))), "|")
+        return out.select("message_id", "tool", F.md5(said.cast("binary")).alias("blocks_md5"), "meta.flagged", "meta.action", F.array_join("meta.threats", ",").alias("threats"))
+
+    return query
+
+
+def tool_commands(spark, d):
+    """Two messages to a command, read in their place."""
+    m = _tool_messages(spark, d)
+    both = m.groupBy(F.floor(F.col("message_id") / 2).alias("command_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("message_id", "tool", "blocks"))), lambda x: F.struct(x["tool"].alias("tool"), x["blocks"].alias("blocks"))).alias("messages"))
+    out = D.commands(both, load(), policy="drop", tools=("search", "mail"))
+    return out.select("command_id", F.size("messages").cast("long").alias("n"), F.size(F.filter("messages", lambda x: x["meta"]["flagged"])).cast("long").alias("n_flagged"), F.size(F.filter("messages", lambda x: x["blocks"][0]["text"] == D.WITHHELD)).cast("long").alias("n_withheld"))
+
+
+def dialogue_one_of_two(spark, d):
+    turns, flagged = _turns(spark, d)
+    passed, blocked = D.one_of_two(turns, G.decide(turns, flagged, {"user": "dpi"}, "drop"))
+    n = lambda df, name: df.groupBy("conv_id").agg(F.count("*").alias("turns")).withColumn("output", F.lit(name))
+    return n(passed, "messages").unionByName(n(blocked, "blocked"))
+
+
+def dialogue_validated(spark, d):
+    turns, flagged = _turns(spark, d)
+    v = D.validated(turns, flagged, {"user": "dpi"})
+    return v.select("conv_id", "turn", "role", _md5(), F.coalesce("meta.flagged", F.lit(False)).alias("flagged"))
+
+
+def dialogue_parts(spark, d):
+    """A message of two text parts and a tool's result: what of it is read."""
+    half = F.floor(F.length("text") / 2).cast("int")
+    parts = F.array(F.substring(F.col("text"), F.lit(1), half), F.lit(None).cast("string"), F.substring(F.col("text"), half + 1, F.length("text")))
+    return _t(spark, d, "conversations").select("conv_id", "turn", F.md5(D.message_text(parts, F.array(F.col("role"))).cast("binary")).alias("text_md5"))
 
 
 def dialogue_since_last_assistant(spark, d):
@@ -322,8 +443,9 @@ def dialogue_text(spark, d):
 
 
 def role_vocabulary(spark, d):
-    role = F.col("role")
-    return _t(spark, d, "conversations").groupBy("role", F.when(role == "user", "human").when(role == "assistant", "ai").otherwise(role).alias("host_role")).agg(F.count("*").alias("n"))
+    """Our names of the roles of a host, which are written back and forth."""
+    host = F.when(F.col("role") == "user", "human").when(F.col("role") == "assistant", "ai").otherwise(F.col("role"))
+    return _t(spark, d, "conversations").groupBy("role", host.alias("host_role"), D.role(host).alias("back")).agg(F.count("*").alias("n"))
 
 
 def _judged(spark, d) -> DataFrame:
@@ -355,6 +477,36 @@ def payload_survival(spark, d):
     return out.groupBy("action").agg(F.count("*").alias("n"), F.count_if(F.contains(M.squeezed(F.col("text")), M.squeezed(F.col("payload")))).alias("intact"))
 
 
+def survival_damage(spark, d):
+    """How much of the planted sentences the mask leaves, and what it does to the documents without one."""
+    docs = _corpus(spark, d)
+    out = G.apply(docs, _blocks(spark, d, docs), "mask", mask="[cut]")
+    before, after = (M.survival(x.where("label = 'injected'"), "payload", "text") for x in (docs, out))
+    n = lambda c: F.length(F.trim(M.squeezed(F.col(c))))
+    clean = out.where("label <> 'injected'").select(KEY, "text").join(docs.select(KEY, F.col("text").alias("was")), KEY).select((n("text") / F.greatest(F.lit(1), n("was"))).alias("kept"))
+    return M.damage(before, after, clean)
+
+
+def scan_mismatch(spark, d):
+    """Findings of one path that the other lacks; there must be none."""
+    docs = _corpus(spark, d)
+    one = fused.scan(docs, load()).select(KEY, "lo", "hi", "threat", "severity", "merged")
+    return M.mismatches(one, _long(_located(spark, d, docs).select(*one.columns)))
+
+
+def recall_cells(spark, d):
+    return M.cell_coverage(_judged(spark, d).where("label = 'injected'"), "hit", "action", "form")
+
+
+def paired_gains(spark, d):
+    """What apertures and refutation take from the rules whose edges occur."""
+    docs = _corpus(spark, d)
+    edges = _edges(spark, d, docs)
+    all_ = S.placements(S.needed(edges, load(), "ipi"), load(), "ipi").select(KEY, F.lit(True).alias("before")).distinct()
+    rows = _judged(spark, d).select(KEY, "label", F.col("hit").alias("after")).join(all_, KEY, "left").withColumn("before", F.coalesce("before", F.lit(False)))
+    return M.paired(rows, "before", "after", "label")
+
+
 def span_iou(spark, d):
     docs = _corpus(spark, d)
     both = _reports(spark, d).where("flagged").join(docs.where("label = 'injected'").select(KEY, "inj_lo", "inj_hi"), KEY)
@@ -393,13 +545,13 @@ def cost_ols(spark, d):
 
 
 def cost_bootstrap(spark, d):
-    return M.bootstrap_slope(_costs(spark, d), "size", "ms").select(F.round("lo", 4).alias("lo"), F.round("hi", 4).alias("hi"))
+    return M.bootstrap_slope(_costs(spark, d), "size", "ms", key="doc_id").select(F.round("lo", 4).alias("lo"), F.round("hi", 4).alias("hi"))
 
 
 def cost_summary(spark, d):
     s = F.col("size")
     band = F.when(s < 200, 0).when(s < 500, 200).when(s < 1500, 500).when(s < 4000, 1500).otherwise(4000).cast("long")
-    return _costs(spark, d).groupBy(band.alias("band")).agg(F.count("*").alias("n"), F.round(F.avg("ms"), 6).alias("mean_ms"), F.round(1000 * F.sum("size") / F.sum("ms"), 3).alias("chars_per_s"))
+    return _costs(spark, d).groupBy(band.alias("band")).agg(F.count("*").alias("n"), F.round(F.avg("ms"), 6).alias("mean_ms"), F.round(F.median("ms"), 6).alias("median_ms"), F.round(1000 * F.sum("size") / F.sum("ms"), 3).alias("chars_per_s"))
 
 
 def dearest_per_char(spark, d):
@@ -454,13 +606,15 @@ QUERIES = {
     "ent_account": _entity("ACCOUNT_REF"),
     "ent_code_exec": _entity("CODE_EXEC"),
     "ent_path": _entity("FILE_PATH"),
-    **{f.__name__: f for f in (literal_hits, hits_atomic, slot_frequency, context_counts, edges_canonical, edge_connectives, edges_pruned, edges_needed)},
+    **{f.__name__: f for f in (literal_hits, hits_atomic, slot_frequency, context_counts, half_word_positions, template_fragments, edges_canonical, edges_in_region, edge_connectives, edges_pruned, edges_needed)},
     "rules_fired_ipi": _rules_fired("ipi"),
     "rules_fired_dpi": _rules_fired("dpi"),
-    **{f.__name__: f for f in (rule_min_hull, rule_refutation, rule_evidence, spans_padded, findings_merged, report_docs, report_totals, report_json, catalog, threat_rank, rule_signatures, technique_of_rule, pick_base, dict_expand_inflect)},
+    **{f.__name__: f for f in (rule_min_hull, rule_refutation, probe_geometry, rule_evidence, findings_evidence, findings_unlocated, finding_snippets, spans_padded, findings_merged, report_docs, report_totals, report_json, report_json_read, catalog, threat_explain, threat_names, threat_rank, rule_signatures, technique_of_rule, pick_base, dict_expand_inflect)},
     "guard_passthrough": _guarded("passthrough"),
     "guard_blank": _guarded("blank", blank="#"),
     "guard_mask": _guarded("mask", mask="[cut]"),
-    **{f.__name__: f for f in (guard_drop_split, guard_boundary, wrapped_lines, dialogue_decide, dialogue_meta, dialogue_since_last_assistant, dialogue_forget, dialogue_text, role_vocabulary, recall_fpr_cube, recall_ci, alarm_ppv, length_bands, payload_survival, span_iou, threshold_at_budget, heldout_md5, systematic_sample, slice_by_goal, size_quantiles, cost_ols, cost_bootstrap, cost_summary, dearest_per_char, shingle_neardup, intent_parse, alarms_per_window)},
+    "tool_outputs_mask": _tool_query("mask", mask="[cut]"),
+    "tool_outputs_drop": _tool_query("drop"),
+    **{f.__name__: f for f in (guard_metadata, tool_commands, dialogue_stamped, dialogue_one_of_two, dialogue_validated, dialogue_parts, survival_damage, scan_mismatch, recall_cells, paired_gains, guard_drop_split, guard_boundary, wrapped_lines, dialogue_decide, dialogue_meta, dialogue_since_last_assistant, dialogue_forget, dialogue_text, role_vocabulary, recall_fpr_cube, recall_ci, alarm_ppv, length_bands, payload_survival, span_iou, threshold_at_budget, heldout_md5, systematic_sample, slice_by_goal, size_quantiles, cost_ols, cost_bootstrap, cost_summary, dearest_per_char, shingle_neardup, intent_parse, alarms_per_window)},
 }
 SQL = oracle.SQL

