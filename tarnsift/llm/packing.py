@@ -38,20 +38,18 @@ class Words(dict):
 
     def __init__(self, encoding):
         super().__init__()
-        self.encoding = encoding
-
-    def ids(self, text: str) -> bytes:
-        """Added tokens are matched inside the text, as the vocabulary's own tokenizer does."""
-        e = self.encoding
-        found = e.special_tokens_set and any(x in text for x in e.special_tokens_set)
-        return array("I", e.encode(text, allowed_special="all") if found else e.encode_ordinary(text)).tobytes()
+        self.encode = encoding.encode_ordinary
+        self.encoding, self.added = encoding, tuple(encoding.special_tokens_set)
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.ids(" " + word)
+        ids = array("I", self.encode(" " + word)).tobytes()
         if len(self) < CACHED:
             self[word] = ids
         return ids
 
+    def holds_added(self, text: str) -> bool:
+        return any(x in text for x in self.added)
+
 
 def words(vocabulary: str | None = None) -> Words:
     """The worker's tokenizer, from a file of base64 tokens and ranks, and the added tokens of the .json file beside it, if there is one; by default the installed byte-level vocabulary."""
@@ -71,10 +69,13 @@ def words(vocabulary: str | None = None) -> Words:
 
 
 def tokens(text: str, known: Words) -> np.ndarray:
-    """The text's ids and the end id. A single space between other signs always begins a token, so a text is the sum of its words."""
+    """The text's ids and the end id. A single space between other signs always begins a token, so a text is the sum of its words. One with an added token is read whole, as the vocabulary's own tokenizer matches it inside the text."""
+    end = END.to_bytes(4, "little")
+    if known.holds_added(text):
+        return np.frombuffer(array("I", known.encoding.encode(text, allowed_special="all")).tobytes() + end, np.uint32)
     parts = _PLACE.split(text) if _SPACES.search(text) or text[-1:].isspace() else text.split(" ")
-    ids = known.ids(parts[0]) if parts[0] else b""
-    return np.frombuffer(ids + b"".join([known[w] for w in parts[1:]]) + END.to_bytes(4, "little"), np.uint32)
+    ids = array("I", known.encode(parts[0])).tobytes() if parts[0] else b""
+    return np.frombuffer(ids + b"".join([known[w] for w in parts[1:]]) + end, np.uint32)
 
 
 class Index:
