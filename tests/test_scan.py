@@ -294,6 +294,49 @@ def test_files_and_names(spark, tmp_path):
         sinks.copied(df.withColumn("text", F.lit("other")), str(tmp_path / "out")).collect()
 
 
+def test_walk_counts_what_it_skips(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    for name, data in {"a.txt": b"one", ".h": b"two", "b.bin": b"x\0", "big": b"z" * 60, "sub/c.txt": b"caf\xe9", "_u": b"three"}.items():
+        (tmp_path / name).write_bytes(data)
+    seen = lambda **k: {r.id.removeprefix(f"{tmp_path}/"): (r.text, r.reason) for r in files.walk(spark, str(tmp_path), max_bytes=50, **k).collect()}
+    flat = {"a.txt": ("one", None), "_u": ("three", None), ".h": (None, "hidden"), "b.bin": (None, "binary"), "big": (None, "too large")}
+    assert seen() == {**flat, "sub": (None, "folder")}
+    assert seen(recursive=True, hidden=True) == {**flat, ".h": ("two", None), "sub/c.txt": ("caf\ufffd", None)}
+    got = files.files(spark, [str(tmp_path / x) for x in ("big", "b.bin", "gone")]).collect()
+    assert sorted((r.text is None, r.reason) for r in got if r.reason) == [(True, "unreadable")] and len(got) == 3
+    long = tmp_path / "l.jsonl"
+    long.write_text("\n".join('{"id": "i%d", "text": "t"}' % i if i % 3 else "" if i % 2 else "no json" for i in range(1, 4000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        odd = sorted(int(r.id.partition(":")[2]) for r in files.jsonl(spark, str(long)).where("error").collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert odd == [i for i in range(1, 4000) if i % 3 == 0 and i % 2 == 0]
+
+
+def test_command_line(spark, tmp_path):
+    import json
+
+    from tarnsift import cli
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text(X.PAYLOADS[0][4])
+    (tmp_path / "in" / "b.txt").write_text("nothing here")
+    (tmp_path / "in" / ".c").write_text("x")
+    said = []
+    run = lambda *a: cli.main(list(map(str, a)), spark, said.append)
+    assert run(tmp_path / "in", "--report", tmp_path / "report", "--collect", tmp_path / "copies") == 1
+    assert "1 findings in 1 of them; hidden: 1" in said[-1] and ">>>" in said[0] and cli.forbidden("\n".join(said)) == []
+    assert [p.name for p in (tmp_path / "copies").rglob("*.txt")] == ["a.txt"]
+    lines = [x for p in (tmp_path / "report").glob("part-*") for x in p.read_text().splitlines()]
+    assert len(lines) == 1 and json.loads(lines[0])["findings"][0]["text"]
+    said.clear()
+    assert run("--text", "nothing", "--json") == 0 and json.loads(said[0])["schema"] == 1 and json.loads(said[1])["flagged"] is False
+    assert run("--text", X.PAYLOADS[0][4], "--exit-zero") == 0
+    assert run(tmp_path / "gone") == 2 and run("--mode", "x") == 2 and run("--text", "x", "--base", tmp_path / "none") == 3
+    assert cli.forbidden("All is SAFE, unsafe") == ["safe"]
+
+
 def test_stream(spark, data, tmp_path):
     from tarnsift.streaming import scan as stream
 
