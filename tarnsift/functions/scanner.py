@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 from collections import defaultdict
+from collections.abc import Iterator
 
 from ..base import Base, Rule
 from ..base.techniques import ORDER, TECHNIQUES
@@ -17,6 +18,34 @@ _WORD = re.compile(r"\w+")
 _PARA = re.compile(PARAGRAPH)
 
 
+def unmasked(tokens: list[tuple], spans: list[tuple[int, int]]) -> list[bool]:
+    """Which tokens (lo, hi, ...) no span touches; one sweep over both, sorted."""
+    free, at, reach = [True] * len(tokens), 0, 0
+    for k, (lo, hi, *_) in enumerate(tokens):
+        while at < len(spans) and spans[at][0] < hi:
+            reach, at = max(reach, spans[at][1]), at + 1
+        free[k] = reach <= lo
+    return free
+
+
+def pairs(hits: list[tuple[int, int, str]], tokens: list[tuple[int, int, str]], breaks: list[int]) -> Iterator[tuple[str, str, str, str, int, int, int]]:
+    """(anchor, filler, distance, connective, lo, hi, where the right one begins) of each two hits near each other in a paragraph, from left to right. Token numbers are looked up once a hit, and only neighbours are paired."""
+    begins = [t[0] for t in tokens]
+    free = unmasked(tokens, [h[:2] for h in hits])
+    first = [bisect_left(begins, h[0]) for h in hits]
+    after = [bisect_left(begins, h[1]) for h in hits]
+    for k, (lo, hi, anchor) in enumerate(hits):
+        for g in range(k + 1, len(hits)):
+            if first[g] - first[k] > WINDOW + 1:
+                break
+            a, b, filler = hits[g]
+            n = first[g] - after[k]
+            if a < hi or n > WINDOW or bisect_left(breaks, hi) != bisect_left(breaks, a):
+                continue
+            said = [tokens[i][2] for i in range(after[k], first[g]) if free[i]]
+            yield anchor, filler, str(n + 1) if n < 3 else "4-5" if n < 5 else "6-8", "_".join(said) if len(said) <= 3 else "~", lo, b, a
+
+
 class Scanner:
     """One per Python worker; from a base and a mode."""
 
@@ -77,13 +106,13 @@ class Scanner:
                 at = hi
         return out
 
-    def edges(self, low: str, every: bool = False) -> dict[tuple[str, str, str, str], list[tuple[int, int]]]:
+    def edges(self, low: str) -> dict[tuple[str, str, str, str], list[tuple[int, int]]]:
+        """Occurrences of the edges that some rule, or refutation, names."""
         found = defaultdict(list)
         ordered, ents = self.hits(low)
         if len(ordered) < 2:
             return found
         folds = self.folds(ents)
-        # Only text around hits matters, but a whole pass is linear and simple.
         tokens = [(lo, hi, "<entity>") for lo, hi in folds]
         starts = [lo for lo, _ in folds]
         for m in _TOKEN.finditer(low):
@@ -91,33 +120,9 @@ class Scanner:
             if not (i and folds[i - 1][1] > m.start()) and not (i < len(folds) and folds[i][0] < m.end()):
                 tokens.append((*m.span(), m.group()))
         tokens.sort()
-        begins = [t[0] for t in tokens]
-        breaks = [m.start() for m in _PARA.finditer(low)]
-        los = [h[0] for h in ordered]
-        first = [bisect_left(begins, lo) for lo in los]
-        reach = max(h[1] - h[0] for h in ordered)
-        for k, (lo, hi, anchor) in enumerate(ordered):
-            after = bisect_left(begins, hi)
-            for g in range(k + 1, len(ordered)):
-                if first[g] - first[k] > WINDOW + 1:
-                    break
-                a, b, filler = ordered[g]
-                if a < hi or first[g] - after > WINDOW or bisect_left(breaks, hi) != bisect_left(breaks, a):
-                    continue
-                n = first[g] - after
-                free = []
-                for t in tokens[after : first[g]]:
-                    j = bisect_left(los, t[0] - reach)
-                    masked = False
-                    while j < len(ordered) and ordered[j][0] < t[1]:
-                        masked |= ordered[j][1] > t[0]
-                        j += 1
-                    if not masked:
-                        free.append(t[2])
-                conn = "_".join(free) if len(free) <= 3 else "~"
-                key = (anchor, filler, str(n + 1) if n < 3 else "4-5" if n < 5 else "6-8", conn)
-                if every or key in self.needed or key in self.refuting:
-                    found[key].append((lo, b))
+        for *key, lo, hi, _ in pairs(ordered, tokens, [m.start() for m in _PARA.finditer(low)]):
+            if (k := tuple(key)) in self.needed or k in self.refuting:
+                found[k].append((lo, hi))
         return found
 
     @staticmethod

@@ -95,18 +95,33 @@ def held_out(key: str) -> Column:
 
 
 def shingle_pairs(rows: DataFrame, key: str, text: str, k: int = 5, least: float = 0.3) -> DataFrame:
-    """(a, b, jaccard) of rows whose distinct k-word shingles overlap by more than `least`, over all shingles. Meant for bounded sets of items: each shingle pairs its rows."""
+    """(a, b, jaccard) of rows whose distinct k-word shingles overlap by more than `least`, over all shingles.
+
+    In the order of rarity, two such rows share one of their first n - floor(least n) shingles, so only these are paired; a shingle that many rows have comes last and pairs few. Candidates are compared in full.
+    """
     words = F.regexp_extract_all(F.lower(text), F.lit("[a-z']+"), F.lit(0))
-    some = rows.select(key, words.alias("w")).where(F.size("w") >= k)
+    some = rows.select(F.col(key).alias("k"), words.alias("w")).where(F.size("w") >= k)
     grams = F.transform(F.sequence(F.lit(1), F.size("w") - (k - 1)), lambda i: F.array_join(F.slice("w", i, k), " "))
-    s = some.select(key, F.explode(F.array_distinct(grams)).alias("g"))
-    n = s.groupBy(key).agg(F.count("*").alias("n"))
-    p = s.select(F.col(key).alias("a"), "g").join(s.select(F.col(key).alias("b"), "g"), "g").where("a < b").groupBy("a", "b").agg(F.count("*").alias("c"))
-    p = p.join(n.select(F.col(key).alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col(key).alias("b"), F.col("n").alias("nb")), "b")
-    j = F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))
+    sets = some.select("k", F.array_distinct(grams).alias("s"))
+    each = sets.select("k", F.size("s").alias("n"), F.explode("s").alias("g"))
+    rare = each.join(each.groupBy("g").agg(F.count("*").alias("df")).where("df > 1"), "g")
+    # Shingles of one row alone come first of all, and pair nothing: they only count.
+    alone = F.col("n") - F.count("*").over(Window.partitionBy("k"))
+    nth = F.row_number().over(Window.partitionBy("k").orderBy("df", "g")) + alone
+    head = rare.withColumn("nth", nth).where(F.col("nth") <= F.col("n") - F.floor(F.col("n") * least)).select("k", "g")
+    p = head.select(F.col("k").alias("a"), "g").join(head.select(F.col("k").alias("b"), "g"), "g").where("a < b").select("a", "b").distinct()
+    p = p.join(sets.select(F.col("k").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("k").alias("b"), F.col("s").alias("y")), "b")
+    c = F.size(F.array_intersect("x", "y"))
+    j = c / (F.size("x") + F.size("y") - c)
     return p.where(j > least).select("a", "b", F.round(j, 6).alias("jaccard"))
 
 
+def without_near(rows: DataFrame, key: str, text: str, k: int = 5, least: float = 0.3) -> DataFrame:
+    """The rows but those of which an earlier one, by key, is a near-duplicate."""
+    later = shingle_pairs(rows, key, text, k, least).select(F.col("b").alias(key)).distinct()
+    return rows.join(later, key, "left_anti").select(*rows.columns)
+
+
 def overlap(rows: DataFrame) -> DataFrame:
     """iou, covered and precision of (lo, hi) against (inj_lo, inj_hi)."""
     i = F.greatest(F.lit(0), F.least("hi", "inj_hi") - F.greatest("lo", "inj_lo"))

@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..base import Base
-from ..functions.scanner import SPAN_BASE, WINDOW, Scanner
-from ..functions.text import FOLDED, PARAGRAPH, TOKEN, distance_class, lowered, spans
+from ..functions.scanner import SPAN_BASE, WINDOW, Scanner, pairs, unmasked
+from ..functions.text import FOLDED, PARAGRAPH, lowered, spans
 
 _TOKENS, _BREAKS = re.compile(r"[^\W\d_]+|\d+"), re.compile(PARAGRAPH)
 _HIT = "array<struct<lo:int,hi:int,slot:string>>"
@@ -72,22 +72,24 @@ def with_hits(docs: DataFrame, base: Base, text: str = "text", key: str = "doc_k
 
 
 def edges(rows: DataFrame, key: str = "doc_key") -> DataFrame:
-    """(key, anchor, filler, dist, conn, lo, hi, at), one row per occurrence, from with_hits(); at is where the right hit begins. Each pair is made once, from left to right."""
-    between = lambda h, g: F.substring(F.col("masked"), h["hi"] + 1, g["lo"] - h["hi"])
+    """(key, anchor, filler, dist, conn, lo, hi, at), one row per occurrence, from with_hits(); at is where the right hit begins. Each pair is made once, from left to right, in the document's own row: nothing is shuffled, and only neighbours are paired."""
+    kind = rows.schema[key].dataType.simpleString()
+    names = ["anchor", "filler", "dist", "conn", "lo", "hi", "at"]
 
-    def pair(h: Column, g: Column) -> Column:
-        gap = between(h, g)
-        free = F.filter(spans(gap, TOKEN), lambda t: ~F.exists("hits", lambda x: (h["hi"] + t["lo"] < x["hi"]) & (h["hi"] + t["hi"] > x["lo"])))
-        conn = F.when(F.size(free) <= 3, F.array_join(F.transform(free, lambda t: F.when(t["s"].startswith(FOLDED), F.lit("<entity>")).otherwise(t["s"])), "_")).otherwise(F.lit("~"))
-        return F.struct(h["slot"].alias("anchor"), g["slot"].alias("filler"), distance_class(F.regexp_count(gap, F.lit(TOKEN)) + 1).alias("dist"), conn.alias("conn"), h["lo"].alias("lo"), g["hi"].alias("hi"), g["lo"].alias("at"))
-
-    def near(h: Column, g: Column) -> Column:
-        gap = between(h, g)
-        tokens = F.regexp_count(F.substring(F.col("masked"), h["lo"] + 1, g["lo"] - h["lo"]), F.lit(TOKEN))
-        return (g["lo"] >= h["hi"]) & (tokens <= WINDOW + 1) & (F.regexp_count(gap, F.lit(TOKEN)) <= WINDOW) & ~gap.rlike(r"\n[ \t]*\n")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, made = [], []
+            for k, hits, masked in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                tokens = [(*m.span(), "<entity>" if m.group()[0] == FOLDED else m.group()) for m in _TOKENS.finditer(masked)]
+                found = list(pairs([(h["lo"], h["hi"], h["slot"]) for h in hits], tokens, [m.start() for m in _BREAKS.finditer(masked)]))
+                keys += [k.as_py()] * len(found)
+                made += found
+            columns = list(zip(*made, strict=True)) or [()] * len(names)
+            types = [pa.string()] * 4 + [pa.int32()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(keys, b.schema.field(0).type), *map(pa.array, columns, types)], names=[key, *names])
 
-    made = F.flatten(F.transform("hits", lambda h: F.transform(F.filter("hits", lambda g: near(h, g)), lambda g: pair(h, g))))
-    return rows.where(F.size("hits") > 1).select(key, F.inline(made))
+    some = rows.where(F.size("hits") > 1).select(key, "hits", "masked")
+    return some.mapInArrow(run, f"`{key}` {kind}, anchor string, filler string, dist string, conn string, lo int, hi int, at int")
 
 
 def in_region(found: DataFrame, regions: DataFrame, key: str = "doc_key") -> DataFrame:
@@ -106,12 +108,7 @@ def contexts(rows: DataFrame, key: str = "doc_key") -> DataFrame:
             for hits, masked in zip(b.column("hits").to_pylist(), b.column("masked").to_pylist(), strict=True):
                 tokens = [m.span() for m in _TOKENS.finditer(masked)]
                 begins, breaks = [a for a, _ in tokens], [m.start() for m in _BREAKS.finditer(masked)]
-                free, at, reach = [True] * len(tokens), 0, 0
-                spans = sorted((h["lo"], h["hi"]) for h in hits)
-                for k, (lo, hi) in enumerate(tokens):
-                    while at < len(spans) and spans[at][0] < hi:
-                        reach, at = max(reach, spans[at][1]), at + 1
-                    free[k] = reach <= lo
+                free = unmasked(tokens, sorted((h["lo"], h["hi"]) for h in hits))
                 for h in hits:
                     for side, near in (("L", range(bisect_left(begins, h["lo"]) - 1, -1, -1)), ("R", range(bisect_left(begins, h["hi"]), len(tokens)))):
                         # The tokens in reach are counted before those of hits are passed over.

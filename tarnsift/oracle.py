@@ -279,6 +279,7 @@ s AS MATERIALIZED (SELECT DISTINCT item_id, array_to_string(w[i:i+4], ' ') AS g
 n AS (SELECT item_id, count(*) AS n FROM s GROUP BY 1),
 p AS (SELECT a.item_id AS a, b.item_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.item_id < b.item_id GROUP BY 1, 2)
 SELECT a, b, round(c / (x.n + y.n - c)::DOUBLE, 6) AS jaccard FROM p JOIN n x ON x.item_id = a JOIN n y ON y.item_id = b WHERE c / (x.n + y.n - c)::DOUBLE > 0.3"""
+SQL["shingle_removed"] = SQL["shingle_neardup"].replace("SELECT a, b, round(", "SELECT item_id FROM benchmark WHERE item_id NOT IN (SELECT b FROM (SELECT a, b, round(") + "))"
 _CT = f"""{_spans("ctd", "tk", T.TOKEN, "masked")},
 cx AS (SELECT t.doc_key, lo, hi, CASE WHEN s[1] = '{T.FOLDED}' THEN '<entity>' ELSE s END AS token FROM tk t WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.doc_key = t.doc_key AND t.lo < h.hi AND t.hi > h.lo)),
 tn AS MATERIALIZED (SELECT t.doc_key, t.lo, t.hi, cx.token, row_number() OVER (PARTITION BY t.doc_key ORDER BY t.lo) AS nth FROM tk t LEFT JOIN cx ON cx.doc_key = t.doc_key AND cx.lo = t.lo),

@@ -563,6 +563,10 @@ def shingle_neardup(spark, d):
     return M.shingle_pairs(_t(spark, d, "benchmark"), "item_id", "text")
 
 
+def shingle_removed(spark, d):
+    return M.without_near(_t(spark, d, "benchmark"), "item_id", "text").select("item_id")
+
+
 def _fused(spark, d, how) -> DataFrame:
     return how(_corpus(spark, d), load(), "ipi").withColumn("also", F.array_join("also", ","))
 
@@ -615,6 +619,6 @@ QUERIES = {
     "guard_mask": _guarded("mask", mask="[cut]"),
     "tool_outputs_mask": _tool_query("mask", mask="[cut]"),
     "tool_outputs_drop": _tool_query("drop"),
-    **{f.__name__: f for f in (guard_metadata, tool_commands, dialogue_stamped, dialogue_one_of_two, dialogue_validated, dialogue_parts, survival_damage, scan_mismatch, recall_cells, paired_gains, guard_drop_split, guard_boundary, wrapped_lines, dialogue_decide, dialogue_meta, dialogue_since_last_assistant, dialogue_forget, dialogue_text, role_vocabulary, recall_fpr_cube, recall_ci, alarm_ppv, length_bands, payload_survival, span_iou, threshold_at_budget, heldout_md5, systematic_sample, slice_by_goal, size_quantiles, cost_ols, cost_bootstrap, cost_summary, dearest_per_char, shingle_neardup, intent_parse, alarms_per_window)},
+    **{f.__name__: f for f in (guard_metadata, tool_commands, dialogue_stamped, dialogue_one_of_two, dialogue_validated, dialogue_parts, survival_damage, scan_mismatch, recall_cells, paired_gains, guard_drop_split, guard_boundary, wrapped_lines, dialogue_decide, dialogue_meta, dialogue_since_last_assistant, dialogue_forget, dialogue_text, role_vocabulary, recall_fpr_cube, recall_ci, alarm_ppv, length_bands, payload_survival, span_iou, threshold_at_budget, heldout_md5, systematic_sample, slice_by_goal, size_quantiles, cost_ols, cost_bootstrap, cost_summary, dearest_per_char, shingle_neardup, shingle_removed, intent_parse, alarms_per_window)},
 }
 SQL = oracle.SQL
