@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold, held_out, local, mapped, process_cache, table
+from .common import encoded, fold, held_out, local, mapped, process_cache, table
 
 UNKNOWN = "und"
 ASCII_LETTER = re.compile(rb"[a-z]")
@@ -56,7 +56,7 @@ def train(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            some = [folded(t) for t in b.column("text").to_pylist()]
+            some = [folded(t.decode("utf-8", "replace")) for t in encoded(b)]
             yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("h"), pa.array(some, pa.binary())], names=["lang", "h", "text"])
 
     picked = named.join(F.broadcast(shares), "lang").where(u < F.col("share")).select("lang", "h", "text").transform(mapped, run, "lang string, h long, text binary")
@@ -113,7 +113,7 @@ def identify(docs: DataFrame, model: list[tuple[str, bytes]], text: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = classify(b.column("text").to_pylist(), model, narrow)
+            got = classify([t.decode("utf-8", "replace") for t in encoded(b)], model, narrow)
             lang, score, margin, rejected = zip(*got, strict=True) if got else ((), (), (), ())
             schema = pa.schema([("doc_id", b.schema.field("doc_id").type), ("lang_pred", pa.string()), ("score", pa.float64()), ("margin", pa.float64()), ("rejected", pa.bool_())])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(x, t) for x, t in zip((lang, score, margin, rejected), schema.types[1:], strict=True))], schema=schema)

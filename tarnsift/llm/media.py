@@ -1,6 +1,6 @@
 """Texts as PNG images in a binary column, read back with checksum tests, and low-frequency cosine hashes of them.
 
-Edge cases: a null or empty text is one row of padding. Equal texts give equal bytes. A damaged chunk, a wrong checksum, an unknown filter or a wrong length raises ValueError. Very long texts are tall images.
+Edge cases: a null or empty text is one row of padding. Equal texts, repeated rows too, give equal bytes; bytes that are no UTF-8 are kept as they are. An empty table gives no rows; further columns are ignored. A damaged chunk, a wrong checksum, an unknown filter or a wrong length raises ValueError. Very long texts are tall images.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, table
+from .common import encoded, mapped, table
 
 WIDTH = 576
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -140,7 +140,7 @@ def store(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw = [(t or "").encode() for t in b.column("text").to_pylist()]
+            raw = encoded(b)
             png = [encode(np.frombuffer(payload_of(t), np.uint8).reshape(-1, WIDTH)) for t in raw]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(t) for t in raw], pa.int64()), pa.array(png, pa.binary())], names=["doc_id", "n_bytes", "media"])
 

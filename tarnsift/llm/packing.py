@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, process_cache, table
+from .common import encoded, mapped, process_cache, table
 
 WINDOW, END = 1024, 0
 #: Documents and remainder tokens of a shard; cached words of a worker.
@@ -200,8 +200,8 @@ def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int =
         doc_type = None
         for b in batches:
             doc_type = b.schema.field("doc_id").type
-            for doc, t in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                ids = tokens(t.as_py() or "", known)
+            for doc, t in zip(b.column("doc_id").to_pylist(), encoded(b), strict=True):
+                ids = tokens(t.decode("utf-8", "replace"), known)
                 whole = len(ids) // window * window
                 for lo in range(0, whole, window):
                     sequence([((doc, 0, ids, len(ids)), lo, window)])

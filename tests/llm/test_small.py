@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from tarnsift.llm import langid, licenses, media, mixing, packing, pii, quality, secrets
+from tarnsift.llm import langid, licenses, media, mixing, neardup, packing, pii, quality, secrets
 
 ODD = [(1, None), (2, ""), (3, " \t\n"), (4, "é" * 50), (5, "word " * 20000), (5, "word " * 20000), (None, "null id"), (6, "mail a@b.cc, +49 (30) 123 456 78 at 10.0.0.1 and 4111 1111 1111 1111.")]
 
@@ -31,6 +31,14 @@ def test_odd_rows(spark):
     assert got[1].lang_pred == got[2].lang_pred == got[3].lang_pred == "und" and got[1].score == 0
 
 
+def test_bytes_that_are_no_text(spark):
+    df = spark.sql("select cast(id as long) as doc_id, cast(unhex(x) as string) as text, 'a' as source, 'en' as lang from values (1, '61ff20e2'), (2, '6162') as t(id, x)")
+    model = langid.train(df)
+    forest = quality.train(df, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int"))
+    for run in (lambda d: langid.identify(d, model), pii.detect, lambda d: media.features(media.store(d)), secrets.detect, secrets.redact, licenses.find, packing.pack, lambda d: quality.score(d, forest), lambda d: neardup.cluster(d, 3)):
+        assert run(df).count() >= 2
+
+
 # Plain forms of the fixed patterns, each tried at every place.
 def plain(text, pattern, flags=0):
     out, at, p = [], 0, re.compile(pattern, flags)
