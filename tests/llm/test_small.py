@@ -302,6 +302,9 @@ def test_added_tokens_inside_texts():
     texts = [f"a {end} b", end, end * 2, f"x{end}y"] + ["".join(r.choices([end, " ", "  ", "\n", "\t", "word", "12", "<|", "é"], k=r.randint(1, 20))) for _ in range(500)]
     for x in texts:
         assert packing.tokens(x, known).tolist() == [*t.encode(x, add_special_tokens=False).ids, 0], x
+    letters = "abcdefgßéÀÿāŐƀɏɐΩжª'’"
+    for x in (" ".join("".join(r.choices(letters, k=r.randint(1, 9))) for _ in range(20)) for _ in range(300)):
+        assert packing.tokens(x, known).tolist() == [*t.encode(x, add_special_tokens=False).ids, 0], x
 
 
 def test_mixing_keeps_rows_when_splits_change(spark, tmp_path):
