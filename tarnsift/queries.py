@@ -64,17 +64,14 @@ def norm_homoglyph(spark, d):
 
 
 def norm_nfkc(spark, d):
-    n = T.normalized(_corpus(spark, d, X.HIDDEN).select(KEY, "text", "form"))
+    n = T.normalized(S.spread(_corpus(spark, d, X.HIDDEN).select(KEY, "text", "form")))
     return n.select(KEY, "form", F.md5(F.col("ntext").cast("binary")).alias("ntext_md5"), F.size("src").alias("n_src"))
 
 
 def norm_map_violations(spark, d):
     """How many texts were checked, and in how many the offset map is not as long as the text, falls or leaves it, or the normal form is not its own. There must be none of the latter."""
-    n = T.normalized(_corpus(spark, d, X.HIDDEN).select(KEY, "text"))
-    again = T.normalized(n.select(KEY, "text", F.col("ntext").alias("once"), F.col("src").alias("map")), "once")
-    src = F.col("map")
-    bad = (F.size(src) != F.length("once")) | F.exists(src, lambda x: (x < 0) | (x >= F.length("text"))) | (F.array_sort(src) != src)
-    return again.agg(F.count("*").alias("checked"), F.count_if((F.col("once") != F.col("ntext")) | F.coalesce(bad, F.lit(False))).alias("violations"))
+    n = T.map_checks(S.spread(_corpus(spark, d, X.HIDDEN).select("text")))
+    return n.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("checked", "violations")])
 
 
 def tokens_offsets(spark, d):
