@@ -75,13 +75,13 @@ def norm_map_violations(spark, d):
 
 
 def tokens_offsets(spark, d):
-    t = T.located(_documents(spark, d).withColumn("low", F.lower("text")), KEY, "low", T.TOKEN)
-    return t.groupBy(KEY).agg(F.count("*").alias("n"), F.sum("lo").alias("sum_lo"), F.sum("hi").alias("sum_hi"), F.min("token").alias("least"), F.max("token").alias("greatest"))
+    t = T.tallied(_documents(spark, d).withColumn("low", F.lower("text")), KEY, "low", T.TOKEN)
+    return t.groupBy(KEY).agg(*[F.sum(c).alias(c) for c in ("n", "sum_lo", "sum_hi")], F.min("least").alias("least"), F.max("greatest").alias("greatest"))
 
 
 def word_offsets(spark, d):
-    t = T.located(_documents(spark, d).withColumn("low", F.lower("text")), KEY, "low", T.WORD)
-    return t.groupBy(KEY).agg(F.count("*").alias("n"), F.sum("lo").alias("sum_lo"), F.max("hi").cast("long").alias("end_hi"))
+    t = T.tallied(_documents(spark, d).withColumn("low", F.lower("text")), KEY, "low", T.WORD)
+    return t.groupBy(KEY).agg(*[F.sum(c).alias(c) for c in ("n", "sum_lo")], F.max("end_hi").alias("end_hi"))
 
 
 def paragraphs(spark, d):

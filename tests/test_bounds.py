@@ -33,6 +33,14 @@ def test_map_violations_are_seen():
         assert T.is_violated("a  b", made, src)
 
 
+def test_tokens_are_counted_where_the_text_stands(spark, data):
+    for name in ("tokens_offsets", "word_offsets"):
+        assert "token" not in _plan(queries.QUERIES[name](spark, data))
+    docs = spark.createDataFrame([(1, "b a1"), (1, "é"), (2, None), (3, "--")], "k long, t string")
+    rows = T.tallied(docs, "k", "t", T.TOKEN).orderBy("k", "n").collect()
+    assert rows == [(1, 1, 0, 1, 1, "é", "é"), (1, 3, 5, 8, 4, "1", "b")]
+
+
 def test_pieces_are_bounded():
     texts = ["x" * 1000] * 5000 + ["y" * (3 << 20), None, ""]
     b = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["k", "t"])
