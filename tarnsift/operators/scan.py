@@ -17,10 +17,14 @@ from pyspark.sql import functions as F
 
 from ..base import Base
 from ..functions.scanner import SPAN_BASE, WINDOW, Scanner, pairs, unmasked
-from ..functions.text import FOLDED, PARAGRAPH, lowered, spans
+from ..functions.text import FOLDED, PARAGRAPH, lowered, pieces, spans
 
 _TOKENS, _BREAKS = re.compile(r"[^\W\d_]+|\d+"), re.compile(PARAGRAPH)
 _HIT = "array<struct<lo:int,hi:int,slot:string>>"
+#: Edges that Python holds at a time.
+EDGE_ROWS = 10_000
+#: Counted contexts that Python holds before it sends them on.
+CONTEXT_ROWS = 50_000
 _EDGE, _END = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 
 
@@ -45,6 +49,44 @@ def spread(docs: DataFrame) -> DataFrame:
     return docs.repartition(cores) if len(docs.inputFiles()) < cores else docs
 
 
+def _read(scanner: Scanner, low: str) -> tuple[list[tuple[int, int, str]], str]:
+    """The hits of a lower-cased text, and it with its entities folded."""
+    found, ents = scanner.hits(low)
+    parts, at = [], 0
+    for x, y in scanner.folds(ents):
+        parts += [low[at:x], FOLDED * (y - x)]
+        at = y
+    return found, "".join([*parts, low[at:]])
+
+
+def _paired(hits: list[tuple[int, int, str]], masked: str) -> Iterator[tuple]:
+    tokens = [(*m.span(), "<entity>" if m.group()[0] == FOLDED else m.group()) for m in _TOKENS.finditer(masked)]
+    return pairs(hits, tokens, [m.start() for m in _BREAKS.finditer(masked)])
+
+
+_EDGE_NAMES, _EDGE_TYPES = ("anchor", "filler", "dist", "conn", "lo", "hi", "at"), (*[pa.string()] * 4, *[pa.int32()] * 3)
+_EDGE_COLUMNS = "anchor string, filler string, dist string, conn string, lo int, hi int, at int"
+
+
+def _edge_batches(b: pa.RecordBatch, key: str, found: Iterator[tuple[int, Iterator[tuple]]]) -> Iterator[pa.RecordBatch]:
+    """Rows of edges from (row of b, its edges), some thousands to a batch."""
+    nth, made = [], []
+
+    def batch() -> pa.RecordBatch:
+        columns = list(zip(*made, strict=True)) or [()] * len(_EDGE_NAMES)
+        return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(nth, pa.int64())), *map(pa.array, columns, _EDGE_TYPES)], names=[key, *_EDGE_NAMES])
+
+    for i, some in found:
+        for edge in some:
+            nth.append(i)
+            made.append(edge)
+            if len(made) >= EDGE_ROWS:
+                yield batch()
+                nth, made = [], []
+    if made:
+        yield batch()
+
+
 def with_hits(docs: DataFrame, base: Base, text: str = "text", key: str = "doc_key") -> DataFrame:
     """(key, hits array<struct<lo,hi,slot>> by lo, hi, slot; masked, the lower-cased text with its entities folded).
 
@@ -55,17 +97,12 @@ def with_hits(docs: DataFrame, base: Base, text: str = "text", key: str = "doc_k
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(base)
         types = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32()), ("slot", pa.string())]))
-        for b in batches:
+        for b in pieces(batches, 1):
             hits, masked = [], []
             for t in b.column(1):
-                low = lowered(t.as_py() or "")
-                found, ents = scanner.hits(low)
+                found, folded = _read(scanner, lowered(t.as_py() or ""))
                 hits.append([{"lo": x, "hi": y, "slot": s} for x, y, s in found])
-                parts, at = [], 0
-                for x, y in scanner.folds(ents):
-                    parts += [low[at:x], FOLDED * (y - x)]
-                    at = y
-                masked.append("".join([*parts, low[at:]]))
+                masked.append(folded)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hits, types), pa.array(masked, pa.string())], names=[key, "hits", "masked"])
 
     return spread(docs.select(key, text)).mapInArrow(run, f"`{key}` {kind}, hits array<struct<lo:int,hi:int,slot:string>>, masked string")
@@ -74,22 +111,47 @@ def with_hits(docs: DataFrame, base: Base, text: str = "text", key: str = "doc_k
 def edges(rows: DataFrame, key: str = "doc_key") -> DataFrame:
     """(key, anchor, filler, dist, conn, lo, hi, at), one row per occurrence, from with_hits(); at is where the right hit begins. Each pair is made once, from left to right, in the document's own row: nothing is shuffled, and only neighbours are paired."""
     kind = rows.schema[key].dataType.simpleString()
-    names = ["anchor", "filler", "dist", "conn", "lo", "hi", "at"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys, made = [], []
-            for k, hits, masked in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                tokens = [(*m.span(), "<entity>" if m.group()[0] == FOLDED else m.group()) for m in _TOKENS.finditer(masked)]
-                found = list(pairs([(h["lo"], h["hi"], h["slot"]) for h in hits], tokens, [m.start() for m in _BREAKS.finditer(masked)]))
-                keys += [k.as_py()] * len(found)
-                made += found
-            columns = list(zip(*made, strict=True)) or [()] * len(names)
-            types = [pa.string()] * 4 + [pa.int32()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(keys, b.schema.field(0).type), *map(pa.array, columns, types)], names=[key, *names])
+        for b in pieces(batches, 2):
+            read = enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True))
+            yield from _edge_batches(b, key, ((i, _paired([(h["lo"], h["hi"], h["slot"]) for h in hits], masked)) for i, (hits, masked) in read))
 
     some = rows.where(F.size("hits") > 1).select(key, "hits", "masked")
-    return some.mapInArrow(run, f"`{key}` {kind}, anchor string, filler string, dist string, conn string, lo int, hi int, at int")
+    return some.mapInArrow(run, f"`{key}` {kind}, {_EDGE_COLUMNS}")
+
+
+def text_edges(docs: DataFrame, base: Base, key: str = "doc_key", text: str = "text", mode: str | None = None, whole: bool = False) -> DataFrame:
+    """edges() of with_hits() in one Arrow stage, which sends on no text. With a mode only edges that one of its rules, or a refutation, names; whole: and only of documents that hold all edges of some rule, as no rule fires in others."""
+    kind = docs.schema[key].dataType.simpleString()
+    if whole and mode is None:
+        raise ValueError("whole rules are those of a mode")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner = Scanner(base, mode)
+
+        def found(b: pa.RecordBatch) -> Iterator[tuple[int, Iterator[tuple]]]:
+            for i, t in enumerate(b.column(1)):
+                low = lowered(t.as_py() or "")
+                if whole and not scanner.possible(low):
+                    continue
+                hits, masked = _read(scanner, low)
+                if len(hits) < 2:
+                    continue
+                some = _paired(hits, masked)
+                if mode is not None:
+                    some = (e for e in some if e[:4] in scanner.needed or e[:4] in scanner.refuting)
+                if whole:
+                    some = list(some)
+                    have = {e[:4] for e in some}
+                    if not any(have.issuperset(r.edges) for r in scanner.rules):
+                        continue
+                yield i, some
+
+        for b in pieces(batches, 1):
+            yield from _edge_batches(b, key, found(b))
+
+    return spread(docs.select(key, text)).mapInArrow(run, f"`{key}` {kind}, {_EDGE_COLUMNS}")
 
 
 def in_region(found: DataFrame, regions: DataFrame, key: str = "doc_key") -> DataFrame:
@@ -102,9 +164,13 @@ def in_region(found: DataFrame, regions: DataFrame, key: str = "doc_key") -> Dat
 def contexts(rows: DataFrame, key: str = "doc_key") -> DataFrame:
     """(slot, token, side, dist, n): the unmasked tokens within WINDOW of a hit on both sides, up to a paragraph's end, counted over all rows of with_hits(). Tokens of hits are passed over and do not count as distance."""
 
+    def batch(seen: Counter) -> pa.RecordBatch:
+        columns = [[k[i] for k in seen] for i in range(4)]
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in columns), pa.array(list(seen.values()), pa.int64())], names=["slot", "token", "side", "dist", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            seen: Counter = Counter()
+        seen: Counter = Counter()
+        for b in pieces(batches, 1):
             for hits, masked in zip(b.column("hits").to_pylist(), b.column("masked").to_pylist(), strict=True):
                 tokens = [m.span() for m in _TOKENS.finditer(masked)]
                 begins, breaks = [a for a, _ in tokens], [m.start() for m in _BREAKS.finditer(masked)]
@@ -123,8 +189,10 @@ def contexts(rows: DataFrame, key: str = "doc_key") -> DataFrame:
                             d += 1
                             word = "<entity>" if masked[lo] == FOLDED else masked[lo:hi]
                             seen[h["slot"], word, side, str(d) if d <= 3 else "4-5" if d <= 5 else "6-8"] += 1
-            columns = [[k[i] for k in seen] for i in range(4)]
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in columns), pa.array(list(seen.values()), pa.int64())], names=["slot", "token", "side", "dist", "n"])
+            if len(seen) >= CONTEXT_ROWS:
+                yield batch(seen)
+                seen.clear()
+        yield batch(seen)
 
     counted = rows.select("hits", "masked").mapInArrow(run, "slot string, token string, side string, dist string, n long")
     return counted.groupBy("slot", "token", "side", "dist").agg(F.sum("n").alias("n"))
@@ -137,7 +205,7 @@ def probe(docs: DataFrame, base: Base, mode: str = "ipi", key: str = "doc_key",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(base, mode)
-        for b in batches:
+        for b in pieces(batches, 1):
             rows = [(k.as_py(), *r) for k, t in zip(b.column(0), b.column(1), strict=True) for r in scanner.probed(t.as_py() or "")]
             columns = list(zip(*rows, strict=True)) or [()] * 9
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], b.schema.field(0).type), *(pa.array(c, pa.int64()) for c in columns[1:])], names=[key, *names])

@@ -150,8 +150,8 @@ def template_fragments(spark, d):
     return TE.fragments(S.spread(_corpus(spark, d).select(KEY, "text")), load(), list(TEMPLATES)).select(KEY, "template", "lo", "hi", "words")
 
 
-def _edges(spark, d, source=None) -> DataFrame:
-    return S.edges(_hits(spark, d, source), KEY)
+def _edges(spark, d, source=None, mode=None, whole=False) -> DataFrame:
+    return S.text_edges(_corpus(spark, d) if source is None else source, load(), KEY, mode=mode, whole=whole)
 
 
 def edges_canonical(spark, d):
@@ -174,12 +174,12 @@ def edges_pruned(spark, d):
 
 
 def edges_needed(spark, d):
-    return _long(S.needed(_edges(spark, d), load(), "ipi").select(KEY, "rule", "edge_no", "lo", "hi").distinct())
+    return _long(S.needed(_edges(spark, d, mode="ipi"), load(), "ipi").select(KEY, "rule", "edge_no", "lo", "hi").distinct())
 
 
 def _fired(spark, d, mode="ipi", source=None) -> DataFrame:
     docs = _corpus(spark, d) if source is None else source
-    return S.fired(_edges(spark, d, docs), docs, load(), mode)
+    return S.fired(_edges(spark, d, docs, mode, whole=True), docs, load(), mode)
 
 
 def _rules_fired(mode: str):
@@ -190,11 +190,11 @@ def _rules_fired(mode: str):
 
 
 def rule_min_hull(spark, d):
-    return _long(S.placements(S.needed(_edges(spark, d), load(), "ipi"), load(), "ipi").select(KEY, "rule", "hull", "lo", "hi"))
+    return _long(S.placements(S.needed(_edges(spark, d, mode="ipi", whole=True), load(), "ipi"), load(), "ipi").select(KEY, "rule", "hull", "lo", "hi"))
 
 
 def rule_refutation(spark, d):
-    return S.refuted(_edges(spark, d), load(), "ipi")
+    return S.refuted(_edges(spark, d, mode="ipi"), load(), "ipi")
 
 
 def probe_geometry(spark, d):
@@ -498,7 +498,7 @@ def recall_cells(spark, d):
 def paired_gains(spark, d):
     """What apertures and refutation take from the rules whose edges occur."""
     docs = _corpus(spark, d)
-    edges = _edges(spark, d, docs)
+    edges = _edges(spark, d, docs, "ipi", whole=True)
     all_ = S.placements(S.needed(edges, load(), "ipi"), load(), "ipi").select(KEY, F.lit(True).alias("before")).distinct()
     rows = _judged(spark, d).select(KEY, "label", F.col("hit").alias("after")).join(all_, KEY, "left").withColumn("before", F.coalesce("before", F.lit(False)))
     return M.paired(rows, "before", "after", "label")

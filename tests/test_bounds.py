@@ -4,8 +4,11 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tarnsift import base as B
 from tarnsift import queries
 from tarnsift.functions import text as T
+from tarnsift.operators import scan
+from tarnsift.plans import fixtures as X
 
 
 @pytest.fixture(scope="module")
@@ -48,3 +51,18 @@ def test_pieces_are_bounded():
     assert [k for p in made for k in p.column(0).to_pylist()] == list(range(len(texts)))
     assert all(len(p) <= T.PIECE_ROWS and (len(p) < 2 or sum(len(t or "") for t in p.column(1).to_pylist()) <= T.PIECE_BYTES) for p in made)
     assert len(made[-1]) == 0
+
+
+def test_edges_of_texts_are_those_by_steps(spark, data, monkeypatch):
+    monkeypatch.setattr(scan, "EDGE_ROWS", 7)
+    base, docs = B.load(), X.planted(spark.read.parquet(f"{data}/documents.parquet"))
+    steps = scan.edges(scan.with_hits(docs, base))
+    rows = lambda df: sorted(map(str, df.select("doc_key", "anchor", "filler", "dist", "conn", "lo", "hi", "at").collect()))
+    assert rows(scan.text_edges(docs, base)) == rows(steps) != []
+    for mode in ("ipi", "dpi"):
+        fired = [sorted(map(str, scan.fired(e, docs, base, mode).collect())) for e in (steps, scan.text_edges(docs, base, mode=mode, whole=True))]
+        assert fired[0] == fired[1]
+    for name in ("rules_fired_ipi", "rule_min_hull", "edges_canonical"):
+        assert _plan(queries.QUERIES[name](spark, data)).count("MapInArrow") == 1
+    with pytest.raises(ValueError):
+        scan.text_edges(docs, base, whole=True)
