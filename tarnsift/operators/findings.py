@@ -55,10 +55,13 @@ def with_evidence(found: DataFrame, docs: DataFrame, key: str = "doc_key", text:
 
 def with_unlocated(findings: DataFrame, unlocated: DataFrame, key: str = "doc_key") -> DataFrame:
     """Located findings, then those without a span (key, threat, severity), which never merge, numbered on behind them."""
-    last = findings.groupBy(key).agg(F.max("island").alias("_last"))
-    rest = unlocated.join(last, key, "left").withColumn("island", F.coalesce("_last", F.lit(0)) + F.row_number().over(Window.partitionBy(key).orderBy("threat", "severity")))
-    rest = rest.select(key, "island", *[F.lit(None).cast("int").alias(c) for c in ("lo", "hi")], "threat", "severity")
-    return findings.select(key, "island", "lo", "hi", "threat", "severity").unionByName(rest)
+    none = [F.lit(None).cast("int").alias(c) for c in ("island", "lo", "hi")]
+    both = findings.select(key, "island", "lo", "hi", "threat", "severity", F.lit(False).alias("_rest")).unionByName(unlocated.select(key, *none, "threat", "severity", F.lit(True).alias("_rest")))
+    # The findings are read once: numbers follow on the last of the same key.
+    last = F.max("island").over(Window.partitionBy(key))
+    nth = F.row_number().over(Window.partitionBy(key, "_rest").orderBy("threat", "severity"))
+    island = F.when(F.col("_rest"), F.coalesce(last, F.lit(0)) + nth).otherwise(F.col("island"))
+    return both.select(key, island.alias("island"), "lo", "hi", "threat", "severity")
 
 
 REPORT = "lo bigint, hi bigint, threat string, severity string"
