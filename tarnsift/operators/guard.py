@@ -25,8 +25,11 @@ def finishes(line: Column) -> Column:
 
 def boundary(spans: DataFrame, docs: DataFrame, key: str = "doc_key", text: str = "text", lo: str = "lo", hi: str = "hi") -> DataFrame:
     """The rows with block_lo, block_hi: the utterance around a span. Lines that a wrapper broke are joined; a block that gets too long falls back to its line, and a line that long to its sentence."""
-    empty = F.lit("")
-    df = spans.join(docs.select(key, F.coalesce(F.col(text), empty).alias("_t")), key)
+    return grown(spans.join(docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("_t")), key), lo, hi)
+
+
+def grown(df: DataFrame, lo: str = "lo", hi: str = "hi") -> DataFrame:
+    """boundary() of rows that have their text, not null, as _t, which goes."""
     t, n = F.col("_t"), F.length("_t")
     head, tail = F.substring(t, 1, F.col(lo)), F.substring(t, F.col(hi) + 1, n)
     # Lines above and below the line of the span, nearest first, without the parts on its own line.
@@ -66,6 +69,11 @@ def replaced(text: Column, spans: Column, fill) -> Column:
     return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
 
 
+def checked(policy: str, blank: str) -> None:
+    if policy not in POLICIES or len(blank) != 1:
+        raise ValueError(f"policy is one of {POLICIES}, blank one character")
+
+
 OUTPUTS = ("keep", "flagged", "policy", "removed")
 
 
@@ -74,8 +82,7 @@ def apply(docs: DataFrame, found: DataFrame, policy: str = "passthrough", blank:
 
     A text without a block stays as it is, null too. Columns of these names are refused, rather than lost. With `fail`, whatever is done with the result stops at the first flagged document.
     """
-    if policy not in POLICIES or len(blank) != 1:
-        raise ValueError(f"policy is one of {POLICIES}, blank one character")
+    checked(policy, blank)
     names = {c: prefix + c for c in OUTPUTS}
     if clash := {c.lower() for c in docs.columns} & {c.lower() for c in names.values()}:
         raise ValueError(f"the documents have columns {sorted(clash)}; name another prefix")
@@ -102,8 +109,8 @@ def guarded(docs: DataFrame, base: Base, mode: str = "ipi", policy: str = "passt
     from ..plans.fused import scan
 
     found = scan(docs, base, mode, key, text, pad=-50)
-    grown = boundary(found.select(key, "lo", "hi"), docs.select(key, text), key, text)
-    out = apply(docs, blocks(grown, key), policy, blank, mask, key, text, prefix)
+    found_in = boundary(found.select(key, "lo", "hi"), docs.select(key, text), key, text)
+    out = apply(docs, blocks(found_in, key), policy, blank, mask, key, text, prefix)
     return metadata(out, found, base.version, key, prefix)
 
 

@@ -129,6 +129,7 @@ def text_edges(docs: DataFrame, base: Base, key: str = "doc_key", text: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(base, mode)
+        slots = [{s for a, f, *_ in r.edges for s in (a, f)} for r in scanner.rules]
 
         def found(b: pa.RecordBatch) -> Iterator[tuple[int, Iterator[tuple]]]:
             for i, t in enumerate(b.column(1)):
@@ -136,7 +137,7 @@ def text_edges(docs: DataFrame, base: Base, key: str = "doc_key", text: str = "t
                 if whole and not scanner.possible(low):
                     continue
                 hits, masked = _read(scanner, low)
-                if len(hits) < 2:
+                if len(hits) < 2 or (whole and not any(s <= {h[2] for h in hits} for s in slots)):
                     continue
                 some = _paired(hits, masked)
                 if mode is not None:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tarnsift import base as B
 from tarnsift import queries
 from tarnsift.functions import text as T
-from tarnsift.operators import scan
+from tarnsift.operators import dialogue, findings, scan
 from tarnsift.plans import fixtures as X
 
 
@@ -66,3 +66,36 @@ def test_edges_of_texts_are_those_by_steps(spark, data, monkeypatch):
         assert _plan(queries.QUERIES[name](spark, data)).count("MapInArrow") == 1
     with pytest.raises(ValueError):
         scan.text_edges(docs, base, whole=True)
+
+
+def test_findings_and_tools_are_read_once(spark, data):
+    for name in ("findings_unlocated", "tool_commands", "tool_outputs_mask"):
+        assert _plan(queries.QUERIES[name](spark, data)).count("MapInArrow") == 1
+    located = spark.createDataFrame([(1, i, 0, 5, "a", "low", [], [], 1) for i in (0, 1)], "doc_key long, island int, lo int, hi int, threat string, severity string, also array<string>, refs array<int>, merged long")
+    rest = spark.createDataFrame([(1, "z", "low"), (1, "b", "high"), (2, "a", "low")], "doc_key long, threat string, severity string")
+    rows = findings.with_unlocated(located, rest).orderBy("doc_key", "island").collect()
+    assert [(r.doc_key, r.island, r.lo, r.threat) for r in rows] == [(1, 0, 0, "a"), (1, 1, 0, "a"), (1, 2, None, "b"), (1, 3, None, "z"), (2, 1, None, "a")]
+
+
+def test_tools_and_commands(spark):
+    bad, base = X.PAYLOADS[0][4], B.load()
+    block = lambda kind, text: {"type": kind, "text": text}
+    blocks = [[block("text", bad), block("image", None)], [block("text", None), block("text", "fine")], [block("text", bad)], []]
+    rows = [(i, ("mail", "mail", "clock", "mail")[i], b) for i, b in enumerate(blocks)]
+    each = "tool string, blocks array<struct<type:string,text:string>>"
+    messages = spark.createDataFrame(rows, f"message_id long, {each}")
+    one = {p: {r.message_id: r for r in dialogue.tool_outputs(messages, base, "ipi", p, ("mail",), mask=m).collect()} for p, m in (("mask", ""), ("mask", "[cut]"), ("drop", ""), ("passthrough", "")) if (p, m) != ("mask", "")}
+    assert one["mask"][0].blocks[0].text == "[cut]" and one["mask"][0].blocks[1].type == "image"
+    assert one["drop"][0].blocks[0].text == dialogue.WITHHELD and one["drop"][0].meta.threats
+    for r in one.values():
+        assert [x.text for x in r[1].blocks] == [None, "fine"] and r[2].blocks[0].text == bad and r[2].meta is None and r[3].blocks == [] and not r[1].meta.flagged
+    assert dialogue.tool_outputs(messages, base, "ipi", "mask", mask="").where("message_id = 0").first().blocks[0].text == dialogue.WITHHELD
+    both = spark.createDataFrame([(7, [(t, b) for _, t, b in rows]), (8, None)], f"command_id long, messages array<struct<{each.replace('tool string', 'tool:string').replace('blocks ', 'blocks:')}>>")
+    made = {r.command_id: r.messages for r in dialogue.commands(both, base, policy="drop", tools=("mail",)).collect()}
+    assert [[x.text for x in m.blocks] for m in made[7]] == [[dialogue.WITHHELD], [None, "fine"], [bad], []] and made[8] is None
+    assert [m.meta and m.meta.flagged for m in made[7]] == [True, False, None, False]
+    for out in (dialogue.tool_outputs(messages, base, "ipi", "fail"), dialogue.commands(both, base, policy="fail")):
+        with pytest.raises(Exception, match="injection found in"):
+            out.collect()
+    with pytest.raises(ValueError):
+        dialogue.commands(both, base, policy="burn")
