@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..base import MODES, Base
+from ..functions.scanner import Scanner
+from ..functions.text import pieces
 from .findings import islands
+from .scan import fired_in, spread
 
 POLICIES = ("passthrough", "blank", "mask", "drop", "fail")
 #: The longest block, the least length of a wrapped line, and how many lines are joined each way.
@@ -35,8 +43,7 @@ def grown(df: DataFrame, lo: str = "lo", hi: str = "hi") -> DataFrame:
     # Lines above and below the line of the span, nearest first, without the parts on its own line.
     df = df.withColumn("_up", F.reverse(F.split(head, "\n"))).withColumn("_down", F.split(tail, "\n"))
     df = df.withColumn("_a", F.col(lo) - F.length(F.col("_up")[0])).withColumn("_b", F.col(hi) + F.length(F.col("_down")[0]))
-    df = df.withColumn("_line", F.substring(t, F.length(F.regexp_replace(F.substring(t, 1, F.col("_b")), r"[^\n]*\z", "")) + 1, n))
-    df = df.withColumn("_line", F.substring_index("_line", "\n", 1))
+    df = df.withColumn("_line", F.substring_index(F.substring(t, 1, F.col("_b")), "\n", -1))
     start = F.struct(F.lit(True).alias("on"), F.lit(0).alias("n"))
     up = F.aggregate(F.slice("_up", 2, WRAP_LINES), start, lambda acc, x: F.when(acc["on"] & is_wrapped(x), F.struct(F.lit(True).alias("on"), (acc["n"] + F.length(x) + 1).alias("n"))).otherwise(F.struct(F.lit(False).alias("on"), acc["n"].alias("n"))), lambda acc: acc["n"])
     begin = F.struct(is_wrapped(F.col("_line")).alias("on"), F.lit(0).alias("n"))
@@ -50,12 +57,88 @@ def grown(df: DataFrame, lo: str = "lo", hi: str = "hi") -> DataFrame:
     wide, line = F.col("_wb") - F.col("_wa") <= LINE_LIMIT, F.col("_b") - F.col("_a") <= LINE_LIMIT
     # The end of the last sentence that ends before the span, and of the first that ends after it.
     s_lo = F.length(F.regexp_extract(head, r"^[\s\S]*[.!?…](?=\s)", 0))
-    ends = F.regexp_extract(tail, r"^[^.!?…]*(?:[.!?…](?!\s|$)[^.!?…]*)*[.!?…](?=\s|$)", 0)
+    ends = F.regexp_extract(tail, r"^[\s\S]*?[.!?…](?=\s|$)", 0)
     s_hi = F.when(F.length(ends) > 0, F.col(hi) + F.length(ends)).otherwise(n)
     pick = lambda w, x, s: F.when(wide, w).when(line, x).otherwise(s).cast("int")
     return df.withColumn("block_lo", pick(F.col("_wa"), F.col("_a"), s_lo)).withColumn("block_hi", pick(F.col("_wb"), F.col("_b"), s_hi)).drop("_t", "_up", "_down", "_a", "_b", "_line", "_wa", "_wb")
 
 
+#: What JVM-side patterns take for blanks, and for an end of line besides them.
+_BLANKS, _ENDS = " \t\n\x0b\f\r", "\x85\u2028\u2029"
+_STOP, _LAST_STOP = re.compile(rf"[.!?…](?=[{_BLANKS}])"), re.compile(rf"[.!?…](?=[{_BLANKS}]|[{_ENDS}]?\Z)")
+
+
+def _stripped(line: str) -> tuple[str, str]:
+    """The line without blanks at its end, and its last character; an end of line may stand behind both."""
+    s = line[:-1].rstrip(_BLANKS) + line[-1:] if line[-1:] and line[-1] in _ENDS else line.rstrip(_BLANKS)
+    return s, s[-2:-1] if s and s[-1] in _ENDS else s[-1:]
+
+
+def _wrapped(line: str) -> bool:
+    s, c = _stripped(line)
+    return len(s) >= WRAP_WIDTH and c != "" and (c in ",;:-—" or unicodedata.category(c)[0] in "LN")
+
+
+def utterance(text: str, lo: int, hi: int) -> tuple[int, int]:
+    """grown() of one span, in Python."""
+    up, down = text[:lo].rsplit("\n", WRAP_LINES + 1)[::-1], text[hi:].split("\n", WRAP_LINES + 1)
+    a, b = lo - len(up[0]), hi + len(down[0])
+    wa, wb = a, b
+    for x in up[1 : WRAP_LINES + 1]:
+        if not _wrapped(x):
+            break
+        wa -= len(x) + 1
+    on = _wrapped(text[text.rfind("\n", 0, b) + 1 : b])
+    for x in down[1 : WRAP_LINES + 1]:
+        c = _stripped(x)[1]
+        wraps = _wrapped(x)
+        if not on or not x.strip(_BLANKS) or not (wraps or (c and c in ".!?…\"')")):
+            break
+        wb, on = wb + len(x) + 1, wraps
+    if wb - wa <= LINE_LIMIT:
+        return wa, wb
+    if b - a <= LINE_LIMIT:
+        return a, b
+    s_lo, end = 0, _LAST_STOP.search(text, hi)
+    for m in _STOP.finditer(text, 0, lo):
+        s_lo = m.end()
+    return s_lo, end.end() if end else len(text)
+
+
+def joined(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """blocks() of the spans of one document."""
+    out: list[tuple[int, int]] = []
+    for lo, hi in sorted(spans):
+        if out and lo <= out[-1][1]:
+            out[-1] = out[-1][0], max(hi, out[-1][1])
+        else:
+            out.append((lo, hi))
+    return out
+
+
+def blocked(docs: DataFrame, base: Base, mode: str = "ipi", text: str = "text", name: str = "spans") -> DataFrame:
+    """The documents with their merged blocks, array<struct<lo,hi>>, null where no rule fires: what fired() finds in the text as it is, merged at its raw extent, grown, merged again. All is made where the text stands, in one Arrow stage; keys may repeat."""
+    if name.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"the documents have a column {name}; give another name")
+    base.active(mode)
+    at = docs.columns.index(text)
+    kind = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner = Scanner(base, mode)
+        for b in pieces(batches, at):
+            made = []
+            for x in b.column(at):
+                t = x.as_py() or ""
+                fired = fired_in(scanner, t)
+                found = scanner.merged(t, fired, range(len(t)), -50) if fired else []
+                made.append([{"lo": lo, "hi": hi} for lo, hi in joined(utterance(t, f["lo"], f["hi"]) for f in found)] or None)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, kind)], names=[*b.schema.names, name])
+
+    return spread(docs).mapInArrow(run, f"{fields}, `{name}` array<struct<lo:int,hi:int>>")
+
+
 def blocks(spans: DataFrame, key: str = "doc_key", lo: str = "block_lo", hi: str = "block_hi") -> DataFrame:
     """(key, spans array<struct<lo,hi>>) of merged blocks by lo."""
     joined = islands(spans.select(key, lo, hi), key, lo, hi).groupBy(key, "island").agg(F.min(lo).alias("lo"), F.max(hi).alias("hi"))
@@ -82,13 +165,19 @@ def apply(docs: DataFrame, found: DataFrame, policy: str = "passthrough", blank:
 
     A text without a block stays as it is, null too. Columns of these names are refused, rather than lost. With `fail`, whatever is done with the result stops at the first flagged document.
     """
+    some = found.select(F.col(key).alias("_guard_key"), F.col("spans").alias("_guard_spans"))
+    df = docs.join(some, F.col(key).eqNullSafe(F.col("_guard_key")), "left").drop("_guard_key")
+    return edited(df, "_guard_spans", policy, blank, mask, key, text, prefix)
+
+
+def edited(df: DataFrame, spans: str = "spans", policy: str = "passthrough", blank: str = " ", mask: str = "", key: str = "doc_key", text: str = "text", prefix: str = "") -> DataFrame:
+    """apply() of documents that have their merged blocks, as blocked() gives them, in a column, which goes."""
     checked(policy, blank)
+    kept = [c for c in df.columns if c != spans]
     names = {c: prefix + c for c in OUTPUTS}
-    if clash := {c.lower() for c in docs.columns} & {c.lower() for c in names.values()}:
+    if clash := {c.lower() for c in kept} & {c.lower() for c in names.values()}:
         raise ValueError(f"the documents have columns {sorted(clash)}; name another prefix")
-    some = found.select(F.col(key).alias("_guard_key"), F.col("spans").alias("_guard_spans"))
-    df = docs.join(some, F.col(key).eqNullSafe(F.col("_guard_key")), "left").drop("_guard_key")
-    spans = F.col("_guard_spans")
+    spans = F.col(spans)
     flagged, t = spans.isNotNull(), F.coalesce(F.col(text), F.lit(""))
     if policy == "fail":
         # As a filter it can't be pruned away, as an unread column would be.
@@ -100,7 +189,7 @@ def apply(docs: DataFrame, found: DataFrame, policy: str = "passthrough", blank:
     left = F.regexp_replace("_guard_out", r"\s+", "") != ""
     keep = ~flagged if policy == "drop" else (~flagged | left) if policy == "mask" else F.lit(True)
     total = F.coalesce(F.aggregate(spans, F.lit(0), lambda acc, x: acc + x["hi"] - x["lo"]), F.lit(0)) if edits else F.lit(0)
-    columns = [F.col("_guard_out").alias(c) if c == text else F.col(c) for c in docs.columns]
+    columns = [F.col("_guard_out").alias(c) if c == text else F.col(c) for c in kept]
     return df.select(*columns, keep.alias(names["keep"]), flagged.alias(names["flagged"]), F.lit(policy).alias(names["policy"]), total.alias(names["removed"]))
 
 

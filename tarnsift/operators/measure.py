@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import pieces
+
 
 def rate_cube(rows: DataFrame, hit: str, *by: str) -> DataFrame:
     """n, hits and rate for every combination of the columns."""
@@ -136,13 +138,23 @@ def squeezed(text: Column) -> Column:
 RUN = 25
 
 
-def longest_common(a: str, b: str) -> int:
-    """Length of the longest run that both hold: a binary search over lengths, runs of a length compared as a set."""
-    lo, hi = 0, min(len(a), len(b))
+#: Runs that are each searched in the text; of more, the text's are looked up among them.
+SEARCHED = 256
+
+
+def _shared(a: str, b: str, n: int) -> bool:
+    some = {a[i : i + n] for i in range(len(a) - n + 1)}
+    return any(x in b for x in some) if len(some) <= SEARCHED else any(b[i : i + n] in some for i in range(len(b) - n + 1))
+
+
+def longest_common(a: str, b: str, least: int = 1) -> int:
+    """Length of the longest run that both hold, 0 if it is shorter than least: a binary search over lengths, runs of a length compared as a set."""
+    lo, hi = least, min(len(a), len(b))
+    if hi < lo or not _shared(a, b, lo):
+        return 0
     while lo < hi:
         n = (lo + hi + 1) // 2
-        some = {a[i : i + n] for i in range(len(a) - n + 1)}
-        if any(b[i : i + n] in some for i in range(len(b) - n + 1)):
+        if _shared(a, b, n):
             lo = n
         else:
             hi = n - 1
@@ -151,28 +163,43 @@ def longest_common(a: str, b: str) -> int:
 
 def survival(rows: DataFrame, payload: str, text: str, name: str = "survival") -> DataFrame:
     """The rows with the share of the payload that the text still holds: 1 if it is there whole, blanks squeezed, else that of the longest common run of RUN characters at least. An empty or null payload, or a null text, gives 0. Only what is not whole reaches Python."""
+    return survivals(rows, payload, {name: text}, rows.columns)
+
+
+def survivals(rows: DataFrame, payload: str, texts: dict[str, str], columns: list[str]) -> DataFrame:
+    """columns of the rows, with survival() of each text under its name. All shares are made in one Arrow stage, which holds a piece of texts at a time; a text that holds the payload whole is not sent."""
     one = lambda c: F.trim(squeezed(F.coalesce(F.col(c), F.lit(""))))
-    df = rows.withColumn("_p", one(payload)).withColumn("_t", one(text))
-    whole = F.when(F.col("_p") == "", 0.0).when(F.contains("_t", "_p"), 1.0)
+    df = rows.select(*columns, one(payload).alias("_p"), *[one(t).alias(f"_t{i}") for i, t in enumerate(texts.values())])
+    for i, _ in enumerate(texts):
+        whole = F.when(F.col("_p") == "", 0.0).when(F.contains(f"_t{i}", "_p"), 1.0)
+        df = df.withColumn(f"_k{i}", whole).withColumn(f"_t{i}", F.when(F.col(f"_k{i}").isNull(), F.col(f"_t{i}")))
+    first, n = len(columns), len(texts)
+    df = df.select(*columns, "_p", *[f"_t{i}" for i in range(n)], *[f"_k{i}" for i in range(n)])
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields[:first])
+
+    def share(known: float | None, p: str, t: str) -> float:
+        if known is not None:
+            return known
+        return longest_common(p, t, RUN) / len(p)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c in range(first, first + 1 + n):
+            batches = pieces(batches, c)
         for b in batches:
-            i, made = b.schema.get_field_index("_known"), []
-            for known, p, t in zip(*(b.column(c).to_pylist() for c in ("_known", "_p", "_t")), strict=True):
-                n = 0 if known is not None else longest_common(p, t)
-                made.append(known if known is not None else n / len(p) if n >= RUN else 0.0)
-            yield b.set_column(i, "_known", pa.array(made, pa.float64()))
-
-    df = df.withColumn("_known", whole)
-    return df.mapInArrow(run, df.schema).select(*rows.columns, F.col("_known").alias(name))
-
-
-def damage(before: DataFrame, after: DataFrame, clean: DataFrame) -> DataFrame:
-    """One row of counts: intact before and after (over 0.99 of the payload), gone after (under 0.1), clean documents dropped (under 0.01 of their length left) and trimmed (under 0.999). before, after: (survival); clean: (kept)."""
-    b = before.agg(F.count("*").alias("payloads"), F.count_if(F.col("survival") > 0.99).alias("intact_before"))
-    a = after.agg(F.count_if(F.col("survival") > 0.99).alias("intact_after"), F.count_if(F.col("survival") < 0.10).alias("gone_after"))
-    c = clean.agg(F.count("*").alias("clean"), F.count_if(F.col("kept") < 0.01).alias("clean_dropped"), F.count_if((F.col("kept") >= 0.01) & (F.col("kept") < 0.999)).alias("clean_trimmed"))
-    return b.join(a).join(c)
+            ps = b.column(first)
+            made = [[share(k.as_py(), p.as_py(), t.as_py()) for k, p, t in zip(b.column(first + 1 + n + i), ps, b.column(first + 1 + i), strict=True)] for i in range(n)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:first], *(pa.array(m, pa.float64()) for m in made)], names=[*b.schema.names[:first], *texts])
+
+    return df.mapInArrow(run, ", ".join(filter(None, [fields, *[f"`{x}` double" for x in texts]])))
+
+
+def damage(rows: DataFrame) -> DataFrame:
+    """One row of counts: intact before and after (over 0.99 of the payload), gone after (under 0.1), clean documents dropped (under 0.01 of their length left) and trimmed (under 0.999). rows: before and after, survivals of documents with a payload, null for others; kept, of clean documents, null for others. They are read once."""
+    return rows.agg(
+        *[F.count("before").alias("payloads"), F.count_if(F.col("before") > 0.99).alias("intact_before")],
+        *[F.count_if(F.col("after") > 0.99).alias("intact_after"), F.count_if(F.col("after") < 0.10).alias("gone_after")],
+        *[F.count("kept").alias("clean"), F.count_if(F.col("kept") < 0.01).alias("clean_dropped"), F.count_if((F.col("kept") >= 0.01) & (F.col("kept") < 0.999)).alias("clean_trimmed")],
+    )
 
 
 def mismatches(one: DataFrame, two: DataFrame) -> DataFrame:

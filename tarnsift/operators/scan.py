@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import islice
 
@@ -64,6 +64,18 @@ def _paired(hits: list[tuple[int, int, str]], masked: str) -> Iterator[tuple]:
     return pairs(hits, tokens, [m.start() for m in _BREAKS.finditer(masked)])
 
 
+def fired_in(scanner: Scanner, text: str) -> list[tuple]:
+    """What fired() finds in one text: (rule, hull, lo, hi)."""
+    low = lowered(text)
+    if not scanner.possible(low):
+        return []
+    found = defaultdict(list)
+    for *e, lo, hi, _ in _paired(*_read(scanner, low)):
+        if (k := tuple(e)) in scanner.needed or k in scanner.refuting:
+            found[k].append((lo, hi))
+    return scanner.fired(low, found)
+
+
 _EDGE_NAMES, _EDGE_TYPES = ("anchor", "filler", "dist", "conn", "lo", "hi", "at"), (*[pa.string()] * 4, *[pa.int32()] * 3)
 _EDGE_COLUMNS = "anchor string, filler string, dist string, conn string, lo int, hi int, at int"
 
@@ -285,6 +297,6 @@ def shown(rows: DataFrame, docs: DataFrame, pad: int = 0, key: str = "doc_key",
     word = r"[\p{L}\p{N}_]"
     before, after = F.substring("_text", 1, F.col("a")), F.substring("_text", F.col("b") + 1, F.length("_text"))
     at = lambda i: F.substring(F.col("_text"), i, 1)
-    left = F.when(at(F.col("a") + 1).rlike(word) & (F.col("a") > 0), F.length(F.regexp_extract(before, word + r"+\z", 0))).otherwise(0)
+    left = F.when(at(F.col("a") + 1).rlike(word) & (F.col("a") > 0), F.length(F.regexp_extract(F.reverse(before), "^" + word + "+", 0))).otherwise(0)
     right = F.when(at(F.col("b")).rlike(word) & (F.col("b") > 0), F.length(F.regexp_extract(after, "^" + word + "+", 0))).otherwise(0)
     return df.withColumn("span_lo", (F.col("a") - left).cast("int")).withColumn("span_hi", (F.col("b") + right).cast("int")).drop("a", "b", "_text")

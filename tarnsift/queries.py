@@ -316,14 +316,13 @@ def _raw(spark, d, docs) -> DataFrame:
     return FI.merged(_shown(spark, d, -50, "ipi", docs))
 
 
-def _blocks(spark, d, docs) -> DataFrame:
-    return G.blocks(G.boundary(_raw(spark, d, docs).select(KEY, "lo", "hi"), docs))
+def _blocked(spark, d, *columns: str) -> DataFrame:
+    return G.blocked(_corpus(spark, d).select(KEY, "text", *columns), load())
 
 
 def _guarded(policy: str, **how):
     def query(spark, d):
-        docs = _corpus(spark, d).select(KEY, "text")
-        return _long(G.apply(docs, _blocks(spark, d, docs), policy, **how).select(KEY, "flagged", "keep", _md5(), "removed"))
+        return _long(G.edited(_blocked(spark, d), policy=policy, **how).select(KEY, "flagged", "keep", _md5(), "removed"))
 
     return query
 
@@ -335,10 +334,8 @@ def guard_metadata(spark, d):
 
 
 def guard_drop_split(spark, d):
-    docs = _corpus(spark, d)
-    kept, rejected = G.split(G.apply(docs, _blocks(spark, d, docs), "drop"))
-    n = lambda df, c: df.groupBy("label").agg(F.count("*").alias(c))
-    return n(kept, "kept").join(n(rejected, "rejected"), "label", "full").select("label", F.coalesce("kept", F.lit(0)).alias("kept"), F.coalesce("rejected", F.lit(0)).alias("rejected"))
+    """How many documents of each label are kept and rejected; both outputs are counted as they are read, once."""
+    return G.edited(_blocked(spark, d, "label"), policy="drop").groupBy("label").agg(F.count_if("keep").alias("kept"), F.count_if(~F.col("keep")).alias("rejected"))
 
 
 def guard_boundary(spark, d):
@@ -469,19 +466,20 @@ def length_bands(spark, d):
 
 
 def payload_survival(spark, d):
-    docs = _corpus(spark, d)
-    out = G.apply(docs.where("label = 'injected'"), _blocks(spark, d, docs), "mask", mask="[cut]")
+    out = G.edited(_blocked(spark, d, "label", "action", "payload"), policy="mask", mask="[cut]").where("label = 'injected'")
     return out.groupBy("action").agg(F.count("*").alias("n"), F.count_if(F.contains(M.squeezed(F.col("text")), M.squeezed(F.col("payload")))).alias("intact"))
 
 
 def survival_damage(spark, d):
     """How much of the planted sentences the mask leaves, and what it does to the documents without one."""
-    docs = _corpus(spark, d)
-    out = G.apply(docs, _blocks(spark, d, docs), "mask", mask="[cut]")
-    before, after = (M.survival(x.where("label = 'injected'"), "payload", "text") for x in (docs, out))
     n = lambda c: F.length(F.trim(M.squeezed(F.col(c))))
-    clean = out.where("label <> 'injected'").select(KEY, "text").join(docs.select(KEY, F.col("text").alias("was")), KEY).select((n("text") / F.greatest(F.lit(1), n("was"))).alias("kept"))
-    return M.damage(before, after, clean)
+    injected = F.col("label") == "injected"
+    out = G.edited(_blocked(spark, d, "label", "payload").withColumn("was", F.col("text")), policy="mask", mask="[cut]")
+    kept = F.when(~injected, n("text") / F.greatest(F.lit(1), n("was")))
+    # A document without a payload is asked for none.
+    rows = out.select("label", kept.alias("kept"), F.when(injected, F.col("payload")).alias("payload"), *[F.when(injected, F.col(c)).alias(c) for c in ("was", "text")])
+    s = M.survivals(rows, "payload", {"before": "was", "after": "text"}, ["label", "kept"])
+    return M.damage(s.select("kept", *[F.when(injected, F.col(c)).alias(c) for c in ("before", "after")]))
 
 
 def scan_mismatch(spark, d):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tarnsift import base as B
 from tarnsift import queries
 from tarnsift.functions import text as T
-from tarnsift.operators import dialogue, findings, scan
+from tarnsift.operators import dialogue, findings, guard, measure, scan
 from tarnsift.plans import fixtures as X
 
 
@@ -99,3 +99,66 @@ def test_tools_and_commands(spark):
             out.collect()
     with pytest.raises(ValueError):
         dialogue.commands(both, base, policy="burn")
+
+
+def test_long_lines_are_grown_in_proportion(spark):
+    """A line of 400 000 characters, and as many stops with no blank behind them, took minutes or the stack."""
+    texts = ["a. word " + "b" * 400_000 + " word", "x " + "a." * 200_000 + " z"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_key long, text string")
+    spans = spark.createDataFrame([(0, 3, 7), (0, 400_009, 400_013), (1, 0, 1)], "doc_key long, lo int, hi int")
+    rows = guard.boundary(spans, docs).orderBy("doc_key", "lo").collect()
+    assert [(r.block_lo, r.block_hi) for r in rows] == [guard.utterance(texts[r.doc_key], r.lo, r.hi) for r in rows] == [(2, 400_013), (2, 400_013), (0, 400_002)]
+
+
+def test_utterances_in_python_are_those_of_spark(spark):
+    import random
+
+    dice = random.Random(7)
+    parts = ["lorem ipsum, dolor", "é", " ", "  ", "\n", "\n\n", "\r\n", "\r", "\u2028", "\x85", ".", "! ", "?", "…", ";", "—", "'", ")", "½", "\x0b", "\u00a0", "😀", "w" * 45, "line of some forty characters, and then on\n", "end of the sentence. " * 40, "z" * 800]
+    texts = ["".join(dice.choices(parts, k=dice.randrange(1, 40))) for _ in range(400)]
+    spans = []
+    for i, t in enumerate(texts):
+        lo = dice.randrange(len(t))
+        spans.append((i, lo, dice.randrange(lo, len(t)) + 1))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_key long, text string")
+    rows = guard.boundary(spark.createDataFrame(spans, "doc_key long, lo int, hi int"), docs).collect()
+    assert len(rows) == 400
+    for r in rows:
+        assert (r.block_lo, r.block_hi) == guard.utterance(texts[r.doc_key], r.lo, r.hi), (texts[r.doc_key], r)
+
+
+def test_blocks_are_made_where_the_text_stands(spark, data):
+    docs, base = X.planted(spark.read.parquet(f"{data}/documents.parquet")), B.load()
+    steps = guard.blocks(guard.boundary(findings.merged(scan.shown(scan.fired(scan.text_edges(docs, base, mode="ipi", whole=True), docs, base, "ipi"), docs, -50)).select("doc_key", "lo", "hi"), docs))
+    rows = lambda df: sorted((r.doc_key, [tuple(x) for x in r.spans]) for r in df.collect())
+    assert rows(guard.blocked(docs, base).where("spans is not null")) == rows(steps) != []
+    for name in ("guard_passthrough", "guard_blank", "guard_mask", "guard_drop_split", "payload_survival"):
+        plan = _plan(queries.QUERIES[name](spark, data))
+        assert plan.count("MapInArrow") == 1 and plan.count("Join") <= 1, name
+    assert _plan(queries.survival_damage(spark, data)).count("MapInArrow") == 2
+    twice = spark.createDataFrame([(1, X.PAYLOADS[0][4]), (1, None), (1, "")], "doc_key long, text string")
+    assert sorted(r.flagged for r in guard.edited(guard.blocked(twice, base), policy="drop").collect()) == [False, False, True]
+    with pytest.raises(ValueError):
+        guard.blocked(twice.withColumn("Spans", F.lit(1)), base)
+
+
+def test_survivals_hold_a_piece(spark, monkeypatch):
+    long = "p" * 30 + "q" * 30
+    rows = spark.createDataFrame([(i, *[(long, f"a {long} b", "p" * 30), (long, "p" * 30 + "x", None), (None, "a", "b")][i % 3]) for i in range(3000)], "id long, p string, t string, u string")
+    seen = []
+    got = measure.survivals(rows, "p", {"one": "t", "two": "u"}, ["id"])
+    assert got.columns == ["id", "one", "two"]
+    for r in got.collect():
+        seen.append(r.id)
+        assert (r.one, r.two) == ((1.0, 0.5), (0.5, 0.0), (0.0, 0.0))[r.id % 3]
+    assert sorted(seen) == list(range(3000))
+    # The text is not sent on, and one that holds the payload whole is not read in Python.
+    assert measure.survivals(rows, "p", {"one": "t"}, []).columns == ["one"]
+
+
+def test_longest_common_runs(monkeypatch):
+    for searched in (256, 0):
+        monkeypatch.setattr(measure, "SEARCHED", searched)
+        for a, b, n in (("abcd", "xbcx", 2), ("", "a", 0), ("a", "", 0), ("abc", "abc", 3), ("abc", "xyz", 0), ("ab" * 300, "b" + "ab" * 299, 599)):
+            assert measure.longest_common(a, b) == n
+            assert measure.longest_common(a, b, 3) == (n if n >= 3 else 0)
